@@ -1 +1,14 @@
 """Registered queries over the test tables and their SQL counterparts."""
+
+from importlib import import_module
+
+from flowwarden.catalog import registry
+
+PARTS = ("scans", "policy")
+
+
+def load():
+    """(queries, oracles) with every part of the catalogue registered."""
+    for part in PARTS:
+        import_module(f"flowwarden.catalog.{part}")
+    return registry.QUERIES, registry.ORACLES

@@ -12,7 +12,8 @@ from flowwarden.config import Policy
 from flowwarden.functions.cases import cases
 from flowwarden.operators.decide import decide
 from flowwarden.operators.trust import with_trust
-from flowwarden.sources.flows import with_context_columns
+from flowwarden.session import scratch_path
+from flowwarden.sources.flows import read_scored, with_context_columns, write_scored
 
 LOW, HIGH = 0.5, 0.7889
 OFFICE = Policy.of({"business_hours": {"start": 8, "end": 20}})
@@ -54,8 +55,17 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_context_columns(flows(spark, sf_dir))
+    """The scored-event table: derived once per application, stored, and read back by later stages."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_path(spark, "contexts")
+        write_scored(with_context_columns(flows(spark, sf_dir)), path)
+        _STORED[key] = path
+    return read_scored(spark, _STORED[key])
 
 
 def decisions(spark: SparkSession, sf_dir: str, threshold: float, policy: Policy = POLICY) -> DataFrame:

@@ -39,14 +39,12 @@ def numeric_text(value: Column) -> Column:
     return F.coalesce(number.cast("string"), F.lower(value.cast("string")))
 
 
-def clause_fields(clause_array: Column) -> Column:
-    return F.transform(clause_array, lambda c: F.substring_index(c, "=", 1))
+def clause_field(clause: Column) -> Column:
+    return F.substring_index(clause, "=", 1)
 
 
-def clause_values(clause_array: Column) -> Column:
-    return F.transform(
-        clause_array, lambda c: numeric_text(F.substring(c, F.locate("=", c) + 1, F.length(c)))
-    )
+def clause_value(clause: Column) -> Column:
+    return numeric_text(F.substring(clause, F.locate("=", clause) + 1, F.length(clause)))
 
 
 def implicated_rule(text: Column) -> Column:
