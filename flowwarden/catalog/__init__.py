@@ -4,7 +4,7 @@ from importlib import import_module
 
 from flowwarden.catalog import registry
 
-PARTS = ("scans", "policy")
+PARTS = ("scans", "policy", "quality", "rulebook")
 
 
 def load():

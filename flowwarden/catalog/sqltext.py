@@ -138,8 +138,8 @@ rules AS (
       || CASE WHEN length(CAST(n AS VARCHAR)) < 3 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS id,
     2 + CASE WHEN c_service IS NULL THEN 0 ELSE 1 END + CASE WHEN c_threat IS NULL THEN 0 ELSE 1 END
       + CASE WHEN c_spkts IS NULL THEN 0 ELSE 1 END AS n_clauses
-  FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM candidates
-        QUALIFY row_number() OVER (PARTITION BY lower(condition) ORDER BY seq) = 1))"""
+  FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM (
+          SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY lower(condition) ORDER BY seq) = 1)))"""
 
 ORDER = ["flows", "ctx", "priced", "scored", "routed", "decided", "ledger", "probs", "candidates"]
 NEEDS = {

@@ -5,66 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowwarden.functions.cases import let
 from flowwarden.functions.conditions import normalise_condition, stripped
 
 NO_RESPONSE = "Fail-safe: no response from the model."
 NO_JSON = "Fail-safe: model output no parseable JSON (think-chain overflow)."
 
 
+def _reader(parsed: Column):
+    def field(name: str, kind: str = "string") -> Column:
+        return F.try_variant_get(parsed, f"$.{name}", kind)
+    return field
+
+
 def decision_from_response(raw: Column) -> Column:
     """Struct of the answer in `raw`, or the isolation fail-safe when there is none.
 
     A `<think>` block is removed even when it was never closed; the widest `{…}` is then parsed.
     """
-    rest = stripped(F.regexp_replace(raw, r"(?s)<think>.*?(?:</think>|\z)", ""))
+    rest = F.regexp_replace(raw, r"(?s)<think>.*?(?:</think>|\z)", "")
     body = F.nullif(F.regexp_extract(rest, r"(?s)\{.*\}", 0), F.lit(""))
-    parsed = F.try_parse_json(body)
-
-    def field(name: str, kind: str) -> Column:
-        return F.try_variant_get(parsed, f"$.{name}", kind)
-
-    failed = parsed.isNull()
     reason = F.when(raw.isNull(), NO_RESPONSE).otherwise(NO_JSON)
-    return F.struct(
-        F.when(failed, reason).otherwise(field("reasoning", "string")).alias("reasoning"),
-        F.when(failed, "NETWORK_ISOLATION")
-        .otherwise(F.coalesce(field("playbook", "string"), F.lit("NETWORK_ISOLATION"))).alias("playbook"),
-        F.when(failed, F.lit(False))
-        .otherwise(F.coalesce(field("is_false_positive", "boolean"), F.lit(False))).alias("is_false_positive"),
-        failed.alias("is_llm_failsafe"),
-    )
 
+    def outcome(parsed: Column) -> Column:
+        failed, field = parsed.isNull(), _reader(parsed)
+        return F.struct(
+            F.when(failed, reason).otherwise(field("reasoning")).alias("reasoning"),
+            F.coalesce(field("playbook"), F.lit("NETWORK_ISOLATION")).alias("playbook"),
+            F.coalesce(field("is_false_positive", "boolean"), F.lit(False)).alias("is_false_positive"),
+            failed.alias("is_llm_failsafe"),
+        )
 
-def _occurrences(text: Column, mark: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    return let(F.try_parse_json(body), outcome)
 
 
 def rule_body(raw: Column) -> Column:
     """JSON text of a rule answer: closed think blocks and fences removed, a cut-off end repaired."""
     c = stripped(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""))
-    c = F.regexp_replace(c, r"^```json", "")
-    c = F.regexp_replace(c, r"^```", "")
-    c = stripped(F.regexp_replace(c, r"```$", ""))
-    closed = F.when(_occurrences(c, '"') % 2 == 1, F.concat(c, F.lit('"'))).otherwise(c)
-    depth = _occurrences(closed, "{") - _occurrences(closed, "}")
-    repaired = F.concat(closed, F.repeat(F.lit("}"), F.greatest(depth, F.lit(1))))
-    return F.when(F.endswith(c, F.lit("}")), c).otherwise(repaired)
+    c = F.regexp_replace(F.regexp_replace(c, "^```json", ""), "^```", "")
+    c = stripped(F.regexp_replace(c, "```$", ""))
 
+    def repaired(text: Column) -> Column:
+        quote = F.when(F.regexp_count(text, F.lit('"')) % 2 == 1, '"').otherwise("")
+        depth = F.regexp_count(text, F.lit(r"\{")) - F.regexp_count(text, F.lit(r"\}"))
+        ended = F.concat(text, quote, F.repeat(F.lit("}"), F.greatest(depth, F.lit(1))))
+        return F.when(F.endswith(text, F.lit("}")), text).otherwise(ended)
 
-def rule_from_response(raw: Column) -> Column:
-    """Rule struct with a normalised condition; null when the text cannot be parsed as an object."""
-    parsed = F.try_parse_json(rule_body(raw))
+    return let(c, repaired)
 
-    def field(name: str, kind: str = "string") -> Column:
-        return F.try_variant_get(parsed, f"$.{name}", kind)
 
-    rule = F.struct(
-        field("id").alias("id"),
-        normalise_condition(F.coalesce(field("condition"), F.lit(""))).alias("condition"),
-        field("playbook").alias("playbook"),
-        field("is_fp", "boolean").alias("is_fp"),
-        field("is_fn", "boolean").alias("is_fn"),
-        field("rationale").alias("rationale"),
-    )
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
-    return F.when(parsed.isNotNull() & is_object, rule)
+def rule_from_response(raw: Column) -> Column:
+    """Rule struct with a normalised condition; null when the text cannot be parsed as an object."""
+    def rule(parsed: Column) -> Column:
+        field = _reader(parsed)
+        made = F.struct(
+            field("id").alias("id"),
+            normalise_condition(F.coalesce(field("condition"), F.lit(""))).alias("condition"),
+            field("playbook").alias("playbook"),
+            field("is_fp", "boolean").alias("is_fp"),
+            field("is_fn", "boolean").alias("is_fn"),
+            field("rationale").alias("rationale"),
+        )
+        return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), made)
+
+    return let(F.try_parse_json(rule_body(raw)), rule)
