@@ -4,7 +4,7 @@ from importlib import import_module
 
 from flowwarden.catalog import registry
 
-PARTS = ("scans", "policy", "quality", "rulebook")
+PARTS = ("scans", "policy", "quality", "rulebook", "memory", "learning", "streams")
 
 
 def load():

@@ -269,7 +269,7 @@ def trust_history(spark, sf_dir):
 
 
 # Decision loop with feedback, one event after the other per signature.
-_REPLAY = """
+REPLAY = """
 gated AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY seq) AS rn FROM routed WHERE thr < 0.6 AND fused_risk > thr),
 loop AS (
   SELECT DISTINCT signature, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS event_id, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS bias,
@@ -294,7 +294,7 @@ loop AS (
         FROM loop l JOIN gated g ON g.signature = l.signature AND g.rn = l.rn + 1))))"""
 
 
-@query(sql("SELECT event_id, signature, playbook, score AS trust_score FROM loop WHERE rn > 0", "routed", extra=_REPLAY))
+@query(sql("SELECT event_id, signature, playbook, score AS trust_score FROM loop WHERE rn > 0", "routed", extra=REPLAY))
 def replay_decisions(spark, sf_dir):
     from flowwarden.plans.decisions import replay
     done = replay(inputs.contexts(spark, sf_dir), inputs.LOW, inputs.POLICY)
@@ -302,7 +302,7 @@ def replay_decisions(spark, sf_dir):
 
 
 @query(sql("""SELECT signature, round(a, 6) AS confirmed_attack, round(bias, 6) AS trust_bias, status FROM loop
-              WHERE a > 0 QUALIFY row_number() OVER (PARTITION BY signature ORDER BY rn DESC) = 1""", "routed", extra=_REPLAY))
+              WHERE a > 0 QUALIFY row_number() OVER (PARTITION BY signature ORDER BY rn DESC) = 1""", "routed", extra=REPLAY))
 def replay_ledger(spark, sf_dir):
     from flowwarden.plans.decisions import replay
     done = replay(inputs.contexts(spark, sf_dir), inputs.LOW, inputs.POLICY)

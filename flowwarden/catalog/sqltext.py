@@ -159,8 +159,8 @@ def sql(body: str, *names: str, extra: str = "") -> str:
 
     for name in names:
         add(name)
-    parts = [CTES[n] for n in ORDER if n in wanted] + ([extra] if extra else [])
-    return "WITH RECURSIVE " + ",".join(parts) + "\n" + body if parts else body
+    parts = [CTES[n].strip() for n in ORDER if n in wanted] + ([extra.strip()] if extra else [])
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body if parts else body
 
 
 def fixed(expr: str, digits: int, plus: bool = False) -> str:
