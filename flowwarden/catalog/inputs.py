@@ -63,14 +63,16 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         path = scratch_path(spark, "contexts")
-        write_scored(with_context_columns(flows(spark, sf_dir)), path)
+        scored = with_context_columns(flows(spark, sf_dir))
+        write_scored(scored.repartition(spark.sparkContext.defaultParallelism), path)
         _STORED[key] = path
     return read_scored(spark, _STORED[key])
 
 
-def decisions(spark: SparkSession, sf_dir: str, threshold: float, policy: Policy = POLICY) -> DataFrame:
+def decisions(spark: SparkSession, sf_dir: str, threshold: float, policy: Policy = POLICY,
+              detail: bool = False) -> DataFrame:
     """Decisions with an empty ledger."""
-    return decide(with_trust(contexts(spark, sf_dir), policy), threshold)
+    return decide(with_trust(contexts(spark, sf_dir), policy, detail=detail), threshold)
 
 
 def truth_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from flowwarden.operators import sampling
 from flowwarden.plans import scoring, training
 from flowwarden.session import scratch_path
 
-QUICK = training.Settings(folds=3, trees=40, rounds=3, depth=3)
+QUICK = training.Settings(folds=3, trees=40, rounds=2, depth=3)
 NUMERIC = ["spkts", "dpkts", "h"]
 
 

@@ -129,7 +129,7 @@ def trust_factors(spark, sf_dir):
 
 @query(sql("SELECT event_id, trust_score, trust_score >= 0.4 AS is_acceptable FROM scored", "scored"))
 def trust_score(spark, sf_dir):
-    return trust.with_trust(inputs.contexts(spark, sf_dir), inputs.POLICY).select("event_id", "trust_score", "is_acceptable")
+    return trust.with_trust(inputs.contexts(spark, sf_dir), inputs.POLICY, detail=False).select("event_id", "trust_score", "is_acceptable")
 
 
 @query(sql(f"""SELECT event_id, array_to_string(list_filter([
@@ -262,7 +262,7 @@ def event_ledger(spark, sf_dir):
     row_number() OVER (PARTITION BY signature ORDER BY seq DESC) AS rn FROM decided WHERE thr < 0.6 AND branch <> 'gate'
   WINDOW w AS (PARTITION BY signature ORDER BY seq)) WHERE rn = 1""", "decided"))
 def trust_history(spark, sf_dir):
-    escalated = inputs.decisions(spark, sf_dir, inputs.LOW).filter("branch <> 'gate'")
+    escalated = inputs.decisions(spark, sf_dir, inputs.LOW, detail=True).filter("branch <> 'gate'")
     return ledger.trust_history(escalated).select(
         "signature", "latest", "previous", F.date_format("evaluated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("evaluated_at"),
         F.round("delta", 6).alias("delta"))

@@ -189,7 +189,7 @@ def records(spark, sf_dir):
     answers = _asked(spark, sf_dir).join(
         inputs.contexts(spark, sf_dir).select("event_id", F.expr(_BLAME).alias("analysis")), "event_id"
     ).select("event_id", "analysis", "rule_raw", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("corrected_at"))
-    d = inputs.decisions(spark, sf_dir, inputs.LOW).withColumn("reasoning", F.lit("text without numbers"))
+    d = inputs.decisions(spark, sf_dir, inputs.LOW, detail=True).withColumn("reasoning", F.lit("text without numbers"))
     return corr.correct(d, answers)
 
 

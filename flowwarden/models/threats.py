@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowwarden.functions.cases import let
 from flowwarden.functions.scores import class_entropy, penalised_class, top2_margin, total
+from flowwarden.session import materialise
 
 ROUNDS, DEPTH, STEP = 500, 6, 0.05
 
@@ -66,10 +69,9 @@ class RiskModel:
 def fit_risk(df: DataFrame, categorical: list[str], label: str = "label", rounds: int = ROUNDS,
              depth: int = DEPTH, step: float = STEP, seed: int = 42) -> RiskModel:
     encoder = index_categories(df, categorical)
-    trees = GBTClassifier(
-        featuresCol="category_codes", labelCol=label, probabilityCol="_p", rawPredictionCol="_raw",
-        predictionCol="_pred", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed,
-        maxBins=_bins(encoder)).fit(encoder.transform(df))
+    booster = GBTClassifier(featuresCol="category_codes", labelCol=label, predictionCol="_pred", maxIter=rounds,
+                            maxDepth=depth, stepSize=step, seed=seed, maxBins=_bins(encoder))
+    trees = booster.setProbabilityCol("_p").setRawPredictionCol("_raw").fit(encoder.transform(df))
     return RiskModel(encoder, trees, tuple(categorical))
 
 
@@ -87,7 +89,7 @@ class ThreatModel:
 
     encoder: PipelineModel
     classes: StringIndexerModel
-    per_class: OneVsRestModel
+    per_class: tuple[GBTClassificationModel, ...]
     curves: tuple[IsotonicRegressionModel, ...]
 
     def names(self) -> list[str]:
@@ -95,15 +97,15 @@ class ThreatModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add probability, classes, incident_entropy, top2_margin, threat and penalised_threat."""
-        scored = _class_scores(self.per_class.transform(self.encoder.transform(df)), len(self.names()))
-        for i, curve in enumerate(self.curves):
-            scored = curve.setFeaturesCol(f"_s{i}").setPredictionCol(f"_c{i}").transform(scored)
         n = len(self.curves)
+        scored = _class_scores(self.encoder.transform(df), self.per_class)
+        for i, curve in enumerate(self.curves):
+            scored = curve.transform(scored)
         raw = F.array(*[F.col(f"_c{i}") for i in range(n)])
-        helpers = [f"_{k}{i}" for i in range(n) for k in "sc"] + ["_raw", "_pred"]
-        row = scored.withColumn("_cal", raw).drop(*helpers)
-        shares = F.when(total(F.col("_cal")) > 0, F.transform("_cal", lambda v: v / total(F.col("_cal")))).otherwise(
-            F.transform("_cal", lambda v: F.lit(1.0 / n)))
+        row = scored.withColumn("_cal", raw).drop(*[f"_{k}{i}" for i in range(n) for k in "sc"])
+        even = F.array(*[F.lit(1.0 / n)] * n)
+        shares = let(total(F.col("_cal")), lambda whole: F.when(
+            whole > 0, F.transform("_cal", lambda v: v / whole)).otherwise(even))
         names = F.array(*[F.lit(c) for c in self.names()])
         named = row.withColumns({"probability": shares, "classes": names}).drop("_cal")
         p = F.col("probability")
@@ -114,38 +116,49 @@ class ThreatModel:
         }))
 
     def save(self, path: str) -> None:
-        PipelineModel(stages=[self.encoder, self.classes, self.per_class, *self.curves]).write().overwrite().save(path)
+        PipelineModel(stages=[self.encoder, self.classes, *self.per_class, *self.curves]).write().overwrite().save(path)
 
     @classmethod
     def load(cls, path: str) -> "ThreatModel":
-        encoder, classes, per_class, *curves = PipelineModel.load(path).stages
-        return cls(encoder, classes, per_class, tuple(curves))
-
-
-def _class_scores(scored: DataFrame, n: int) -> DataFrame:
-    margins = vector_to_array("_raw")
+        encoder, classes, *rest = PipelineModel.load(path).stages
+        n = len(rest) // 2
+        return cls(encoder, classes, tuple(rest[:n]), tuple(rest[n:]))
 
-    def share(i: int) -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.get(margins, F.lit(i))))
 
-    return scored.withColumns({f"_s{i}": share(i) for i in range(n)})
+def _class_scores(coded: DataFrame, models) -> DataFrame:
+    """One column `_s<i>` per class model; the boosters run inside the JVM one after the other."""
+    for i, model in enumerate(models):
+        coded = model.transform(coded).withColumn(f"_s{i}", F.get(vector_to_array(f"_q{i}"), F.lit(1))).drop(
+            f"_q{i}", f"_r{i}", f"_d{i}")
+    return coded
 
 
 def fit_threat(df: DataFrame, calibration: DataFrame, categorical: list[str], label: str = "attack_cat",
-               rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP, seed: int = 42) -> ThreatModel:
-    """Fit on `df`, calibrate every class on the held-out `calibration` rows."""
+               rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP, seed: int = 42,
+               parallelism: int = 4) -> ThreatModel:
+    """Fit every class against the rest on `df`, calibrate each on the held-out `calibration` rows."""
     classes = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc",
                             handleInvalid="keep").fit(df)
     encoder = index_categories(df, categorical)
-    booster = GBTClassifier(featuresCol="category_codes", labelCol="_y", maxIter=rounds, maxDepth=depth,
-                            stepSize=step, seed=seed, minInstancesPerNode=20, maxBins=_bins(encoder))
-    ovr = OneVsRest(classifier=booster, featuresCol="category_codes", labelCol="_y", predictionCol="_pred",
-                    rawPredictionCol="_raw", weightCol="class_weight", parallelism=4)
-    per_class = ovr.fit(sqrt_balanced(classes.transform(encoder.transform(df)), label))
+    coded = materialise(sqrt_balanced(classes.transform(encoder.transform(df)), label).select(
+        "category_codes", "_y", "class_weight"))
     n = len(classes.labels)
-    held = _class_scores(per_class.transform(classes.transform(encoder.transform(calibration))), n)
-    curves = tuple(
-        IsotonicRegression(featuresCol=f"_s{i}", labelCol="_is", predictionCol=f"_c{i}").fit(
-            held.select(f"_s{i}", (F.col("_y") == i).cast("double").alias("_is")))
-        for i in range(n))
-    return ThreatModel(encoder, classes, per_class, curves)
+
+    def against_rest(i: int) -> GBTClassificationModel:
+        booster = GBTClassifier(
+            featuresCol="category_codes", labelCol="_is", predictionCol=f"_d{i}", weightCol="class_weight",
+            maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, minInstancesPerNode=20, maxBins=_bins(encoder))
+        booster = booster.setProbabilityCol(f"_q{i}").setRawPredictionCol(f"_r{i}")
+        return booster.fit(coded.withColumn("_is", (F.col("_y") == i).cast("double")))
+
+    with ThreadPool(parallelism) as pool:
+        models = tuple(pool.map(against_rest, range(n)))
+    held = materialise(_class_scores(classes.transform(encoder.transform(calibration)), models))
+
+    def curve(i: int) -> IsotonicRegressionModel:
+        fitted = IsotonicRegression(featuresCol=f"_s{i}", labelCol="_is", predictionCol=f"_c{i}")
+        return fitted.fit(held.select(f"_s{i}", (F.col("_y") == i).cast("double").alias("_is")))
+
+    with ThreadPool(parallelism) as pool:
+        curves = tuple(pool.map(curve, range(n)))
+    return ThreatModel(encoder, classes, models, curves)

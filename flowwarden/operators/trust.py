@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,12 +53,15 @@ def after_hours(hour: Column, policy: Policy) -> Column:
     return F.coalesce(~((hour >= F.lit(span["start"])) & (hour < F.lit(span["end"]))), F.lit(False))
 
 
+MEMORY_FACTORS = ("quarantine_history", "allowlist_bonus", "evidence_bias")
+
+
 @dataclass(frozen=True)
 class Evaluated:
-    """Columns of one evaluation, before they are attached to a frame."""
+    """Expressions of one evaluation; texts are only put together when asked for."""
 
-    base: list[tuple[str, Column, Column, Column]]
-    violations: Column
+    base: list[tuple[str, Column, Column, Callable[[], Column]]]
+    violations: Callable[[], Column]
     policy: Policy
 
     def score(self) -> Column:
@@ -65,12 +69,26 @@ class Evaluated:
         running = F.lit(1.0)
         for _, present, delta, _ in self.base:
             running = running + F.when(present, delta).otherwise(F.lit(0.0))
+        return self.held(running)
+
+    def held(self, score: Column) -> Column:
         floor, ceiling = float(self.policy["score_floor"]), float(self.policy["score_ceiling"])
-        return F.greatest(F.lit(floor), F.least(F.lit(ceiling), F.round(running, 6)))
+        return F.greatest(F.lit(floor), F.least(F.lit(ceiling), F.round(score, 6)))
+
+    def around_memory(self) -> tuple[Column, Column]:
+        """Sums of the changes before and after the ledger factors, for callers that vary the ledger."""
+        before, after, passed = F.lit(1.0), F.lit(0.0), False
+        for name, present, delta, _ in self.base:
+            if name in MEMORY_FACTORS:
+                passed = True
+                continue
+            change = F.when(present, delta).otherwise(F.lit(0.0))
+            before, after = (before, after + change) if passed else (before + change, after)
+        return before, after
 
     def factors(self) -> Column:
         structs = [
-            F.when(present, F.struct(F.lit(name).alias("name"), delta.alias("delta"), reason.alias("reason")))
+            F.when(present, F.struct(F.lit(name).alias("name"), delta.alias("delta"), reason().alias("reason")))
             for name, present, delta, reason in self.base
         ]
         return F.filter(F.array(*structs), lambda f: f.isNotNull())
@@ -89,36 +107,32 @@ def evaluation(policy: Policy, status: Column | None = None, bias: Column | None
     multiplier = asset_multiplier(F.col("dstip"), policy)
     base_penalty = fused * F.lit(weight)
     ml_penalty = base_penalty * multiplier
-    ml_reason = F.concat(
-        F.lit("fused_risk="), fixed(fused, 4), F.lit(f" × weight={weight:.2f}"),
-        F.when(multiplier != 1.0, F.concat(
-            F.lit(" × asset_multiplier="), multiplier.cast("string"), F.lit(" (tier '"),
-            asset_tier(F.col("dstip"), policy), F.lit("') → base_penalty="), fixed(base_penalty, 4),
-            F.lit(", amplified="), fixed(ml_penalty, 4))).otherwise(""),
-    )
+
+    def ml_reason() -> Column:
+        return F.concat(
+            F.lit("fused_risk="), fixed(fused, 4), F.lit(f" × weight={weight:.2f}"),
+            F.when(multiplier != 1.0, F.concat(
+                F.lit(" × asset_multiplier="), multiplier.cast("string"), F.lit(" (tier '"),
+                asset_tier(F.col("dstip"), policy), F.lit("') → base_penalty="), fixed(base_penalty, 4),
+                F.lit(", amplified="), fixed(ml_penalty, 4))).otherwise(""),
+        )
 
     penalty = threat_penalty(threat, policy)
-    threat_reason = F.concat(F.lit("predicted_threat='"), threat, F.lit("' → penalty="), fixed(penalty, 2))
+
+    def threat_reason() -> Column:
+        return F.concat(F.lit("predicted_threat='"), threat, F.lit("' → penalty="), fixed(penalty, 2))
 
     status = F.lit(None).cast("string") if status is None else status
     bias = F.lit(0.0) if bias is None else F.coalesce(bias, F.lit(0.0))
-    counts = F.concat(
-        F.coalesce(F.lit(0.0) if normals is None else normals, F.lit(0.0)).cast("string"),
-        F.lit(", {}="),
-        F.coalesce(F.lit(0.0) if attacks is None else attacks, F.lit(0.0)).cast("string"),
-    )
     quarantined = F.coalesce(status == "quarantined", F.lit(False))
     allowlisted = F.coalesce(status == "allowlisted", F.lit(False))
     biased = ~quarantined & ~allowlisted & (bias != 0.0)
 
-    def seen(tail: str) -> Column:
-        return F.concat(F.lit("signature '"), signature, F.lit(f"' is {tail} (n="),
-                        F.replace(counts, F.lit("{}"), F.lit("a")), F.lit(")"))
-
-    bias_reason = F.concat(
-        F.lit("signature '"), signature, F.lit("' monitoring: bias="), fixed(bias, 3, plus=True),
-        F.lit(" (normal="), F.replace(counts, F.lit("{}"), F.lit("attack")), F.lit(")"),
-    )
+    def seen(text: Column, second: str) -> Column:
+        counts = [F.coalesce(F.lit(0.0) if c is None else c, F.lit(0.0)).cast("string") for c in (normals, attacks)]
+        first = "n" if second == "a" else "normal"
+        return F.concat(F.lit("signature '"), signature, F.lit("' "), text, F.lit(f" ({first}="), counts[0],
+                        F.lit(f", {second}="), counts[1], F.lit(")"))
 
     pair = combo(F.col("proto"), F.col("service"))
     off_list = unapproved(F.col("proto"), F.col("service"), policy)
@@ -139,32 +153,45 @@ def evaluation(policy: Policy, status: Column | None = None, bias: Column | None
     base = [
         ("ml_fused_risk", F.lit(True), -ml_penalty, ml_reason),
         ("threat_classification", penalty > 0, -penalty, threat_reason),
-        ("quarantine_history", quarantined, price("quarantine_penalty"), seen("quarantined")),
-        ("allowlist_bonus", allowlisted & ~quarantined, F.lit(float(policy["allowlist_bonus"])), seen("allowlisted")),
-        ("evidence_bias", biased, bias, bias_reason),
+        ("quarantine_history", quarantined, price("quarantine_penalty"),
+         lambda: seen(F.lit("is quarantined"), "a")),
+        ("allowlist_bonus", allowlisted & ~quarantined, F.lit(float(policy["allowlist_bonus"])),
+         lambda: seen(F.lit("is allowlisted"), "a")),
+        ("evidence_bias", biased, bias,
+         lambda: seen(F.concat(F.lit("monitoring: bias="), fixed(bias, 3, plus=True)), "attack")),
         ("unapproved_proto_service", off_list, price("unapproved_combo_penalty"),
-         F.concat(F.lit("combo '"), pair, F.lit("' not in approved_proto_service_combos"))),
+         lambda: F.concat(F.lit("combo '"), pair, F.lit("' not in approved_proto_service_combos"))),
         ("after_hours_access", late, price("after_hours_penalty"),
-         F.concat(F.lit("event at hour="), hour.cast("string"),
-                  F.lit(f", outside business hours [{span['start']}–{span['end']})"))),
+         lambda: F.concat(F.lit("event at hour="), hour.cast("string"),
+                          F.lit(f", outside business hours [{span['start']}–{span['end']})"))),
         ("high_volume_anomaly", loud, price("high_volume_penalty"),
-         F.concat(F.lit("spkts="), spkts.cast("string"), F.lit(f" > threshold={volume_limit}"))),
+         lambda: F.concat(F.lit("spkts="), spkts.cast("string"), F.lit(f" > threshold={volume_limit}"))),
         ("high_categorical_risk", spiked, price("high_categorical_risk_penalty"),
-         F.concat(F.lit("categorical_risk="), fixed(cat_risk, 4), F.lit(f" > threshold={cat_limit}"))),
+         lambda: F.concat(F.lit("categorical_risk="), fixed(cat_risk, 4), F.lit(f" > threshold={cat_limit}"))),
     ]
-    violations = F.filter(F.array(
-        F.when(penalty >= F.lit(HIGH_SEVERITY_PENALTY),
-               F.concat(F.lit("HIGH_SEVERITY_THREAT: "), threat, F.lit(" exceeds critical threshold"))),
-        F.when(off_list, F.concat(F.lit("UNAPPROVED_COMBO: "), pair)),
-        F.when(late, F.concat(F.lit("AFTER_HOURS_ACCESS: event at "), F.lpad(hour.cast("string"), 2, "0"),
-                              F.lit(":xx local time"))),
-        F.when(loud, F.concat(F.lit("HIGH_VOLUME: spkts="), spkts.cast("string"))),
-    ), lambda v: v.isNotNull())
+
+    def violations() -> Column:
+        return F.filter(F.array(
+            F.when(penalty >= F.lit(HIGH_SEVERITY_PENALTY),
+                   F.concat(F.lit("HIGH_SEVERITY_THREAT: "), threat, F.lit(" exceeds critical threshold"))),
+            F.when(off_list, F.concat(F.lit("UNAPPROVED_COMBO: "), pair)),
+            F.when(late, F.concat(F.lit("AFTER_HOURS_ACCESS: event at "), F.lpad(hour.cast("string"), 2, "0"),
+                                  F.lit(":xx local time"))),
+            F.when(loud, F.concat(F.lit("HIGH_VOLUME: spkts="), spkts.cast("string"))),
+        ), lambda v: v.isNotNull())
+
     return Evaluated(base, violations, policy)
 
 
-def with_trust(events: DataFrame, policy: Policy, from_ledger: bool = False) -> DataFrame:
-    """Add `trust_score`, `factors`, `violations`, `is_acceptable`; columns nobody reads are pruned.
+def memory_change(status: Column, bias: Column, policy: Policy) -> Column:
+    """What the ledger adds to a score: penalty, bonus or bias."""
+    return (
+        F.when(status == "quarantined", F.lit(-float(policy["quarantine_penalty"])))
+        .when(status == "allowlisted", F.lit(float(policy["allowlist_bonus"]))).otherwise(bias))
+
+
+def with_trust(events: DataFrame, policy: Policy, from_ledger: bool = False, detail: bool = True) -> DataFrame:
+    """Add `trust_score` and `is_acceptable`, and with `detail` also `factors` and `violations`.
 
     With `from_ledger` the frame carries the ledger columns of `lookup_ledger`.
     """
@@ -173,9 +200,8 @@ def with_trust(events: DataFrame, policy: Policy, from_ledger: bool = False) ->
         ledger = dict(status=F.col("status"), bias=F.col("trust_bias"),
                       normals=F.col("confirmed_normal"), attacks=F.col("confirmed_attack"))
     result = evaluation(policy, **ledger)
-    return events.select(
-        "*",
-        result.score().alias("trust_score"),
-        result.factors().alias("factors"),
-        result.violations.alias("violations"),
-    ).withColumn("is_acceptable", F.col("trust_score") >= F.lit(float(policy["trust_score_threshold"])))
+    added = {"trust_score": result.score()}
+    if detail:
+        added |= {"factors": result.factors(), "violations": result.violations()}
+    return events.withColumns(added).withColumn(
+        "is_acceptable", F.col("trust_score") >= F.lit(float(policy["trust_score_threshold"])))

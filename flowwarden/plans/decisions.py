@@ -13,6 +13,7 @@ of all events is never walked event by event. The number of rounds does not grow
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ from flowwarden.config import (
 from flowwarden.functions.text import isolation_trigger
 from flowwarden.operators.decide import CONTAINED, decide, gated
 from flowwarden.operators.ledger import lookup_ledger
-from flowwarden.operators.trust import evaluation, with_trust
+from flowwarden.operators.trust import evaluation, memory_change, with_trust
 from flowwarden.schemas import LEDGER
 from flowwarden.session import materialise
 
@@ -50,8 +51,9 @@ def _emits(policy: Policy) -> Column:
 
     Only rows whose native route contains are asked.
     """
-    score = evaluation(policy, status=F.col("status"), bias=F.col("trust_bias")).score()
-    trusted = (score >= F.lit(float(policy["trust_score_threshold"]))) & (F.col("fused_risk") < F.lit(GREY_ZONE_LIMIT))
+    score = F.col("_before") + memory_change(F.col("status"), F.col("trust_bias"), policy) + F.col("_after")
+    held = F.greatest(F.lit(float(policy["score_floor"])), F.least(F.lit(float(policy["score_ceiling"])), F.round(score, 6)))
+    trusted = (held >= F.lit(float(policy["trust_score_threshold"]))) & (F.col("fused_risk") < F.lit(GREY_ZONE_LIMIT))
     return ~trusted
 
 
@@ -78,10 +80,12 @@ def _finished() -> Column:
 
 
 def replay(events: DataFrame, threshold: float, policy: Policy, ledger: DataFrame | None = None,
-           looks_benign: Column | None = None) -> Replay:
+           looks_benign: Column | None = None, detail: bool = False,
+           store: Callable[[DataFrame], DataFrame] | None = None) -> Replay:
     """Decisions of all events and the ledger they leave behind.
 
-    `events` are context rows with `signature` and a `seq` that is unique per signature. `ledger` is the
+    `detail` adds factors and violations to the decisions; `store` may write the decisions and return
+    the stored table, which the ledger is then computed from. `events` are context rows with `signature` and a `seq` that is unique per signature. `ledger` is the
     state before the first event (default: empty).
     """
     spark = events.sparkSession
@@ -89,10 +93,10 @@ def replay(events: DataFrame, threshold: float, policy: Policy, ledger: DataFram
     fused = F.coalesce(F.col("fused_risk"), F.lit(0.0))
     escalated = events.filter(gated(F.col("fused_risk"), threshold))
     held = F.greatest(F.lit(0.1), F.least(F.lit(1.0), fused))
-    writers = materialise(escalated.select(
-        "signature", "seq", "fused_risk", "cat_risk", "threat", "proto", "service", "spkts", "dstip", "ts",
-        held.alias("_conf"),
-    ).filter(_contained_by_rules(threshold)))
+    before_memory, after_memory = evaluation(policy).around_memory()
+    writers = materialise(escalated.filter(_contained_by_rules(threshold)).select(
+        "signature", "seq", "fused_risk", before_memory.alias("_before"), after_memory.alias("_after"),
+        held.alias("_conf")))
 
     names = writers.select("signature").distinct()
     state = lookup_ledger(names, before).select(
@@ -101,13 +105,14 @@ def replay(events: DataFrame, threshold: float, policy: Policy, ledger: DataFram
         F.coalesce("status", F.lit("monitoring")).alias("status"), F.lit(START).alias("since"))
     open_states = materialise(state)
     spans, rounds = open_states, 0
+    emits, unfinished, stepped = _emits(policy), ~_finished(), _stepped(policy)
     while True:
-        live = open_states.filter(~_finished())
-        due = writers.join(live, "signature").filter((F.col("seq") > F.col("since")) & _emits(policy))
+        live = open_states.filter(unfinished)
+        due = writers.join(live, "signature").filter((F.col("seq") > F.col("since")) & emits)
         first = due.groupBy("signature").agg(F.min(F.struct("seq", "_conf")).alias("_hit"))
         moved = live.join(first, "signature").select(
             "signature", *STATE, F.col("_hit.seq").alias("since"), F.col("_hit._conf").alias("_conf"))
-        open_states = materialise(moved.withColumns(_stepped(policy)).drop("_conf"))
+        open_states = materialise(moved.withColumns(stepped).drop("_conf"))
         if open_states.isEmpty():
             break
         rounds += 1
@@ -122,8 +127,10 @@ def replay(events: DataFrame, threshold: float, policy: Policy, ledger: DataFram
     base = known if known is not None else placed.select(
         "*", *[F.lit(None).cast("double").alias(c) for c in STATE[:3]], F.lit(None).cast("string").alias("status"))
     live_state = base.withColumns({c: F.coalesce(F.col(f"_at.{c}"), F.col(c)) for c in STATE}).drop("_spans", "_at")
-    decided = decide(with_trust(live_state, policy, from_ledger=True), threshold, looks_benign)
+    decided = decide(with_trust(live_state, policy, from_ledger=True, detail=detail), threshold, looks_benign)
 
+    if store is not None:
+        decided = store(decided)
     wrote = decided.filter((F.col("branch") != "gate") & F.col("playbook").isin(*CONTAINED)).groupBy("signature").agg(
         F.sum(held).alias("_attacks"), F.max("seq").alias("_last"))
     final = history.select("signature", F.element_at("_spans", -1).alias("_end"))

@@ -43,10 +43,13 @@ def live_decisions(stream: DataFrame, root: str, threshold: float, policy: Polic
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = read_snapshot(spark, f"{root}/ledger", LEDGER, before=batch_id)
-        done = replay(materialise(batch), threshold, policy, before)
-        append_batch(done.decisions, f"{root}/decisions", batch_id)
-        decided = spark.read.parquet(f"{root}/decisions/batch_id={batch_id}")
-        append_batch(playbook_actions(decided, steps_table(spark)), f"{root}/actions", batch_id)
+
+        def store(decided: DataFrame) -> DataFrame:
+            append_batch(decided, f"{root}/decisions", batch_id)
+            return spark.read.parquet(f"{root}/decisions/batch_id={batch_id}")
+
+        done = replay(materialise(batch), threshold, policy, before, store=store)
+        append_batch(playbook_actions(done.decisions, steps_table(spark)), f"{root}/actions", batch_id)
         write_snapshot(done.ledger, f"{root}/ledger", batch_id)
 
     return _start(once_per_event(stream, delay), handle, f"{root}/checkpoint", once)
