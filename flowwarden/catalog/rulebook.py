@@ -125,12 +125,12 @@ every AS (SELECT *, 2 + CASE WHEN c_service IS NULL THEN 0 ELSE 1 END + CASE WHE
             + CASE WHEN c_spkts IS NULL THEN 0 ELSE 1 END AS n_clauses, row_number() OVER (PARTITION BY lower(condition) ORDER BY o) AS nth
           FROM (SELECT * FROM old UNION ALL SELECT * FROM new)),
 firsts AS (SELECT * FROM every WHERE nth = 1),
-links AS (SELECT n.id, max(CASE WHEN b.o < n.o THEN 1 ELSE 0 END) AS covered,
-            arg_min(b.id, CASE WHEN b.o > n.o AND b.n_clauses < n.n_clauses THEN b.o END) AS by_id,
-            max(CASE WHEN b.o > n.o AND b.n_clauses < n.n_clauses THEN 1 ELSE 0 END) AS has_later
-          FROM firsts n JOIN firsts b ON b.playbook = n.playbook AND """ + _SUBSET + """ GROUP BY 1),
-fate AS (SELECT f.*, CASE WHEN l.covered = 1 AND NOT f.is_old THEN 'covered' WHEN l.has_later = 1 THEN 'replaced'
-           WHEN f.is_old THEN 'kept' ELSE 'inserted' END AS action, l.by_id FROM firsts f JOIN links l USING (id))"""
+covered AS (SELECT DISTINCT n.id FROM firsts n JOIN firsts b ON NOT n.is_old AND b.playbook = n.playbook AND b.o < n.o AND """ + _SUBSET + """),
+links AS (SELECT n.id, arg_min(b.id, b.o) AS by_id FROM firsts n JOIN firsts b ON NOT b.is_old AND b.id NOT IN (SELECT id FROM covered)
+            AND b.playbook = n.playbook AND b.o > n.o AND b.n_clauses < n.n_clauses AND """ + _SUBSET + """ GROUP BY 1),
+fate AS (SELECT f.*, CASE WHEN c.id IS NOT NULL THEN 'covered' WHEN l.by_id IS NOT NULL THEN 'replaced'
+           WHEN f.is_old THEN 'kept' ELSE 'inserted' END AS action, l.by_id
+         FROM firsts f LEFT JOIN covered c USING (id) LEFT JOIN links l USING (id))"""
 
 
 @query(sql("""SELECT id, condition, playbook, action, CASE WHEN action = 'replaced' THEN by_id END AS replaced_by FROM fate

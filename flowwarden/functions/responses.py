@@ -12,6 +12,17 @@ NO_RESPONSE = "Fail-safe: no response from the model."
 NO_JSON = "Fail-safe: model output no parseable JSON (think-chain overflow)."
 
 
+def parsed_strictly(body: Column) -> Column:
+    """Variant of a JSON text, null when it is not JSON as a whole.
+
+    The parser stops after the first value, so the text is embedded in an object whose last key must
+    still be found.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit('{"body":'), body, F.lit(',"end of body":1}')))
+    return let(wrapped, lambda v: F.when(
+        F.try_variant_get(v, '$["end of body"]', "int") == 1, F.try_variant_get(v, "$.body", "variant")))
+
+
 def _reader(parsed: Column):
     def field(name: str, kind: str = "string") -> Column:
         return F.try_variant_get(parsed, f"$.{name}", kind)
@@ -36,7 +47,7 @@ def decision_from_response(raw: Column) -> Column:
             failed.alias("is_llm_failsafe"),
         )
 
-    return let(F.try_parse_json(body), outcome)
+    return let(parsed_strictly(body), outcome)
 
 
 def rule_body(raw: Column) -> Column:
@@ -68,4 +79,4 @@ def rule_from_response(raw: Column) -> Column:
         )
         return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), made)
 
-    return let(F.try_parse_json(rule_body(raw)), rule)
+    return let(parsed_strictly(rule_body(raw)), rule)

@@ -16,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowwarden.functions.scores import inverted, normalise_score
 from flowwarden.operators.ordered import exact_percentiles
+from flowwarden.session import materialise, ship_package
 
 TAIL = 40
 NODE_SCHEMA = ("tree int, node int, left int, right int, dim int, cut double, n int, "
@@ -71,6 +73,7 @@ def grow_forest(samples: DataFrame, seed: int = 0) -> DataFrame:
         nodes = _grow(np.stack(ordered["x"].to_numpy()), np.random.default_rng([seed, tree]))
         return nodes.assign(tree=tree)[["tree", "node", "left", "right", "dim", "cut", "n", "low", "high"]]
 
+    ship_package(samples.sparkSession)
     return samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
@@ -85,39 +88,29 @@ def _mix(state: np.ndarray) -> np.ndarray:
 def _displacement(x: np.ndarray, key: np.ndarray, tree: dict[str, np.ndarray], number: int) -> np.ndarray:
     """Collusive displacement each row would have if it were inserted, all rows one level at a time.
 
-    At a node a random cut through the box stretched to the row either splits the row off, which ends
-    its walk next to that subtree, or lies inside the box, and the row follows the node's own cut. The
-    result is the largest sibling-to-own size ratio on the way up.
+    A random cut through a node's box, stretched to the row, parts the row from the node with the share
+    that the stretch has in the stretched size; the walk then ends beside that subtree. Otherwise the
+    row follows the node's own cut. The result is the largest sibling-to-own size ratio on the way up.
     """
     at = np.zeros(len(x), dtype=np.int64)
     worst = np.zeros(len(x))
-    live = np.arange(len(x))
+    live, own = np.arange(len(x)), x
     depth = 0
     while len(live):
-        node, own = at[live], x[live]
-        low, high = tree["low"][node], tree["high"][node]
-        wide_low = np.minimum(low, own)
-        reach = np.cumsum(np.maximum(high, own) - wide_low, axis=1)
-        salt = np.uint64((number * 1_000_003 + depth) & 0xFFFFFFFFFFFF)
-        draw = (_mix(key[live] ^ _mix(np.full(len(live), salt))) >> np.uint64(11)) * 2.0 ** -53
-        mark = draw * reach[:, -1]
-        dim = np.minimum((reach < mark[:, None]).sum(axis=1), x.shape[1] - 1)
-        pick = np.arange(len(live))
-        cut = wide_low[pick, dim] + reach[pick, dim] - mark
-        stretched = reach[:, -1] > (high - low).sum(axis=1)
-        splits = stretched & ((cut <= low[pick, dim]) | (cut >= high[pick, dim]))
-        leaf = tree["left"][node] < 0
-        ends = splits | leaf
-        gone = live[splits | (leaf & stretched)]
-        worst[gone] = np.maximum(worst[gone], tree["n"][at[gone]])
-        go = live[~ends]
-        here = at[go]
-        left = x[go, tree["dim"][here]] <= tree["cut"][here]
+        node = at[live]
+        stretch = np.maximum(np.maximum(tree["low"][node] - own, own - tree["high"][node]), 0.0).sum(axis=1)
+        salt = _mix(np.array([(number * 1_000_003 + depth) & 0xFFFFFFFFFFFF], dtype=np.uint64))
+        draw = (_mix(key[live] ^ salt) >> np.uint64(11)) * 2.0 ** -53
+        parted = draw * (tree["span"][node] + stretch) < stretch
+        ends = live[parted]
+        worst[ends] = np.maximum(worst[ends], tree["n"][at[ends]])
+        keep = ~parted & (tree["left"][node] >= 0)
+        live, own, here = live[keep], own[keep], node[keep]
+        left = own[np.arange(len(own)), tree["dim"][here]] <= tree["cut"][here]
         child = np.where(left, tree["left"][here], tree["right"][here])
         other = np.where(left, tree["right"][here], tree["left"][here])
-        worst[go] = np.maximum(worst[go], tree["n"][other] / (tree["n"][child] + 1.0))
-        at[go] = child
-        live = go
+        worst[live] = np.maximum(worst[live], tree["n"][other] / (tree["n"][child] + 1.0))
+        at[live] = child
         depth += 1
     return worst
 
@@ -141,13 +134,15 @@ class Forest:
                 "n": part["n"].to_numpy(dtype=float),
                 "low": np.stack(part["low"].to_numpy()), "high": np.stack(part["high"].to_numpy()),
             })
+            packed[-1]["span"] = (packed[-1]["high"] - packed[-1]["low"]).sum(axis=1)
         return cls(tuple(packed), pdf, anchors)
 
     def raw_scores(self, df: DataFrame, row_id: str = "seq", x: str = "x", name: str = "codisp") -> DataFrame:
         """Add the mean displacement over all trees; the forest itself never changes."""
+        ship_package(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast(self.trees)
         keyed = df.withColumn("_key", F.xxhash64(row_id))
-        schema = df.schema.add(name, "double")
+        schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             trees = shared.value
@@ -189,7 +184,7 @@ def fit_forest(points: DataFrame, trees: int = 80, size: int = 256, seed: int =
     """Grow a forest and calibrate it on its own rows, or take over anchors of another forest."""
     forest = Forest.pack(grow_forest(tree_samples(points, trees, size, seed), seed))
     if anchors is None:
-        scored = forest.raw_scores(points.select("seq", "x"))
+        scored = materialise(forest.raw_scores(points.select("seq", "x")).select("codisp"))
         row = exact_percentiles(scored, [], "codisp", list(ANCHOR_SHARES)).first()
         anchors = (row.p0, row.p1, row.p2)
     return Forest(forest.trees, forest.nodes, anchors)

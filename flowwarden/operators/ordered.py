@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 SEQ_CHUNK = 1 << 20
 SPLITS = 255
+STRIDE = 16
 
 
 def seq_chunk(seq: str, width: int = SEQ_CHUNK) -> Column:
@@ -90,10 +91,17 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, sums: dict[str
     splits = distinct.groupBy(*group).agg(
         F.array_distinct(F.percentile_approx(value, points, F.lit(10000))).alias("_splits")
     )
+    splits = splits.withColumn("_coarse", F.filter("_splits", lambda s, i: (i + 1) % STRIDE == 0))
     keyed = distinct if keys else distinct.withColumn("_all", F.lit(0))
-    chunked = keyed.join(F.broadcast(splits), names).withColumn(
-        "_chunk", F.size(F.filter("_splits", lambda s: s <= F.col(value)))
-    ).drop("_splits")
+
+    def reached(name: str | Column) -> Column:
+        return F.size(F.filter(name, lambda s: s <= F.col(value)))
+
+    # Splits passed so far: whole strides first, then the rest within one stride.
+    passed = keyed.join(F.broadcast(splits), names).withColumn("_strides", reached("_coarse") * STRIDE)
+    chunked = passed.withColumn(
+        "_chunk", F.col("_strides") + reached(F.slice("_splits", F.col("_strides") + 1, F.lit(STRIDE)))
+    ).drop("_splits", "_coarse", "_strides")
     totals = chunked.groupBy(*names, "_chunk").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
     before = W.partitionBy(*names).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select(

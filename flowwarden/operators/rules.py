@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowwarden.config import MAX_RULES, NATIVE_RULES, RULE_FN_LIMIT, RULE_HEADROOM
 from flowwarden.functions.conditions import clause_field, clause_key, clause_value, clauses, numeric_text
 from flowwarden.operators.ordered import keyed_rank, seq_chunk
-from flowwarden.session import rows_within
+from flowwarden.session import materialise, rows_within
 
 SHORT = 12
 BROADCAST_RULES = 100_000
@@ -78,8 +78,8 @@ def match_rules(events: DataFrame, rules: DataFrame, fields: dict[str, Column])
         F.array_sort(F.transform("clauses", lambda c: F.struct(
             clause_field(c).alias("f"), clause_value(c).alias("v")))).alias("_fv"),
     ).withColumn("_fields", F.array_join(F.col("_fv.f"), ",")).withColumn("_values", F.to_json(F.col("_fv.v")))
-    first = shaped.groupBy("_fields", "_values").agg(
-        F.min(F.struct("ord", "id", "playbook")).alias("_hit"))
+    first = materialise(shaped.groupBy("_fields", "_values").agg(
+        F.min(F.struct("ord", "id", "playbook")).alias("_hit")))
     known = sorted(fields)
     usable = [r[0] for r in first.select("_fields").distinct().collect()]
     usable = sorted(s for s in usable if set(s.split(",")) <= set(known))
@@ -137,24 +137,25 @@ def insert_rules(existing: DataFrame, fresh: DataFrame, mode: str = "intended")
         return marked.select(
             *cols, F.when(F.col("is_old"), "kept").when(F.col("is_repeat"), "identical").otherwise("inserted").alias("action"),
             F.lit(None).cast("string").alias("replaced_by"))
-    unique = with_clauses(marked.filter(~F.col("is_repeat")))
+    unique = materialise(with_clauses(marked.filter(~F.col("is_repeat"))))
     sets = unique.filter(F.col("n_clauses") > 0).groupBy(
         clause_key(F.col("clauses")).alias("_key"), "playbook").agg(
         F.min(F.struct("seq", "id")).alias("earliest"), F.first("clauses").alias("clauses"))
     slim = unique.select("id", "seq", "playbook", "clauses", "is_old")
     reach = covering_pairs(sets.select("playbook", "clauses", "earliest"), slim).filter(
         F.col("b_playbook") == F.col("n_playbook"))
-    earlier = F.col("b_earliest.seq") < F.col("n_seq")
-    broader_later = (F.col("b_earliest.seq") > F.col("n_seq")) & (F.size("b_clauses") < F.size("n_clauses"))
-    fate = reach.groupBy("n_id", "n_seq").agg(
-        F.max(earlier).alias("_covered"),
-        F.min(F.when(broader_later, F.col("b_earliest"))).alias("_by"))
-    judged = unique.join(
-        fate.select(F.col("n_id").alias("id"), F.col("n_seq").alias("seq"), "_covered", "_by"), ["id", "seq"], "left")
+    covered = reach.filter(~F.col("n_is_old") & (F.col("b_earliest.seq") < F.col("n_seq"))).select(
+        F.col("n_id").alias("id")).distinct().withColumn("_covered", F.lit(True))
+    judged = materialise(unique.join(covered, "id", "left").withColumn("_covered", F.coalesce("_covered", F.lit(False))))
+    writers = judged.filter(~F.col("is_old") & ~F.col("_covered")).select("id", "seq", "playbook", "clauses")
+    replaced = covering_pairs(writers, slim).filter(
+        (F.col("b_playbook") == F.col("n_playbook")) & (F.col("b_seq") > F.col("n_seq"))
+        & (F.size("b_clauses") < F.size("n_clauses"))
+    ).groupBy(F.col("n_id").alias("id")).agg(F.min(F.struct(F.col("b_seq").alias("seq"), F.col("b_id").alias("id"))).alias("_by"))
     action = (
-        F.when(F.coalesce("_covered", F.lit(False)) & ~F.col("is_old"), "covered")
-        .when(F.col("_by").isNotNull(), "replaced")
+        F.when(F.col("_covered"), "covered").when(F.col("_by").isNotNull(), "replaced")
         .when(F.col("is_old"), "kept").otherwise("inserted"))
+    judged = judged.join(replaced, "id", "left")
     repeats = marked.filter("is_repeat").select(
         *cols, F.lit("identical").alias("action"), F.lit(None).cast("string").alias("replaced_by"))
     done = judged.withColumn("action", action).select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowwarden.functions.text import fixed, rule_text, stable_id
 from flowwarden.schemas import VECTOR
+from flowwarden.session import ship_package
 
 CORRECTIONS, INCIDENTS, RULES = "correction_analyses", "incident_summaries", "synthesized_rules"
 NO_SIGNAL = "LLM unavailable"
@@ -184,6 +185,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, n: int, packed_rows: int = PA
     The side with at most `packed_rows` rows is broadcast after its size was checked; when neither is
     that small the sides meet block by block. An empty corpus gives no rows.
     """
+    ship_package(queries.sparkSession)
     q, c = queries.select("id", "embedding"), corpus.select("id", "embedding")
     small = c.limit(packed_rows + 1).toPandas()
     if len(small) == 0:

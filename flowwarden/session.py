@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever it was imported from; once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="flowwarden-zip-")) / root.name
+        spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", root.parent, root.name))
+        _SHIPPED.add(app)
+
+
 def rows_within(df: DataFrame, bound: int) -> bool:
     """True when `df` has at most `bound` rows; reads no more than bound + 1 of them."""
     return df.limit(bound + 1).count() <= bound
