@@ -86,35 +86,39 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, sums: dict[str
     """
     distinct = df.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     points = F.array(*[F.lit((i + 1) / (SPLITS + 1)) for i in range(SPLITS)])
-    group = keys or [F.lit(0).alias("_all")]
-    names = keys or ["_all"]
-    splits = distinct.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx(value, points, F.lit(10000))).alias("_splits")
-    )
-    splits = splits.withColumn("_coarse", F.filter("_splits", lambda s, i: (i + 1) % STRIDE == 0))
-    keyed = distinct if keys else distinct.withColumn("_all", F.lit(0))
+    splits = distinct.groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx(value, points, F.lit(10000))).alias("_splits"))
+    placed = _attach(distinct, splits, keys, "_splits").withColumn(
+        "_coarse", F.filter("_splits", lambda s, i: (i + 1) % STRIDE == 0))
 
-    def reached(name: str | Column) -> Column:
-        return F.size(F.filter(name, lambda s: s <= F.col(value)))
+    def reached(splits: str | Column) -> Column:
+        return F.size(F.filter(splits, lambda s: s <= F.col(value)))
 
     # Splits passed so far: whole strides first, then the rest within one stride.
-    passed = keyed.join(F.broadcast(splits), names).withColumn("_strides", reached("_coarse") * STRIDE)
+    passed = placed.withColumn("_strides", reached("_coarse") * STRIDE)
     chunked = passed.withColumn(
         "_chunk", F.col("_strides") + reached(F.slice("_splits", F.col("_strides") + 1, F.lit(STRIDE)))
     ).drop("_splits", "_coarse", "_strides")
-    totals = chunked.groupBy(*names, "_chunk").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
-    before = W.partitionBy(*names).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    totals = chunked.groupBy(*keys, "_chunk").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select(
-        *names, "_chunk",
+        *keys, "_chunk",
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
     )
-    inside = W.partitionBy(*names, "_chunk").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return chunked.join(F.broadcast(bases), [*names, "_chunk"]).select(
+    inside = W.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return chunked.join(F.broadcast(bases), [*keys, "_chunk"]).select(
         *keys, value, *sums,
         *[(F.col(f"_b_{n}") + F.sum(n).over(inside)).alias(f"{n}_upto") for n in sums],
     )
 
 
+def _attach(df: DataFrame, per_key: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Bring a one-row-per-key value to every row: by key, or as a scalar when there is no key."""
+    if keys:
+        return df.join(F.broadcast(per_key), keys)
+    return df.withColumn(name, per_key.select(name).scalar())
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """Linear-interpolated percentiles per key as columns `p0, p1, …` in the order of `shares`.
 
@@ -124,10 +128,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[f
     counted = cumulative_counts(
         df.filter(F.col(value).isNotNull()), keys, value, {"_n": F.lit(1).cast("long")}
     )
-    names = keys or ["_all"]
-    keyed = counted if keys else counted.withColumn("_all", F.lit(0))
-    sizes = keyed.groupBy(*names).agg(F.max("_n_upto").alias("_size"))
-    placed = keyed.join(F.broadcast(sizes), names)
+    sizes = counted.groupBy(*keys).agg(F.max("_n_upto").alias("_size"))
+    placed = _attach(counted, sizes, keys, "_size")
     first, last = F.col("_n_upto") - F.col("_n"), F.col("_n_upto") - 1
     picks = []
     for i, share in enumerate(shares):
@@ -135,7 +137,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[f
         low, high = F.floor(at), F.ceil(at)
         picks.append(F.max(F.when((first <= low) & (low <= last), F.col(value))).alias(f"_low{i}"))
         picks.append(F.max(F.when((first <= high) & (high <= last), F.col(value))).alias(f"_high{i}"))
-    found = placed.groupBy(*names, "_size").agg(*picks)
+    found = placed.groupBy(*keys, "_size").agg(*picks)
     out = []
     for i, share in enumerate(shares):
         at = F.lit(float(share)) * (F.col("_size") - 1)

@@ -122,7 +122,7 @@ def test_vector_store_round_trip_and_neighbours(spark, tmp_path):
 
 
 def test_documents_skip_what_carries_no_signal(spark, tiny):
-    base = inputs.contexts(spark, tiny).limit(3).withColumns({
+    base = inputs.contexts(spark, tiny).filter("seq < 3").withColumns({
         "mistake": F.lit("FP"), "rule_id": F.lit(None).cast("string"), "corrected_at": F.lit("t"), "context_text": F.lit("ctx"),
         "analysis": F.when(F.col("seq") == 0, "").when(F.col("seq") == 1, "x LLM unavailable y").otherwise("real"),
         "is_llm_failsafe": F.col("seq") == 0, "playbook": F.lit("ALLOW"), "reasoning": F.lit("r")})
