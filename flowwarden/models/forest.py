@@ -3,7 +3,7 @@
 A tree keeps `size` rows; a new row takes the place of a random old one. Equivalently, row i claims slot
 hash(i, tree) mod size and the newest claim stands, with the first `size` rows seated one per slot. A row
 survives `age` later rows with probability (1 - 1/size)^age, so only the newest `size * TAIL` rows can
-matter; all older ones are cut off by a plain top-k before rows are multiplied by trees.
+matter; all older ones are cut off before rows are multiplied by trees.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowwarden.functions.scores import inverted, normalise_score
-from flowwarden.operators.ordered import exact_percentiles
+from flowwarden.operators.ordered import exact_percentiles, newest_rows
 from flowwarden.session import materialise, ship_package
 
 TAIL = 40
@@ -30,7 +30,7 @@ ANCHOR_SHARES = (0.01, 0.99, 0.999)
 
 def tree_samples(points: DataFrame, trees: int = 80, size: int = 256, seed: int = 0) -> DataFrame:
     """At most `size` rows per tree as tree, slot, x. `points` holds seq and x (array of doubles)."""
-    tail = points.select("seq", "x").orderBy(F.col("seq").desc()).limit(size * TAIL)
+    tail = newest_rows(points.select("seq", "x"), "seq", size * TAIL)
     placed = tail.withColumn("_i", F.row_number().over(W.orderBy("seq")) - 1).withColumn(
         "_all", F.count(F.lit(1)).over(W.partitionBy()))
     whole = F.col("_all") < size * TAIL

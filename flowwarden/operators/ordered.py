@@ -27,8 +27,23 @@ def hash_order(seed: int, *ids: str) -> Column:
 
 
 def hash_chunk(order_key: Column) -> Column:
-    """Chunk of a hex order key: its first three digits, which sort as the key does."""
-    return F.substring(order_key, 1, 3)
+    """Chunk of a hex order key: its first four digits, which sort as the key does."""
+    return F.substring(order_key, 1, 4)
+
+
+def newest_rows(df: DataFrame, seq: str, n: int, width: int = SEQ_CHUNK) -> DataFrame:
+    """The n rows with the largest `seq`.
+
+    Counting per chunk first shows how far back the n-th newest row can lie, so the final top-k sees
+    about one chunk of rows and not n rows from every input task.
+    """
+    chunk = seq_chunk(seq, width)
+    sizes = df.groupBy(chunk.alias("_chunk")).agg(F.count(F.lit(1)).alias("_n"))
+    back = W.orderBy(F.col("_chunk").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    reached = sizes.withColumn("_upto", F.sum("_n").over(back)).filter(F.col("_upto") >= n)
+    start = reached.agg(F.max("_chunk").alias("_start")).scalar()
+    recent = df.filter(start.isNull() | (chunk >= start))
+    return recent.orderBy(F.col(seq).desc()).limit(n)
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], chunk: Column,

@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowwarden.functions.text import fixed, rule_text, stable_id
-from flowwarden.schemas import VECTOR
 from flowwarden.session import ship_package
 
 CORRECTIONS, INCIDENTS, RULES = "correction_analyses", "incident_summaries", "synthesized_rules"
@@ -105,6 +104,16 @@ def embed(df: DataFrame, text: str, width: int = 256) -> DataFrame:
     return unit.withColumn("embedding", vector_to_array("_unit")).drop("_tokens", "_tf", "_unit")
 
 
+def remember(current: DataFrame, documents: DataFrame, encoder=None) -> DataFrame:
+    """Embed new document rows and upsert them. `encoder` is a transformer or a function of a frame
+    that reads `document` and adds `embedding`; the default is the hashed one."""
+    if encoder is None:
+        encoded = embed(documents, "document")
+    else:
+        encoded = encoder.transform(documents) if hasattr(encoder, "transform") else encoder(documents)
+    return upsert(current, encoded.select(*current.columns))
+
+
 # ---- nearest neighbours -----------------------------------------------------------------------
 
 def _units(vectors) -> np.ndarray:
@@ -243,5 +252,3 @@ def context_block(queries: DataFrame, memory: DataFrame, incidents: int = 2, cor
     return queries.select(F.col("id").alias("query_id")).join(blocks, "query_id", "left").select(
         "query_id", F.coalesce("block", F.lit("")).alias("block"))
 
-
-EMPTY_VECTORS = VECTOR

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,16 +83,26 @@ def score_features(df: DataFrame, scaler: LinearScaler, forest: Forest, risk: Ri
     return scored.drop("probability", "classes")
 
 
-def out_of_fold(df: DataFrame, categorical: list[str], numeric: list[str], anchors, s: Settings = Settings()) -> DataFrame:
+@dataclass(frozen=True)
+class Fitters:
+    """The model fits a plan uses; any of them can be exchanged for one with the same signature."""
+
+    risk: Callable = fit_risk
+    threat: Callable = fit_threat
+    forest: Callable = attack_forest
+
+
+def out_of_fold(df: DataFrame, categorical: list[str], numeric: list[str], anchors, s: Settings = Settings(),
+                fit: Fitters = Fitters()) -> DataFrame:
     """Scores of every row by models that never saw it. Anchors come from the full-data forest."""
     folded = materialise(stratified_folds(df, "attack_cat", "seq", s.folds, s.seed))
     parts = []
     for fold in range(s.folds):
         rest, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-        scaler, forest = attack_forest(rest, numeric, s, anchors)
-        risk = fit_risk(rest, categorical, rounds=s.rounds, depth=s.depth, seed=s.seed)
+        scaler, forest = fit.forest(rest, numeric, s, anchors)
+        risk = fit.risk(rest, categorical, rounds=s.rounds, depth=s.depth, seed=s.seed)
         split = stratified_holdout(rest, "attack_cat", "seq", s.fold_holdout, s.seed)
-        threat = fit_threat(split.filter(~F.col("is_holdout")), split.filter("is_holdout"), categorical,
+        threat = fit.threat(split.filter(~F.col("is_holdout")), split.filter("is_holdout"), categorical,
                             rounds=s.rounds, depth=s.depth, seed=s.seed)
         parts.append(score_features(held, scaler, forest, risk, threat).select(
             "seq", "fold", "label", "attack_cat", "cat_risk", "anomaly_risk", "incident_entropy", "top2_margin"))
@@ -102,16 +113,16 @@ def out_of_fold(df: DataFrame, categorical: list[str], numeric: list[str], ancho
 
 
 def train(flows: DataFrame, row_id: str = "id", s: Settings = Settings(), cost_fn: int = COST_FN, cost_fp: int = COST_FP,
-          min_precision: float = 0.75, min_recall: float = 0.83) -> Artifacts:
+          min_precision: float = 0.75, min_recall: float = 0.83, fit: Fitters = Fitters()) -> Artifacts:
     frame, categorical, numeric = prepare(flows, row_id)
     frame = materialise(frame)
-    scaler, forest = attack_forest(frame, numeric, s)
-    oof = materialise(out_of_fold(frame, categorical, numeric, forest.anchors, s))
+    scaler, forest = fit.forest(frame, numeric, s)
+    oof = materialise(out_of_fold(frame, categorical, numeric, forest.anchors, s, fit))
     fusion = fit_fusion(oof, "label", cost_fn, cost_fp)
     threshold = optimal_threshold(fusion.transform(oof), "label", "fused_risk", cost_fn, cost_fp,
                                   min_precision=min_precision, min_recall=min_recall)
-    risk = fit_risk(frame, categorical, rounds=s.rounds, depth=s.depth, seed=s.seed)
+    risk = fit.risk(frame, categorical, rounds=s.rounds, depth=s.depth, seed=s.seed)
     split = stratified_holdout(frame, "attack_cat", "seq", s.final_holdout, s.seed)
-    threat = fit_threat(split.filter(~F.col("is_holdout")), split.filter("is_holdout"), categorical,
+    threat = fit.threat(split.filter(~F.col("is_holdout")), split.filter("is_holdout"), categorical,
                         rounds=s.rounds, depth=s.depth, seed=s.seed)
     return Artifacts(tuple(categorical), tuple(numeric), scaler, forest, risk, threat, fusion, materialise(threshold))

@@ -128,3 +128,37 @@ def test_classifiers_save_and_load(spark, tmp_path):
     assert all((r.threat == "Normal") == (r.attack_cat == "Normal") for r in out)
     threat.save(str(tmp_path / "threat"))
     assert threats.ThreatModel.load(str(tmp_path / "threat")).transform(unseen).count() == 1
+
+
+def test_newest_rows_equal_a_sort(spark):
+    from flowwarden.operators.ordered import newest_rows
+    df = spark.createDataFrame([(i * 7 % 1009 * 3,) for i in range(700)], "seq long").repartition(5)
+    want = sorted((r.seq for r in df.collect()), reverse=True)
+    for n in (1, 50, 700, 900):
+        assert sorted((r.seq for r in newest_rows(df, "seq", n, width=64).collect()), reverse=True) == want[:n]
+
+
+def test_responder_failures_become_failsafes(spark):
+    from flowwarden.operators.responder import respond
+    prompts = spark.createDataFrame([(i, "s", "bad" if i > 2 else "u") for i in range(4)], "event_id long, system_prompt string, user_prompt string")
+
+    def answer(batch):
+        if (batch["user_prompt"] == "bad").any():
+            raise RuntimeError("model is down")
+        return batch["event_id"].map(lambda i: '{"playbook": "ALLOW", "reasoning": "n%d"}' % i)
+
+    got = {r.event_id: r.answer for r in respond(prompts.coalesce(1), answer).collect()}
+    assert got[0].playbook == "ALLOW" and got[0].reasoning == "n0"
+    assert got[3].playbook == "NETWORK_ISOLATION" and got[3].is_llm_failsafe
+
+
+def test_remember_takes_any_encoder(spark):
+    from flowwarden.operators import vectors
+    from flowwarden.schemas import VECTOR
+    empty = spark.createDataFrame([], VECTOR)
+    docs = spark.createDataFrame([("c", "d1", "alpha beta", {"k": "v"}, 1), ("c", "d1", "alpha gamma", {"k": "w"}, 2)],
+                                 "collection string, doc_id string, document string, metadata map<string,string>, version long")
+    own = vectors.remember(empty, docs, lambda df: df.withColumn("embedding", F.array(F.lit(1.0))))
+    assert [(r.document, r.embedding) for r in own.collect()] == [("alpha gamma", [1.0])]
+    hashed = vectors.remember(empty, docs).first()
+    assert np.linalg.norm(hashed.embedding) == pytest.approx(1.0)
