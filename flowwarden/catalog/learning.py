@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowwarden.catalog import inputs
 from flowwarden.catalog.registry import query
 from flowwarden.catalog.scans import typed_flows
+from flowwarden.catalog.sqltext import sql
 from flowwarden.models import forest as forests, fusion, threats
 from flowwarden.operators import sampling
 from flowwarden.plans import scoring, training
@@ -26,10 +27,15 @@ def points(spark, sf_dir):
         F.col("spkts") / 100.0, F.col("dpkts") / 10.0, F.col("h") / 500000.0, F.col("cat_risk")).alias("x"))
 
 
-@query()
+@query(sql("""SELECT CAST(tree AS INTEGER) AS tree, CAST(slot AS INTEGER) AS slot, arg_max(round(x[1] + 10 * x[2] + 100 * x[3] + 1000 * x[4], 6), seq) AS x FROM (
+  SELECT *, CASE WHEN total < 10240 AND i < 256 THEN i ELSE CAST('0x' || substr(md5('0|' || seq || '|' || tree), 1, 6) AS BIGINT) % 256 END AS slot
+  FROM (SELECT seq, count(*) OVER () AS total, row_number() OVER (ORDER BY seq) - 1 AS i,
+          [spkts / 100.0, dpkts / 10.0, h / 500000.0, cat_risk] AS x
+        FROM (SELECT * FROM flows WHERE label = 1 ORDER BY seq DESC LIMIT 10240)), (SELECT unnest(generate_series(0, 79)) AS tree)) GROUP BY 1, 2""", "flows"))
 def forest_sample(spark, sf_dir):
     s = forests.tree_samples(points(spark, sf_dir).filter("label = 1"))
-    return s.select("tree", "slot", F.array_join(F.transform("x", lambda v: F.round(v, 6).cast("string")), ",").alias("x"))
+    weighed = sum(F.get("x", F.lit(i)) * float(10 ** i) for i in range(4))
+    return s.select("tree", "slot", F.round(weighed, 6).alias("x"))
 
 
 @query()

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowwarden.functions.scores import inverted, normalise_score
-from flowwarden.operators.ordered import exact_percentiles, newest_rows
+from flowwarden.operators.ordered import exact_percentiles, hash_order, newest_rows
 from flowwarden.session import materialise, ship_package
 
 TAIL = 40
@@ -36,7 +36,7 @@ def tree_samples(points: DataFrame, trees: int = 80, size: int = 256, seed: int
     whole = F.col("_all") < size * TAIL
     claims = placed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
         "slot", F.when(whole & (F.col("_i") < size), F.col("_i")).otherwise(
-            F.pmod(F.xxhash64("seq", "tree", F.lit(seed)), F.lit(size)).cast("int")))
+            (F.conv(F.substring(hash_order(seed, "seq", "tree"), 1, 6), 16, 10).cast("long") % size).cast("int")))
     return claims.groupBy("tree", "slot").agg(F.max_by("x", "seq").alias("x"))
 
 

@@ -135,7 +135,7 @@ def _class_scores(coded: DataFrame, models) -> DataFrame:
 
 def fit_threat(df: DataFrame, calibration: DataFrame, categorical: list[str], label: str = "attack_cat",
                rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP, seed: int = 42,
-               parallelism: int = 4) -> ThreatModel:
+               parallelism: int = 8) -> ThreatModel:
     """Fit every class against the rest on `df`, calibrate each on the held-out `calibration` rows."""
     classes = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc",
                             handleInvalid="keep").fit(df)

@@ -24,8 +24,10 @@ from flowwarden.config import (
     QUARANTINE_EVIDENCE, Policy,
 )
 from flowwarden.operators.ordered import SEQ_CHUNK, running_sums, seq_chunk
+from flowwarden.session import broadcast_within, materialise
 
 FIRST_ROWS = 64
+BROADCAST_SIGNATURES = 100_000
 FOLD_BITS = 16
 FOLD_LEVELS = 3
 
@@ -145,9 +147,8 @@ def walked_bias(evidence: DataFrame, ends: DataFrame) -> DataFrame:
     """Bias of monitoring signatures: the clamped walk over the rows after `restart`."""
     step = F.lit(BIAS_STEP) * held_confidence(F.col("confidence"))
     up = F.col("verdict") == "normal"
-    walking = evidence.join(
-        ends.filter(F.col("status") == "monitoring").select("signature", "restart"), "signature"
-    ).filter(F.col("restart").isNull() | (F.col("seq") > F.col("restart")))
+    open_ends = ends.filter(F.col("status") == "monitoring").select("signature", "restart")
+    walking = evidence.join(broadcast_within(open_ends, BROADCAST_SIGNATURES), "signature").filter(F.col("restart").isNull() | (F.col("seq") > F.col("restart")))
     steps = walking.select(
         "signature", F.col("seq").alias("pos"),
         F.when(up, step).otherwise(-step).alias("c"),
@@ -159,8 +160,8 @@ def walked_bias(evidence: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def build_ledger(evidence: DataFrame, policy: Policy) -> DataFrame:
-    """Final ledger of a whole evidence log."""
-    ends = _after_last(crossings(evidence))
+    """Final ledger of a whole evidence log. The crossings, one row per signature, are computed once."""
+    ends = materialise(_after_last(crossings(evidence)))
     joined = ledger_counters(evidence).join(ends, "signature").join(walked_bias(evidence, ends), "signature", "left")
     bias = (
         F.when(F.col("status") == "allowlisted", F.lit(float(policy["allowlist_bonus"])))

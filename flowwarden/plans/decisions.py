@@ -27,9 +27,10 @@ from flowwarden.operators.decide import CONTAINED, decide, gated
 from flowwarden.operators.ledger import lookup_ledger
 from flowwarden.operators.trust import evaluation, memory_change, with_trust
 from flowwarden.schemas import LEDGER
-from flowwarden.session import materialise
+from flowwarden.session import materialise, rows_within
 
 START = -(1 << 62)
+BROADCAST_SIGNATURES = 100_000
 STATE = ("confirmed_normal", "confirmed_attack", "trust_bias", "status")
 
 
@@ -104,11 +105,16 @@ def replay(events: DataFrame, threshold: float, policy: Policy, ledger: DataFram
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in STATE[:3]],
         F.coalesce("status", F.lit("monitoring")).alias("status"), F.lit(START).alias("since"))
     open_states = materialise(state)
+    few = rows_within(open_states, BROADCAST_SIGNATURES)  # later states are of the same signatures
+
+    def side(small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if few else small
+
     spans, rounds = open_states, 0
     emits, unfinished, stepped = _emits(policy), ~_finished(), _stepped(policy)
     while True:
         live = open_states.filter(unfinished)
-        due = writers.join(live, "signature").filter((F.col("seq") > F.col("since")) & emits)
+        due = writers.join(side(live), "signature").filter((F.col("seq") > F.col("since")) & emits)
         first = due.groupBy("signature").agg(F.min(F.struct("seq", "_conf")).alias("_hit"))
         moved = live.join(first, "signature").select(
             "signature", *STATE, F.col("_hit.seq").alias("since"), F.col("_hit._conf").alias("_conf"))
@@ -121,7 +127,7 @@ def replay(events: DataFrame, threshold: float, policy: Policy, ledger: DataFram
     # One row per signature: its few state spans in order. Bounded by the number of rounds.
     history = materialise(spans.groupBy("signature").agg(
         F.array_sort(F.collect_list(F.struct("since", *STATE))).alias("_spans")))
-    placed = events.join(history, "signature", "left").withColumn(
+    placed = events.join(side(history), "signature", "left").withColumn(
         "_at", F.element_at(F.filter("_spans", lambda s: s["since"] < F.col("seq")), -1))
     known = lookup_ledger(placed, before.select("signature", *STATE)) if ledger is not None else None
     base = known if known is not None else placed.select(
