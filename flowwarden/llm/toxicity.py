@@ -7,8 +7,8 @@ corpus plus channel costs, and the restored words are scored. Plain words restor
 
 The character model counts n-grams over all documents; the table has one row for each n-gram of a fixed alphabet, whatever the corpus.
 The classifier is fitted on at most `FIT_ROWS` labelled rows, those with the smallest hashes of their ids, each distinct text once:
-words that are far more frequent in toxic documents get log-odds weights, and a logistic curve maps a
-document's sum to a score. Only texts and the labels of rows outside the held-out fifth are read for it.
+restored words and their character n-grams that are far more frequent in toxic documents get log-odds weights, and a
+logistic curve over two figures of a document, the weights of its features and the average strongest weight of its words, gives the score. Only texts and the labels of rows outside the held-out fifth are read for it.
 
 Defined results: null, empty and wordless texts have no evidence and get the score of such texts; repeated rows get equal scores; rows
 without label or with null label are not fitted on; of several labels of one document the largest counts; without
@@ -29,13 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from flowwarden.llm.common import python_tasks, raw_texts, stored
 
 FIT_ROWS = 20_000
-#: A weighted word is in at least this share of toxic texts, and the lower bound of its log odds (so many standard
+#: A weighted feature is in at least this share of toxic texts, and the lower bound of its log odds (so many standard
 #: errors below the estimate) reaches the least one.
-MIN_SHARE, MIN_LOG_ODDS, ERRORS = 0.03, 2.0, 1.64
+MIN_SHARE, MIN_LOG_ODDS, ERRORS = 0.02, 2.0, 1.64
+#: Lengths of a word's n-grams that are features besides the word itself, word edges included.
+FEATURE_GRAMS = (4, 5, 6)
+#: The weights of a document's features count up to this sum; its words count as this many at least.
+CAP, FEW_WORDS = 200.0, 10
 ORDER, BEAM, MAX_WORD = 4, 48, 32
 
 # Letters that a character may stand for, besides itself.
@@ -138,13 +143,17 @@ def restore(shown: str, model: CharModel) -> list[str]:
 
 
 class Restorer:
-    """Restored words of texts; remembers every word it has seen, up to a bound."""
+    """Features of the restored words of texts; remembers what every word has shown, up to a bound.
 
-    def __init__(self, model: CharModel, remembered: int = 400_000):
-        self.model, self.remembered = model, remembered
+    With `only`, features outside of it are left out.
+    """
+
+    def __init__(self, model: CharModel, only: frozenset[str] | None = None, remembered: int = 60_000):
+        self.model, self.only, self.remembered = model, only, remembered if only is None else 10 * remembered
         self.known: dict[bytes, tuple[str, ...]] = {}
 
     def word(self, shown: bytes) -> tuple[str, ...]:
+        """Restored words of one shown word, and the word without marks."""
         bare, dressed = plain(shown), shown.strip(_MARKS)
         if not bare:
             return ()
@@ -156,49 +165,53 @@ class Restorer:
                 out += restore(bare.decode("utf-8", "replace"), self.model)
         return (*out, bare.decode("utf-8", "replace"))
 
-    def words(self, raw: bytes) -> set[str]:
-        """Distinct restored words of a whole text."""
+    def _features(self, words: list[str] | tuple[str, ...]) -> tuple[str, ...]:
+        found = set()
+        for w in words:
+            edged = EDGE + w + EDGE
+            found.add(edged)
+            for n in FEATURE_GRAMS:
+                found.update([edged[i:i + n] for i in range(len(edged) - n + 1)])
+        return tuple(found if self.only is None else found & self.only)
+
+    def by_word(self, raw: bytes) -> list[tuple[str, ...]]:
+        """Features of each distinct shown word of a whole text, and of each run of single letters."""
         low = raw.lower()
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        out: set[str] = set()
+        known = self.known
+        if len(known) > self.remembered:
+            known.clear()
+        out = []
         for shown in set(low.split()):
-            found = self.known.get(shown)
+            found = known.get(shown)
             if found is None:
-                found = self.known[shown] = self.word(shown)
-            out.update(found)
+                found = known[shown] = self._features(self.word(shown))
+            out.append(found)
         for run in _SPACED.findall(low):
-            out.update(restore(" ".join(run.decode().split()), self.model))
+            out.append(self._features(restore(" ".join(run.decode().split()), self.model)))
         return out
 
 
-_RESTORERS: dict[int, Restorer] = {}
+_RESTORERS: dict[tuple, Restorer] = {}
 
 
-def restorer_of(counts: dict[str, int]) -> Restorer:
-    """The worker's restorer for these counts; a worker keeps the last one between tasks."""
-    key = hash(frozenset(counts.items()))
+def restorer_of(counts: dict[str, int], only: frozenset[str] | None = None) -> Restorer:
+    """The worker's restorer for these counts and features; a worker keeps the last one between tasks."""
+    key = hash(frozenset(counts.items())), only
     if key not in _RESTORERS:
         _RESTORERS.clear()
-        _RESTORERS[key] = Restorer(CharModel(counts))
+        _RESTORERS[key] = Restorer(CharModel(counts), only)
     return _RESTORERS[key]
 
 
 @dataclass
 class ToxicModel:
-    """Character counts, word weights, and the logistic curve from a document's sum to its score."""
+    """Character counts, feature weights, and the logistic curve: shift, slope of the sum, slope of the average."""
 
     counts: dict[str, int]
     weights: dict[str, float] = field(default_factory=dict)
-    slope: float = 0.0
-    shift: float = 0.0
+    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
     constant: float | None = None
 
-    def score(self, evidence: float) -> float:
-        if self.constant is not None:
-            return self.constant
-        return 1 / (1 + math.exp(-min(60.0, max(-60.0, self.shift + self.slope * evidence))))
-
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
@@ -233,14 +246,31 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _word_sets(shared):
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        restorer = restorer_of(shared.value)
-        for texts in batches:
-            yield pa.array([sorted(restorer.words(raw)) for raw in raw_texts(texts)], pa.list_(pa.string()))
+def _count_features(counts, only=None):
+    """Tasks that count in how many texts and in how many of their words each feature is; the empty feature counts all."""
+
+    def table(texts: Counter, words: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(words), pa.string()), pa.array([texts[f] for f in words], pa.int64()), pa.array(list(words.values()), pa.int64())],
+            ["feature", "texts", "words"])
 
-    return sets
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = restorer_of(counts.value, only and only.value)
+        texts, words = Counter(), Counter()
+        for batch in batches:
+            for raw in raw_texts(batch.column(0)):
+                own = restorer.by_word(raw)
+                for found in own:
+                    words.update(found)
+                texts.update({f for found in own for f in found})
+                words[""] += len(own)
+                texts[""] += 1
+            if len(words) > 500_000:
+                yield table(texts, words)
+                texts, words = Counter(), Counter()
+        yield table(texts, words)
+
+    return counted
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int) -> DataFrame:
@@ -255,67 +285,78 @@ def fit_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
         rows: int = FIT_ROWS) -> ToxicModel:
+    """Features frequent in toxic texts first, then their counts in the others, then the curve."""
     counts = char_counts(docs, text)
     spark = docs.sparkSession
-    sets = _word_sets(spark.sparkContext.broadcast(counts))
-    seen = stored(fit_rows(docs, labels, doc_id, text, label, rows).select("_label", sets(F.col("_text")).alias("_words")), "toxic-fit")
+    shared = spark.sparkContext.broadcast(counts)
+    seen = stored(fit_rows(docs, labels, doc_id, text, label, rows), "toxic-fit")
     toxic = F.col("_label") == 1
     n, n1 = seen.agg(F.count(F.lit(1)), F.coalesce(F.count_if(toxic), F.lit(0))).first()
     if n1 in (0, n):
         return ToxicModel(counts, constant=n1 / n if n else 0.0)
     n0 = n - n1
-    odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-    table = seen.select(toxic.alias("toxic"), F.explode("_words").alias("word")).groupBy("word").agg(
-        F.count_if("toxic").alias("n1"), F.count_if(~F.col("toxic")).alias("n0"))
-    # At most 1 / MIN_SHARE words of a text's length can reach the share, so the list is short.
-    error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    strong = table.filter((F.col("n1") >= MIN_SHARE * n1) & (odds - ERRORS * error >= MIN_LOG_ODDS))
-    weights = {r["word"]: r["w"] for r in strong.select("word", odds.alias("w")).collect()}
-    slope, shift = _curve(seen, weights, toxic)
-    return ToxicModel(counts, weights, slope, shift)
-
-
-def _weigher(shared):
-    @F.arrow_udf(T.DoubleType())
-    def weigh(words: pa.Array) -> pa.Array:
-        weight = shared.value.get
-        return pa.array([math.fsum(weight(w, 0.0) for w in own) for own in words.to_pylist()], pa.float64())
-
-    return weigh
-
-
-def _curve(seen: DataFrame, weights: dict[str, float], toxic: Column) -> tuple[float, float]:
-    """Logistic regression of the label on the sum of weights, from counts of rounded sums."""
-    spark = seen.sparkSession
-    weigh = _weigher(spark.sparkContext.broadcast(weights))
-    evidence = weigh(F.col("_words"))
-    bins = seen.select(toxic.alias("toxic"), F.round(evidence, 1).alias("s")).groupBy("s").agg(
-        F.count_if("toxic").alias("n1"), F.count(F.lit(1)).alias("n")).collect()
-    s, n1, n = (np.array([r[k] for r in bins], float) for k in ("s", "n1", "n"))
-    beta, x = np.zeros(2), np.stack([np.ones_like(s), s / 5], axis=1)
-    for _ in range(60):
+
+    def feature_counts(texts: DataFrame, only=None) -> DataFrame:
+        own = texts.select("_text").mapInArrow(_count_features(shared, only), "feature string, texts bigint, words bigint")
+        return own.groupBy("feature").agg(F.sum("texts").alias("texts"), F.sum("words").alias("words"))
+
+    # A text of m features leaves at most m / MIN_SHARE of them for this list.
+    frequent = {r["feature"]: r["words"] for r in
+                feature_counts(seen.filter(toxic)).filter(F.col("texts") >= MIN_SHARE * n1).collect()}
+    listed = spark.sparkContext.broadcast(frozenset(frequent))
+    others = {r["feature"]: r["words"] for r in feature_counts(seen.filter(~toxic), listed).collect()}
+    all1, all0 = (max(1, c.pop("", 1)) for c in (frequent, others))
+    weights = {}
+    for feature, k in frequent.items():
+        k1, k0 = k + 0.5, others.get(feature, 0) + 0.5
+        odds = math.log(k1 / all1) - math.log(k0 / all0)
+        if odds - ERRORS * math.sqrt(1 / k1 + 1 / k0) >= MIN_LOG_ODDS:
+            weights[feature] = odds
+    return ToxicModel(counts, weights, _curve(seen, ToxicModel(counts, weights), toxic))
+
+
+def _curve(seen: DataFrame, model: ToxicModel, toxic: Column) -> tuple[float, float, float]:
+    """Logistic regression of the label on the two figures, over the fitted rows (their number is the documented bound)."""
+    evidence = _evidence(seen.sparkSession.sparkContext.broadcast(model))
+    rows = seen.select(toxic.cast("int").alias("y"), evidence(F.col("_text")).alias("e")).select("y", "e.*").groupBy(
+        "y", F.round("total", 1).alias("total"), F.round("average", 3).alias("average")).agg(F.count(F.lit(1)).alias("n")).collect()
+    y, n, total, average = (np.array([r[k] for r in rows], float) for k in ("y", "n", "total", "average"))
+    x = np.stack([np.ones_like(y), total / CAP, average], axis=1)
+    beta = np.zeros(3)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -60, 60)))
-        grad = x.T @ (n1 - n * p) - 0.1 * beta
-        beta = beta + np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), grad)
-    return float(beta[1] / 5), float(beta[0])
+        grad = x.T @ (n * (y - p)) - 0.1 * beta
+        beta = beta + 0.5 * np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), grad)
+    return float(beta[0]), float(beta[1] / CAP), float(beta[2])
+
+
+_EVIDENCE = pa.struct([("total", pa.float64()), ("average", pa.float64())])
 
 
-def scorer(model: ToxicModel, spark):
-    """Arrow UDF text → score."""
-    shared = spark.sparkContext.broadcast(model)
+def _evidence(shared):
+    """Arrow UDF text → (sum of the weights of its features, average over its words of their strongest weight)."""
 
-    @F.arrow_udf(T.DoubleType())
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf(from_arrow_type(_EVIDENCE))
+    def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        restorer, weight = restorer_of(own.counts), own.weights.get
+        restorer, weight = restorer_of(own.counts, frozenset(own.weights)), own.weights
         for texts in batches:
-            yield pa.array([own.score(math.fsum(weight(w, 0.0) for w in restorer.words(raw))) for raw in raw_texts(texts)],
-                           pa.float64())
+            totals, averages = [], []
+            for raw in raw_texts(texts):
+                found = restorer.by_word(raw)
+                marked = [f for f in found if f]
+                totals.append(min(CAP, math.fsum(weight[f] for f in sorted({f for fs in marked for f in fs}))))
+                averages.append(math.fsum(max(weight[f] for f in fs) for fs in marked) / max(FEW_WORDS, len(found)))
+            yield pa.StructArray.from_arrays([pa.array(totals, pa.float64()), pa.array(averages, pa.float64())], fields=list(_EVIDENCE))
 
-    return score
+    return evidence
 
 
 def with_scores(docs: DataFrame, model: ToxicModel, into: str = "score", text: str = "text") -> DataFrame:
-    """`docs` plus the score of every text."""
+    """`docs` plus the score of every text: the logistic curve over its evidence."""
     python_tasks(docs.sparkSession)
-    return docs.withColumn(into, scorer(model, docs.sparkSession)(F.col(text)))
+    if model.constant is not None:
+        return docs.withColumn(into, F.lit(model.constant))
+    e = _evidence(docs.sparkSession.sparkContext.broadcast(model))(F.col(text))
+    shift, total, average = model.curve
+    return docs.withColumn(into, 1 / (1 + F.exp(-(F.lit(shift) + F.lit(total) * e["total"] + F.lit(average) * e["average"]))))
