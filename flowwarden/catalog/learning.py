@@ -28,10 +28,9 @@ def points(spark, sf_dir):
 
 
 @query(sql("""SELECT CAST(tree AS INTEGER) AS tree, CAST(slot AS INTEGER) AS slot, arg_max(round(x[1] + 10 * x[2] + 100 * x[3] + 1000 * x[4], 6), seq) AS x FROM (
-  SELECT *, CASE WHEN total < 10240 AND i < 256 THEN i ELSE CAST('0x' || substr(md5('0|' || seq || '|' || tree), 1, 6) AS BIGINT) % 256 END AS slot
-  FROM (SELECT seq, count(*) OVER () AS total, row_number() OVER (ORDER BY seq) - 1 AS i,
-          [spkts / 100.0, dpkts / 10.0, h / 500000.0, cat_risk] AS x
-        FROM (SELECT * FROM flows WHERE label = 1 ORDER BY seq DESC LIMIT 10240)), (SELECT unnest(generate_series(0, 79)) AS tree)) GROUP BY 1, 2""", "flows"))
+  SELECT *, CASE WHEN i < 256 THEN i ELSE CAST('0x' || substr(md5('0|' || seq || '|' || tree), 1, 6) AS BIGINT) % 256 END AS slot
+  FROM (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS i, [spkts / 100.0, dpkts / 10.0, h / 500000.0, cat_risk] AS x
+        FROM flows WHERE label = 1), (SELECT unnest(generate_series(0, 79)) AS tree)) GROUP BY 1, 2""", "flows"))
 def forest_sample(spark, sf_dir):
     s = forests.tree_samples(points(spark, sf_dir).filter("label = 1"))
     weighed = sum(F.get("x", F.lit(i)) * float(10 ** i) for i in range(4))

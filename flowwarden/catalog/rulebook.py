@@ -146,11 +146,13 @@ def rule_insert_observed(spark, sf_dir):
     return rules.insert_rules(old, new, mode="observed").select("id", "action")
 
 
-@query(sql("""SELECT f.id AS rule_id, r.replaced FROM fate f LEFT JOIN (SELECT by_id, arg_min(id, o) AS replaced FROM fate WHERE action = 'replaced' GROUP BY 1) r
+@query(sql("""SELECT f.id AS rule_id, f.event_id, 'Autonomous_Evaluation_' || CASE WHEN f.playbook = 'ALLOW' THEN 'FP' ELSE 'FN' END AS trigger,
+              f.ts AS appended_at, r.replaced FROM fate f LEFT JOIN (SELECT by_id, arg_min(id, o) AS replaced FROM fate WHERE action = 'replaced' GROUP BY 1) r
               ON r.by_id = f.id WHERE f.action = 'inserted'""", "candidates", extra=_INSERT))
 def rule_audit(spark, sf_dir):
-    old, new = _batches(spark, sf_dir)
-    return rules.audit_rows(rules.insert_rules(old, new), "batch").select("rule_id", "replaced")
+    origin = {"mistake": F.when(F.col("playbook") == "ALLOW", "FP").otherwise("FN"), "created_at": F.col("ts")}
+    old, new = (part.withColumns(origin) for part in _batches(spark, sf_dir))
+    return rules.audit_rows(rules.insert_rules(old, new))
 
 
 @query(sql("""SELECT 'intended' AS mode, id FROM rules QUALIFY row_number() OVER (ORDER BY seq DESC) <= 18
@@ -179,16 +181,16 @@ _CORR = _RULE_SQL + """,
 wrong AS (SELECT *, CASE WHEN label = 0 THEN 'FP' ELSE 'FN' END AS mistake FROM decided WHERE thr < 0.6 AND
   ((label = 0 AND playbook IN ('NETWORK_ISOLATION', 'STEP_UP_AUTH', 'RATE_LIMIT_DOS')) OR (label = 1 AND playbook = 'ALLOW'))),
 fixes AS (SELECT w.event_id, w.seq, w.ts, w.label, w.signature, w.mistake, w.k, a.rid, a.clean, a.want,
-    a.event_id % 6 < 4 AND w.event_id % 7 <> 0 AS has_rule,
-    CASE WHEN w.mistake = 'FN' THEN """ + _BLAMED.replace("event_id", "w.event_id").replace(" k", " w.k").replace("+ k", "+ w.k") + """ END AS implicated
+    a.event_id % 6 < 4 AND w.event_id % 7 <> 0 AND w.event_id % 11 <> 0 AS has_rule,
+    CASE WHEN w.mistake = 'FN' AND w.event_id % 11 <> 0 THEN """ + _BLAMED.replace("event_id", "w.event_id").replace(" k", " w.k").replace("+ k", "+ w.k") + """ END AS implicated
   FROM wrong w JOIN asked a USING (event_id))"""
 
 
 def records(spark, sf_dir):
-    """Correction records of the low-threshold decisions."""
+    """Correction records of the low-threshold decisions; one in eleven got no answer."""
     answers = _asked(spark, sf_dir).join(
         inputs.contexts(spark, sf_dir).select("event_id", F.expr(_BLAME).alias("analysis")), "event_id"
-    ).select("event_id", "analysis", "rule_raw", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("corrected_at"))
+    ).select("event_id", "analysis", "rule_raw", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("corrected_at")).filter("event_id % 11 <> 0")
     d = inputs.decisions(spark, sf_dir, inputs.LOW, detail=True).withColumn("reasoning", F.lit("text without numbers"))
     return corr.correct(d, answers)
 
@@ -250,7 +252,7 @@ def prompts(spark, sf_dir):
 
 
 @query(sql("""SELECT collection, count(*) AS documents FROM (
-  SELECT DISTINCT 'correction_analyses' AS collection, event_id FROM fixes WHERE event_id % 7 <> 0
+  SELECT DISTINCT 'correction_analyses' AS collection, event_id FROM fixes WHERE event_id % 7 <> 0 AND event_id % 11 <> 0
   UNION ALL SELECT DISTINCT 'incident_summaries', event_id FROM decided WHERE thr < 0.6 AND branch = 'responder'
   UNION ALL SELECT DISTINCT 'synthesized_rules', event_id FROM fixes WHERE has_rule) GROUP BY 1""", "decided", "candidates", extra=_CORR))
 def vec_stats(spark, sf_dir):

@@ -73,7 +73,7 @@ branched AS (
   SELECT *, CASE WHEN fused_risk <= thr THEN 'gate' WHEN trust_score >= 0.4 AND fused_risk < 0.85 THEN 'trusted'
       ELSE 'responder' END AS branch FROM routed),
 decided AS (
-  SELECT *,
+  SELECT * REPLACE (CASE WHEN branch <> 'gate' THEN trust_score END AS trust_score),
     CASE branch WHEN 'gate' THEN 'LOG_ONLY' WHEN 'trusted' THEN 'ALLOW' ELSE
       CASE native_rule WHEN 1 THEN 'ALLOW' WHEN 2 THEN 'ALLOW' WHEN 3 THEN 'RATE_LIMIT_DOS' WHEN 4 THEN 'ALLOW'
         WHEN 5 THEN 'NETWORK_ISOLATION' WHEN 6 THEN 'NETWORK_ISOLATION' ELSE 'STEP_UP_AUTH' END END AS playbook,

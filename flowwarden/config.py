@@ -157,3 +157,9 @@ class Policy:
 
     def unlisted_penalty(self) -> float:
         return self["threat_class_penalties"].get("UNKNOWN", UNLISTED_THREAT_PENALTY)
+
+
+# Fixed value: analysis of a misdecision that no model explained.
+NO_ANALYSIS = "Unable to generate analysis: LLM unavailable. Autonomous fallback triggered."
+# Fixed value: start of the trigger of audit rows; the kind of mistake follows.
+AUDIT_TRIGGER = "Autonomous_Evaluation_"

@@ -1,9 +1,9 @@
 """Random-cut anomaly forest: bounded tree samples, tree building per group, blind scoring.
 
 A tree keeps `size` rows; a new row takes the place of a random old one. Equivalently, row i claims slot
-hash(i, tree) mod size and the newest claim stands, with the first `size` rows seated one per slot. A row
-survives `age` later rows with probability (1 - 1/size)^age, so only the newest `size * TAIL` rows can
-matter; all older ones are cut off before rows are multiplied by trees.
+hash(i, tree) mod size and the newest claim stands, with the first `size` rows seated one per slot. Once
+every slot of every tree is claimed within the newest rows, no older row can win one, so the search goes
+back only as far as that takes, or to the first row.
 """
 
 from __future__ import annotations
@@ -22,22 +22,34 @@ from flowwarden.functions.scores import inverted, normalise_score
 from flowwarden.operators.ordered import exact_percentiles, hash_order, newest_rows
 from flowwarden.session import materialise, ship_package
 
-TAIL = 40
+#: Rows per slot that the first look goes back.
+REACH = 40
 NODE_SCHEMA = ("tree int, node int, left int, right int, dim int, cut double, n int, "
                "low array<double>, high array<double>")
 ANCHOR_SHARES = (0.01, 0.99, 0.999)
 
 
-def tree_samples(points: DataFrame, trees: int = 80, size: int = 256, seed: int = 0) -> DataFrame:
-    """At most `size` rows per tree as tree, slot, x. `points` holds seq and x (array of doubles)."""
-    tail = newest_rows(points.select("seq", "x"), "seq", size * TAIL)
-    placed = tail.withColumn("_i", F.row_number().over(W.orderBy("seq")) - 1).withColumn(
-        "_all", F.count(F.lit(1)).over(W.partitionBy()))
-    whole = F.col("_all") < size * TAIL
-    claims = placed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "slot", F.when(whole & (F.col("_i") < size), F.col("_i")).otherwise(
-            (F.conv(F.substring(hash_order(seed, "seq", "tree"), 1, 6), 16, 10).cast("long") % size).cast("int")))
-    return claims.groupBy("tree", "slot").agg(F.max_by("x", "seq").alias("x"))
+def tree_samples(points: DataFrame, trees: int = 80, size: int = 256, seed: int = 0, reach: int = REACH) -> DataFrame:
+    """At most `size` rows per tree as tree, slot, x. `points` holds a unique seq and x (array of doubles).
+
+    The first look goes `reach` rows per slot back, each further one four times as far, until all slots are
+    claimed or the rows end. The result does not depend on it.
+    """
+    rows = points.select("seq", "x")
+    total = rows.count()
+    # `size` rows: one window over them numbers the seats.
+    seats = rows.select("seq").orderBy("seq").limit(size).select(
+        F.col("seq").alias("_seat_seq"), (F.row_number().over(W.orderBy("seq")) - 1).alias("_seat"))
+    claimed = (F.conv(F.substring(hash_order(seed, "seq", "tree"), 1, 6), 16, 10).cast("long") % size).cast("int")
+    back = size * reach
+    while True:
+        tail = newest_rows(rows, "seq", back) if back < total else rows
+        claims = tail.join(F.broadcast(seats), F.col("seq") == F.col("_seat_seq"), "left").withColumn(
+            "tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("slot", F.coalesce("_seat", claimed))
+        sample = materialise(claims.groupBy("tree", "slot").agg(F.max_by("x", "seq").alias("x")))
+        if back >= total or sample.count() == trees * size:
+            return sample
+        back *= 4
 
 
 def _grow(points: np.ndarray, rng: np.random.Generator) -> pd.DataFrame:
@@ -138,27 +150,26 @@ class Forest:
         return cls(tuple(packed), pdf, anchors)
 
     def raw_scores(self, df: DataFrame, row_id: str = "seq", x: str = "x", name: str = "codisp") -> DataFrame:
-        """Add the mean displacement over all trees; the forest itself never changes."""
+        """Add the mean displacement over all trees; the forest itself never changes.
+
+        Only the point and a hash of the row's id go through Python, so scans stay pruned.
+        """
         ship_package(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast(self.trees)
-        keyed = df.withColumn("_key", F.xxhash64(row_id))
-        schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @F.pandas_udf(T.DoubleType())
+        def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             trees = shared.value
-            for batch in batches:
-                key = batch["_key"].to_numpy().astype(np.int64).view(np.uint64)
-                out = batch.drop(columns="_key")
-                if len(batch):
-                    points = np.stack(batch[x].to_numpy()).astype(float)
-                    with np.errstate(over="ignore"):
-                        total = sum(_displacement(points, key, t, i) for i, t in enumerate(trees))
-                    out = out.assign(**{name: total / len(trees)})
-                else:
-                    out = out.assign(**{name: pd.Series(dtype=float)})
-                yield out
-
-        return keyed.mapInPandas(scan, schema)
+            for own, hashed in batches:
+                if not len(own):
+                    yield pd.Series(dtype=float)
+                    continue
+                key, points = hashed.to_numpy().astype(np.int64).view(np.uint64), np.stack(own.to_numpy()).astype(float)
+                with np.errstate(over="ignore"):
+                    total = sum(_displacement(points, key, t, i) for i, t in enumerate(trees))
+                yield pd.Series(total / len(trees))
+
+        return df.withColumn(name, scan(F.col(x), F.xxhash64(row_id)))
 
     def anomaly_risk(self, df: DataFrame, row_id: str = "seq", x: str = "x", name: str = "anomaly_risk",
                      attack_trained: bool = True) -> DataFrame:

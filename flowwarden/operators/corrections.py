@@ -12,6 +12,7 @@ from flowwarden.functions.signature import (
 )
 from flowwarden.functions.text import context_text, evidence_summary, rendered_rules
 from flowwarden.operators.decide import misdecisions
+from flowwarden.config import NO_ANALYSIS
 from flowwarden.operators.vectors import NO_SIGNAL
 from flowwarden.sources.flows import slim_context
 
@@ -31,13 +32,17 @@ def ledger_key(decisions: DataFrame) -> Column:
 
 
 def correct(decisions: DataFrame, responses: DataFrame, label: str = "label") -> DataFrame:
-    """One record per corrected misdecision.
+    """One record per corrected misdecision, answered or not.
 
-    Fail-safe decisions are left alone. `responses` holds event_id, analysis, rule_raw, corrected_at.
+    Fail-safe decisions are left alone. `responses` holds event_id, analysis, rule_raw, corrected_at; without an
+    answer the analysis is the fallback text, there is no rule, and the event's own time stands for the correction.
     A rule is read only when the analysis is a real one; a missed attack also names the rule to blame.
     """
     wrong = misdecisions(decisions, label).filter(~F.coalesce("is_llm_failsafe", F.lit(False)))
-    joined = wrong.join(responses, "event_id").withColumn(
+    own_time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if "ts" in decisions.columns else F.lit(None).cast("string")
+    joined = wrong.join(responses, "event_id", "left").withColumns({
+        "analysis": F.coalesce("analysis", F.lit(NO_ANALYSIS)), "corrected_at": F.coalesce("corrected_at", own_time),
+    }).withColumn(
         "rule", F.when(~F.contains("analysis", F.lit(NO_SIGNAL)), rule_from_response(F.col("rule_raw"))))
     blamed = F.when(F.col("mistake") == "FN", implicated_rule(
         F.concat_ws(" ", F.coalesce("reasoning", F.lit("")), "analysis")))

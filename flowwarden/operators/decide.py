@@ -10,6 +10,8 @@ from flowwarden.functions.text import fixed, isolation_trigger
 
 ESCALATED = ("NETWORK_ISOLATION", "STEP_UP_AUTH", "RATE_LIMIT_DOS")
 CONTAINED = ("NETWORK_ISOLATION", "RATE_LIMIT_DOS")
+#: Columns of the policy stage.
+EVALUATED = ("trust_score", "is_acceptable", "factors", "violations")
 PASSED = ("ALLOW", "LOG_ONLY")
 
 
@@ -57,8 +59,10 @@ def decide(events: DataFrame, threshold: float, looks_benign: Column | None = No
         .otherwise("responder")
     )
     at = F.col("branch")
+    # The policy stage never sees gated events, so nothing it says about them is kept.
+    kept = [F.when(at != "gate", F.col(c)).alias(c) if c in EVALUATED else F.col(c) for c in events.columns]
     return routed.withColumn("branch", branch).select(
-        *events.columns, "branch",
+        *kept, "branch",
         F.when(at == "gate", "LOG_ONLY").when(at == "trusted", "ALLOW")
         .when(at == "quarantine", "NETWORK_ISOLATION").otherwise(F.col("_route.playbook")).alias("playbook"),
         F.when(at == "responder", F.col("_route.rule")).alias("rule"),

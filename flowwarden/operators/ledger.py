@@ -2,19 +2,21 @@
 
 An evidence log holds `signature, seq, verdict, confidence`; seq is unique per signature and rises
 with arrival. Confidence is held in [0.05, 1], so the thresholds (3 normals, 2 attacks, 0.5 of
-counter-evidence) are all crossed within the first 64 rows of a verdict. A signature's whole status
+counter-evidence) are all crossed within the first `FIRST_ROWS` rows of a verdict. A signature's whole status
 history follows from where four running sums cross:
 
     allowlisted  from N>=3 (if A<0.5 there) until A>=2
     quarantined  from A>=2 (if N<0.5 there) until N>=3
 
-and a demoted signature is never promoted again, because both sums are large by then. The first 64
+and a demoted signature is never promoted again, because both sums are large by then. The first
 rows per signature and verdict are found with a group limit that runs before the shuffle, so a hot
-signature sends 64 rows per input task and not its history.
+signature sends that many rows per input task and not its history.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ from flowwarden.config import (
 from flowwarden.operators.ordered import SEQ_CHUNK, running_sums, seq_chunk
 from flowwarden.session import broadcast_within, materialise
 
-FIRST_ROWS = 64
+#: Rows of a verdict after which every threshold is crossed, whatever their confidence.
+FIRST_ROWS = math.ceil(max(ALLOW_EVIDENCE, QUARANTINE_EVIDENCE, COUNTER_EVIDENCE) / MIN_CONFIDENCE) + 1
 BROADCAST_SIGNATURES = 100_000
 FOLD_BITS = 16
 FOLD_LEVELS = 3

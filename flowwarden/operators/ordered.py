@@ -7,13 +7,27 @@ A key that owns a third of all rows is therefore spread over as many tasks as it
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowwarden.session import rows_within
+
 SEQ_CHUNK = 1 << 20
 SPLITS = 255
 STRIDE = 16
+#: Keys up to which the per-key tables of value splits are broadcast.
+FEW_KEYS = 1000
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by key columns, where null equals null; the left side's columns come first."""
+    other = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def seq_chunk(seq: str, width: int = SEQ_CHUNK) -> Column:
@@ -50,7 +64,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], chunk: Column
                  sums: dict[str, Column]) -> DataFrame:
     """Add inclusive running sums in `order` within `keys`; `chunk` must rise with `order`.
 
-    Key columns must not be null.
+    Null keys are keys of their own, and rows with a null order value come first.
     """
     staged = df.withColumn("_chunk", chunk)
     totals = staged.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
@@ -60,7 +74,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], chunk: Column
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
     )
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = staged.join(bases, [*keys, "_chunk"])
+    joined = join_keys(staged, bases, [*keys, "_chunk"])
     added = joined.select(
         "*", *[(F.col(f"_b_{n}") + F.sum(c).over(inside)).alias(n) for n, c in sums.items()]
     )
@@ -96,14 +110,15 @@ def trailing_mean(df: DataFrame, value: str, seq: str, name: str, window: int =
 def cumulative_counts(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
     """Per distinct value: its own totals and, as `<name>_upto`, the totals of all values up to it.
 
-    `keys` must be few (column names, classes): the value splits, at most 255 per key, and the
-    chunk bases, at most 256 per key, are the only tables that are broadcast.
+    The value splits, at most 255 per key, and the chunk bases, at most 256 per key, are broadcast if the
+    keys were counted and are few (column names, classes); with more keys they are joined by shuffle.
     """
+    few = not keys or rows_within(df.select(*keys).distinct(), FEW_KEYS)
     distinct = df.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     points = F.array(*[F.lit((i + 1) / (SPLITS + 1)) for i in range(SPLITS)])
     splits = distinct.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, points, F.lit(10000))).alias("_splits"))
-    placed = _attach(distinct, splits, keys, "_splits").withColumn(
+    placed = _attach(distinct, splits, keys, "_splits", few).withColumn(
         "_coarse", F.filter("_splits", lambda s, i: (i + 1) % STRIDE == 0))
 
     def reached(splits: str | Column) -> Column:
@@ -121,16 +136,16 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, sums: dict[str
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
     )
     inside = W.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return chunked.join(F.broadcast(bases), [*keys, "_chunk"]).select(
+    return join_keys(chunked, F.broadcast(bases) if few else bases, [*keys, "_chunk"]).select(
         *keys, value, *sums,
         *[(F.col(f"_b_{n}") + F.sum(n).over(inside)).alias(f"{n}_upto") for n in sums],
     )
 
 
-def _attach(df: DataFrame, per_key: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _attach(df: DataFrame, per_key: DataFrame, keys: list[str], name: str, few: bool) -> DataFrame:
     """Bring a one-row-per-key value to every row: by key, or as a scalar when there is no key."""
     if keys:
-        return df.join(F.broadcast(per_key), keys)
+        return join_keys(df, F.broadcast(per_key) if few else per_key, keys)
     return df.withColumn(name, per_key.select(name).scalar())
 
 
@@ -144,7 +159,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[f
         df.filter(F.col(value).isNotNull()), keys, value, {"_n": F.lit(1).cast("long")}
     )
     sizes = counted.groupBy(*keys).agg(F.max("_n_upto").alias("_size"))
-    placed = _attach(counted, sizes, keys, "_size")
+    few = not keys or rows_within(df.select(*keys).distinct(), FEW_KEYS)
+    placed = _attach(counted, sizes, keys, "_size", few)
     first, last = F.col("_n_upto") - F.col("_n"), F.col("_n_upto") - 1
     picks = []
     for i, share in enumerate(shares):

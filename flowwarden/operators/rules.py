@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowwarden.config import MAX_RULES, NATIVE_RULES, RULE_FN_LIMIT, RULE_HEADROOM
+from flowwarden.config import AUDIT_TRIGGER, MAX_RULES, NATIVE_RULES, RULE_FN_LIMIT, RULE_HEADROOM
 from flowwarden.functions.conditions import clause_field, clause_key, clause_value, clauses, numeric_text
 from flowwarden.operators.ordered import keyed_rank, seq_chunk
 from flowwarden.session import materialise, rows_within
@@ -16,6 +16,8 @@ from flowwarden.session import materialise, rows_within
 SHORT = 12
 BROADCAST_RULES = 100_000
 NATIVE_COUNT = len(NATIVE_RULES)
+#: What a rule came from, if known.
+ORIGIN = ("event_id", "mistake", "created_at")
 
 
 def with_clauses(rules: DataFrame) -> DataFrame:
@@ -78,11 +80,11 @@ def match_rules(events: DataFrame, rules: DataFrame, fields: dict[str, Column])
         F.array_sort(F.transform("clauses", lambda c: F.struct(
             clause_field(c).alias("f"), clause_value(c).alias("v")))).alias("_fv"),
     ).withColumn("_fields", F.array_join(F.col("_fv.f"), ",")).withColumn("_values", F.to_json(F.col("_fv.v")))
-    first = materialise(shaped.groupBy("_fields", "_values").agg(
+    # Rules on unknown fields are left out on the executors: the sets that reach the driver are subsets of `fields`.
+    known = F.forall("_fv.f", lambda f: f.isin(*fields)) & (F.size(F.array_distinct("_fv.f")) == F.size("_fv"))
+    first = materialise(shaped.filter(known).groupBy("_fields", "_values").agg(
         F.min(F.struct("ord", "id", "playbook")).alias("_hit")))
-    known = sorted(fields)
-    usable = [r[0] for r in first.select("_fields").distinct().collect()]
-    usable = sorted(s for s in usable if set(s.split(",")) <= set(known))
+    usable = sorted(r[0] for r in first.select("_fields").distinct().collect())
     small = rows_within(first, BROADCAST_RULES)
     out = events.withColumns({f"_x_{n}": numeric_text(c) for n, c in fields.items()})
     hits = []
@@ -119,13 +121,14 @@ def _first_per(df: DataFrame, key: Column) -> DataFrame:
 def insert_rules(existing: DataFrame, fresh: DataFrame, mode: str = "intended") -> DataFrame:
     """Rule table after inserting a batch, with `action` and `replaced_by`.
 
-    Frames hold `id, seq, condition, playbook`; seq orders all rules, existing ones come first.
+    Frames hold `id, seq, condition, playbook`; seq orders all rules, existing ones come first. Where both
+    frames also hold `event_id, mistake, created_at`, these are carried along for the audit.
     action is kept (existing, stays), inserted, identical, covered or replaced. In `intended` mode a
     rule is covered by an earlier rule of its playbook whose clauses it contains, and replaced by a
     later, broader one; rules of another playbook never interfere. In `observed` mode only equal
     condition texts are detected, which is how the saved rule list came about.
     """
-    cols = ["id", "seq", "condition", "playbook"]
+    cols = ["id", "seq", "condition", "playbook", *[c for c in ORIGIN if c in existing.columns and c in fresh.columns]]
     both = existing.select(*cols, F.lit(True).alias("is_old")).unionByName(
         fresh.select(*cols, F.lit(False).alias("is_old")))
     folded = both.withColumn("_text", F.lower(F.trim("condition")))
@@ -167,12 +170,16 @@ def active(rules: DataFrame) -> DataFrame:
     return rules.filter(F.col("action").isin("kept", "inserted"))
 
 
-def audit_rows(inserted: DataFrame, trigger: str) -> DataFrame:
-    """Audit entry of every inserted rule with the first rule it replaced, if any."""
+def audit_rows(inserted: DataFrame) -> DataFrame:
+    """Audit entry of every inserted rule: rule_id, event_id, trigger, appended_at and the first rule it replaced, if any.
+
+    `inserted` is what `insert_rules` returns for rules with their origin; the trigger follows the mistake.
+    """
     replaced = inserted.filter(F.col("action") == "replaced").groupBy(F.col("replaced_by").alias("rule_id")).agg(
         F.min_by("id", "seq").alias("replaced"))
     new = inserted.filter(F.col("action") == "inserted").select(
-        F.col("id").alias("rule_id"), F.col("seq").alias("event_id"), F.lit(trigger).alias("trigger"))
+        F.col("id").alias("rule_id"), "event_id", F.concat(F.lit(AUDIT_TRIGGER), F.col("mistake")).alias("trigger"),
+        F.col("created_at").alias("appended_at"))
     return new.join(replaced, "rule_id", "left")
 
 
@@ -222,8 +229,11 @@ def consolidate_rules(learned: DataFrame) -> DataFrame:
 def rule_health(incidents: DataFrame, rules: DataFrame, natives: DataFrame, snippet: int = 120) -> DataFrame:
     """FN count, flag, definition and the last three incidents of every blamed rule.
 
-    `incidents` holds rule_id, event_id, reasoning, recorded_at; `rules` id, condition; `natives` ord, text.
+    `incidents` is the whole log, earlier batches included: rule_id, event_id, reasoning, recorded_at. An incident
+    that was recorded twice counts once. `rules` holds id, seq, condition, and of repeated ids the newest rule, which
+    is the first of the list, gives the definition; `natives` holds ord, text.
     """
+    incidents = incidents.dropDuplicates(["rule_id", "event_id"])
     counts = incidents.groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("fn_count"), F.lit(0).cast("long").alias("fp_count"))
     latest = W.partitionBy("rule_id").orderBy(F.col("recorded_at").desc(), F.col("event_id").desc())
@@ -233,7 +243,7 @@ def rule_health(incidents: DataFrame, rules: DataFrame, natives: DataFrame, snip
             -F.col("_rn"), F.concat(F.lit("[FN] Event "), F.col("event_id").cast("string"), F.lit(": "),
                                     F.substring("reasoning", 1, snippet)).alias("line")))),
         lambda s: s["line"]).alias("recent"))
-    learned = rules.select(F.col("id").alias("rule_id"), F.col("condition").alias("definition"))
+    learned = rules.groupBy(F.col("id").alias("rule_id")).agg(F.max_by("condition", "seq").alias("definition"))
     native = natives.select(F.concat(F.lit("NATIVE_RULE_"), F.col("ord").cast("string")).alias("rule_id"),
                             F.col("text").alias("definition"))
     return counts.join(recent, "rule_id").join(learned.unionByName(native), "rule_id", "left").select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowwarden.operators.ordered import hash_chunk, hash_order, keyed_rank
+from flowwarden.operators.ordered import hash_chunk, hash_order, join_keys, keyed_rank
 
 
 def _ranked(df: DataFrame, stratum: str, row_id: str, seed: int) -> DataFrame:
@@ -25,7 +25,7 @@ def stratified_holdout(df: DataFrame, stratum: str, row_id: str, share: float, s
     ranked = _ranked(df, stratum, row_id, seed)
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
     cut = F.floor(F.col("_size") * F.lit(float(share)) + F.lit(0.5))
-    return ranked.join(sizes, stratum).withColumn("is_holdout", F.col("_rank") <= cut).drop("_rank", "_size")
+    return join_keys(ranked, sizes, [stratum]).withColumn("is_holdout", F.col("_rank") <= cut).drop("_rank", "_size")
 
 
 def balanced_sample(df: DataFrame, label: str, row_id: str, n: int, seed: int = 42) -> DataFrame:
