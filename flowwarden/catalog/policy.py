@@ -308,3 +308,61 @@ def replay_ledger(spark, sf_dir):
     done = replay(inputs.contexts(spark, sf_dir), inputs.LOW, inputs.POLICY)
     return done.ledger.select("signature", F.round("confirmed_attack", 6).alias("confirmed_attack"),
                               F.round("trust_bias", 6).alias("trust_bias"), "status")
+
+
+def _evidence_sql(source: str, verdict: str, conf: str, n: str) -> str:
+    """One piece of evidence applied to columns n, a, bias, status; a null verdict changes nothing."""
+    return f"""SELECT * REPLACE (n_{n} AS n, a_{n} AS a,
+    CASE WHEN {verdict} IS NULL THEN bias
+      WHEN status = 'allowlisted' THEN CASE WHEN a_{n} >= 2 THEN 0 ELSE bias END
+      WHEN status = 'quarantined' THEN CASE WHEN n_{n} >= 3 THEN 0 ELSE bias END
+      WHEN n_{n} >= 3 AND a_{n} < 0.5 THEN 0.15 WHEN a_{n} >= 2 AND n_{n} < 0.5 THEN -0.4
+      WHEN {verdict} = 'normal' THEN least(bias + 0.05 * ({conf}), 0.20) ELSE greatest(bias - 0.05 * ({conf}), -0.30) END AS bias,
+    CASE WHEN {verdict} IS NULL THEN status
+      WHEN status = 'allowlisted' THEN CASE WHEN a_{n} >= 2 THEN 'monitoring' ELSE status END
+      WHEN status = 'quarantined' THEN CASE WHEN n_{n} >= 3 THEN 'monitoring' ELSE status END
+      WHEN n_{n} >= 3 AND a_{n} < 0.5 THEN 'allowlisted' WHEN a_{n} >= 2 AND n_{n} < 0.5 THEN 'quarantined' ELSE 'monitoring' END AS status)
+    FROM (SELECT *, n + CASE WHEN {verdict} = 'normal' THEN {conf} ELSE 0 END AS n_{n},
+                 a + CASE WHEN {verdict} = 'attack' THEN {conf} ELSE 0 END AS a_{n} FROM ({source}))"""
+
+
+_JUDGED = """SELECT *, CASE WHEN playbook IN ('NETWORK_ISOLATION', 'RATE_LIMIT_DOS') THEN 'attack' END AS own,
+    CASE WHEN label = 0 AND playbook IN ('NETWORK_ISOLATION', 'STEP_UP_AUTH', 'RATE_LIMIT_DOS') THEN 'normal'
+      WHEN label = 1 AND playbook = 'ALLOW' THEN 'attack' END AS fix
+  FROM (SELECT *, CASE WHEN score >= 0.4 AND fused_risk < 0.85 THEN 'ALLOW' WHEN status = 'quarantined' THEN 'NETWORK_ISOLATION'
+          WHEN native_rule = 3 THEN 'RATE_LIMIT_DOS' WHEN native_rule IN (5, 6) THEN 'NETWORK_ISOLATION'
+          WHEN native_rule = 7 THEN 'STEP_UP_AUTH' ELSE 'ALLOW' END AS playbook
+    FROM (SELECT l.thr, l.signature, g.rn, g.event_id, l.n, l.a, l.bias, l.status, g.fused_risk, g.native_rule, g.label,
+            greatest(0.1, least(1.0, g.fused_risk)) AS conf,
+            greatest(0.0, least(1.0, round(1.0 - g.fused_risk * 0.3 * g.mult - g.threat_pen + l.bias
+              - CASE WHEN g.off_list THEN 0.1 ELSE 0 END - CASE WHEN g.loud THEN 0.1 ELSE 0 END
+              - CASE WHEN g.spiked THEN 0.1 ELSE 0 END, 6))) AS score
+          FROM mended l JOIN asked g ON g.thr = l.thr AND g.signature = l.signature AND g.rn = l.rn + 1))"""
+# The same loop with the correction of every wrong decision written before the next event is looked at.
+MENDED = """
+asked AS (SELECT *, row_number() OVER (PARTITION BY thr, signature ORDER BY seq) AS rn FROM routed WHERE fused_risk > thr),
+mended AS (
+  SELECT DISTINCT thr, signature, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS event_id, CAST(0 AS DOUBLE) AS n, CAST(0 AS DOUBLE) AS a,
+    CAST(0 AS DOUBLE) AS bias, 'monitoring' AS status, '' AS playbook, CAST(0 AS DOUBLE) AS score FROM asked
+  UNION ALL
+  SELECT thr, signature, rn, event_id, n, a, bias, status, playbook, score FROM (""" + _evidence_sql(
+    _evidence_sql(_JUDGED, "own", "conf", "own"), "fix", "1.0", "fix") + """))"""
+
+
+def _corrected(spark, sf_dir, part):
+    from flowwarden.plans.corrected import replay_corrected
+    done = [(t, replay_corrected(inputs.contexts(spark, sf_dir), t, inputs.POLICY)) for t in (inputs.LOW, inputs.HIGH)]
+    frames = [part(d).withColumn("thr", F.lit(t)) for t, d in done]
+    return frames[0].unionByName(frames[1])
+
+
+@query(sql("SELECT thr, event_id, signature, playbook, score AS trust_score FROM mended WHERE rn > 0", "routed", extra=MENDED))
+def replay_corrected(spark, sf_dir):
+    return _corrected(spark, sf_dir, lambda d: d.decisions.filter("branch <> 'gate'").select("event_id", "signature", "playbook", "trust_score"))
+
+
+@query(sql("""SELECT thr, signature, round(n, 6) AS confirmed_normal, round(a, 6) AS confirmed_attack, round(bias, 6) AS trust_bias, status FROM mended
+              QUALIFY row_number() OVER (PARTITION BY thr, signature ORDER BY rn DESC) = 1 AND n + a > 0""", "routed", extra=MENDED))
+def replay_corrected_ledger(spark, sf_dir):
+    rounded = [F.round(c, 6).alias(c) for c in ("confirmed_normal", "confirmed_attack", "trust_bias")]
+    return _corrected(spark, sf_dir, lambda d: d.ledger.select("signature", *rounded, "status"))
