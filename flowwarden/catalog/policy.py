@@ -268,6 +268,19 @@ def trust_history(spark, sf_dir):
         F.round("delta", 6).alias("delta"))
 
 
+@query(sql("""SELECT signature, latest, previous, evaluated_at, round(latest - previous, 6) AS delta FROM (
+  SELECT signature, trust_score AS latest, lag(trust_score) OVER w AS previous, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS evaluated_at,
+    row_number() OVER (PARTITION BY signature ORDER BY seq DESC) AS rn FROM decided WHERE thr < 0.6 AND branch <> 'gate'
+  WINDOW w AS (PARTITION BY signature ORDER BY seq)) WHERE rn = 1""", "decided"))
+def cycle_history(spark, sf_dir):
+    """The same history in two batches, the second on top of the stored first."""
+    escalated = inputs.decisions(spark, sf_dir, inputs.LOW, detail=True).filter("branch <> 'gate'")
+    first = ledger.trust_history(escalated.filter("seq < 400")).drop("delta")
+    return ledger.trust_history(escalated.filter("seq >= 400"), first).select(
+        "signature", "latest", "previous", F.date_format("evaluated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("evaluated_at"),
+        F.round("delta", 6).alias("delta"))
+
+
 # Decision loop with feedback, one event after the other per signature.
 REPLAY = """
 gated AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY seq) AS rn FROM routed WHERE thr < 0.6 AND fused_risk > thr),

@@ -261,3 +261,55 @@ def vec_stats(spark, sf_dir):
     docs = [vectors.correction_documents(r), vectors.incident_documents(answered), vectors.rule_documents(corr.new_rules(r))]
     fresh = rules.union_all(docs)
     return vectors.collection_counts(vectors.upsert(fresh, fresh))
+
+
+# ---- the whole cycle --------------------------------------------------------------------------
+
+def _cycle(spark, sf_dir):
+    """Low-threshold decisions corrected against the learned list of even events."""
+    from flowwarden.plans.corrections import correction_cycle
+    answers = _asked(spark, sf_dir).join(
+        inputs.contexts(spark, sf_dir).select("event_id", F.expr(_BLAME).alias("analysis")), "event_id"
+    ).select("event_id", "analysis", "rule_raw", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("corrected_at")).filter("event_id % 11 <> 0")
+    d = inputs.decisions(spark, sf_dir, inputs.LOW, detail=True).withColumn("reasoning", F.lit("text without numbers"))
+    old = learned(spark, sf_dir).filter("event_id % 2 = 0").select(
+        "id", "seq", "condition", "playbook", "event_id", F.lit("FP").alias("mistake"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"))
+    earlier = corr.rule_incidents(corr.correct(d.filter("event_id % 3 = 0"), answers))
+    return correction_cycle(d, answers, old, earlier, mode="observed")
+
+
+_CYCLE = _CORR + """,
+listed AS (SELECT id, condition, playbook, seq FROM rules WHERE event_id % 2 = 0),
+asked_for AS (SELECT f.*, row_number() OVER (PARTITION BY lower(trim(f.clean)) ORDER BY f.seq) AS nth FROM fixes f WHERE has_rule),
+newly AS (SELECT * FROM asked_for WHERE nth = 1 AND lower(trim(clean)) NOT IN (SELECT lower(trim(condition)) FROM listed))"""
+
+
+@query(sql("""SELECT id, condition, playbook FROM (
+  SELECT id, condition, playbook, seq AS o FROM listed
+  UNION ALL SELECT rid, clean, want, seq + 1 + (SELECT max(seq) FROM listed) FROM newly) QUALIFY count(*) OVER () + 7 < 30 OR row_number() OVER (ORDER BY o) <= 18""",
+           "decided", "candidates", extra=_CYCLE))
+def cycle_rules(spark, sf_dir):
+    return _cycle(spark, sf_dir).rules.select("id", "condition", "playbook")
+
+
+@query(sql("""SELECT rid AS rule_id, event_id, 'Autonomous_Evaluation_' || mistake AS trigger, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS appended_at,
+              CAST(NULL AS VARCHAR) AS replaced FROM newly""", "decided", "candidates", extra=_CYCLE))
+def cycle_audit(spark, sf_dir):
+    return _cycle(spark, sf_dir).audit
+
+
+@query(sql("""SELECT implicated AS rule_id, count(*) AS fn_count, count(*) >= 2 AS flagged FROM fixes WHERE implicated IS NOT NULL GROUP BY 1""",
+           "decided", "candidates", extra=_CYCLE))
+def cycle_health(spark, sf_dir):
+    return _cycle(spark, sf_dir).health.select("rule_id", "fn_count", "flagged")
+
+
+@query(sql("""SELECT CASE WHEN c_threat IS NULL THEN id ELSE first_id END AS rule_id, CASE WHEN c_threat IS NULL OR size = 1 THEN 'kept' ELSE 'merged' END AS correction_type FROM (
+  SELECT *, arg_min(id, seq) OVER g AS first_id, count(*) OVER g AS size FROM rules WINDOW g AS (PARTITION BY playbook, c_proto, c_state, c_threat)) GROUP BY 1, 2""", "candidates"))
+def consolidate_sync(spark, sf_dir):
+    from flowwarden.plans.corrections import consolidated_documents
+    r = learned(spark, sf_dir).withColumns({"created_at": F.format_string("%020d", "seq"), "mistake": F.lit("FP"), "rationale": F.lit("r")})
+    memory = vectors.rule_documents(r)
+    after = consolidated_documents(r, rules.consolidate_rules(r), memory)
+    return after.select(F.col("metadata.rule_id").alias("rule_id"), F.col("metadata.correction_type").alias("correction_type"))
