@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowwarden.catalog import inputs
-from flowwarden.catalog.policy import REPLAY
+from flowwarden.catalog.policy import MENDED, REPLAY
 from flowwarden.catalog.registry import query
 from flowwarden.catalog.sqltext import sql
 from flowwarden.session import scratch_path
@@ -15,14 +15,17 @@ ARRIVALS = 3
 
 
 def arriving(spark, df):
-    """Write `df` as ARRIVALS files in arrival order, some rows twice, and stream them one by one."""
+    """Write `df` as ARRIVALS batches of files in arrival order and stream them one by one.
+
+    Some rows come twice in one batch and again in the next ones.
+    """
     path = scratch_path(spark, "arrivals")
     top = df.agg(F.max("seq").alias("m")).first().m + 1
     for i in range(ARRIVALS):
         low, high = i * top // ARRIVALS, (i + 1) * top // ARRIVALS
         part = df.filter((F.col("seq") >= low) & (F.col("seq") < high))
-        again = part.filter(F.col("seq") % 10 == 0)
-        part.unionByName(again).coalesce(1).write.mode("append").parquet(path)
+        again = df.filter((F.col("seq") < high) & (F.col("seq") % 10 == 0))
+        part.unionByName(again).repartition(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -34,7 +37,7 @@ def _finish(started):
 def live_decisions(spark, sf_dir):
     root = scratch_path(spark, "live")
     _finish(live.live_decisions(arriving(spark, inputs.contexts(spark, sf_dir)), root, inputs.LOW, inputs.POLICY,
-                                once=True, delay="60 days"))
+                                once=True))
     return spark.read.parquet(f"{root}/decisions").filter("branch <> 'gate'").select(
         "event_id", "signature", "playbook", "trust_score")
 
@@ -44,7 +47,7 @@ def live_decisions(spark, sf_dir):
 def playbook_sink(spark, sf_dir):
     root = scratch_path(spark, "sink")
     _finish(live.live_decisions(arriving(spark, inputs.contexts(spark, sf_dir)), root, inputs.LOW, inputs.POLICY,
-                                once=True, delay="60 days"))
+                                once=True))
     per_event = spark.read.parquet(f"{root}/actions").groupBy("event_id", "playbook").agg(F.count(F.lit(1)).cast("int").alias("steps"))
     return per_event.groupBy("playbook", "steps").agg(F.count(F.lit(1)).alias("events"))
 
@@ -54,6 +57,13 @@ def playbook_sink(spark, sf_dir):
 def live_scores(spark, sf_dir):
     root = scratch_path(spark, "scores")
     rows = inputs.contexts(spark, sf_dir).select("event_id", "seq", "ts", "service", "anomaly_risk")
-    stream = live.once_per_event(arriving(spark, rows), "60 days")
-    _finish(live.live_scores(stream, root, "anomaly_risk", keys=["service"], once=True))
+    _finish(live.live_scores(arriving(spark, rows), root, "anomaly_risk", keys=["service"], once=True))
     return spark.read.parquet(f"{root}/scores").select("event_id", F.round("smoothed", 6).alias("smoothed"))
+
+
+@query(sql("SELECT event_id, signature, playbook, score AS trust_score FROM mended WHERE rn > 0 AND thr < 0.6", "routed", extra=MENDED))
+def live_corrected(spark, sf_dir):
+    root = scratch_path(spark, "mended")
+    _finish(live.live_decisions(arriving(spark, inputs.contexts(spark, sf_dir)), root, inputs.LOW, inputs.POLICY, once=True, label="label"))
+    return spark.read.parquet(f"{root}/decisions").filter("branch <> 'gate'").select(
+        "event_id", "signature", "playbook", "trust_score")

@@ -19,7 +19,7 @@ def plan(df):
 
 
 QUERIES, ORACLES = load()
-HEAVY = {"trained_scores", "oof_scores", "threat_model", "live_decisions", "playbook_sink", "live_scores"}
+HEAVY = {"trained_scores", "oof_scores", "threat_model", "live_decisions", "live_corrected", "playbook_sink", "live_scores"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - HEAVY))
@@ -51,7 +51,7 @@ def test_live_stream_retry_and_redelivery(spark, tiny, tmp_path):
 
     def run():
         stream = spark.readStream.schema(events.schema).parquet(source)
-        live.live_decisions(stream, root, .5, Policy.of(), once=True, delay="60 days").awaitTermination()
+        live.live_decisions(stream, root, .5, Policy.of(), once=True).awaitTermination()
         return spark.read.parquet(f"{root}/decisions").count(), spark.read.parquet(f"{root}/actions").count()
 
     first = run()
@@ -62,6 +62,43 @@ def test_live_stream_retry_and_redelivery(spark, tiny, tmp_path):
     assert tables.read_snapshot(spark, f"{root}/ledger", LEDGER, before=0).count() == 0
 
 
+def test_late_and_redelivered_events(spark, tiny, tmp_path):
+    """Events that come a batch late are decided once; re-deliveries across files and rows without id are told apart."""
+    events = inputs.contexts(spark, tiny).filter("seq < 200")
+    source, root = str(tmp_path / "in"), str(tmp_path / "live")
+    late = F.col("seq") % 9 == 0
+    events.filter(~late).repartition(1).write.parquet(source)
+    events.filter(late | (F.col("seq") % 4 == 0)).repartition(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        live.live_decisions(stream, root, .5, Policy.of(), once=True, label="label").awaitTermination()
+    done = spark.read.parquet(f"{root}/decisions")
+    assert sorted(r.event_id for r in done.select("event_id").collect()) == sorted(r.event_id for r in events.select("event_id").collect())
+    nameless = events.withColumn("event_id", F.lit(None).cast("bigint"))
+    assert live.unseen(nameless, f"{root}/decisions", 9).count() == 200
+
+
+def test_null_keys_keep_their_rows(spark):
+    from flowwarden.operators import ordered, sampling
+
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else f"k{i % 3}", float(i)) for i in range(40)], "seq bigint, k string, v double")
+    assert ordered.trailing_mean(rows, "v", "seq", "m", 3, ["k"]).count() == 40
+    assert sampling.stratified_folds(rows, "k", "seq").count() == 40
+    assert sampling.stratified_holdout(rows, "k", "seq", 0.2).count() == 40
+    assert ordered.exact_percentiles(rows, ["k"], "v", [0.5]).count() == 4
+
+
+def test_forest_samples_do_not_depend_on_reach(spark):
+    from flowwarden.models.forest import tree_samples
+
+    points = spark.range(900).select(F.col("id").alias("seq"), F.array(F.col("id").cast("double")).alias("x"))
+    whole = {tuple(r[:2]): r.x for r in tree_samples(points, 3, 8, reach=1000).collect()}
+    near = {tuple(r[:2]): r.x for r in tree_samples(points, 3, 8, reach=1).collect()}
+    assert whole == near and len(whole) == 24
+    few = {tuple(r[:2]): r.x for r in tree_samples(points.filter("seq < 5"), 2, 8).collect()}
+    assert few == {(t, i): [float(i)] for t in range(2) for i in range(5)}
+
+
 def test_snapshot_without_success_mark_is_ignored(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.write_snapshot(spark.range(3), path, 1)
