@@ -32,7 +32,8 @@ def _reader(parsed: Column):
 def decision_from_response(raw: Column) -> Column:
     """Struct of the answer in `raw`, or the isolation fail-safe when there is none.
 
-    A `<think>` block is removed even when it was never closed; the widest `{…}` is then parsed.
+    A `<think>` block is removed even when it was never closed; the widest `{…}` is then parsed. A playbook the
+    answer does not name stays null; isolation is then what is executed.
     """
     rest = F.regexp_replace(raw, r"(?s)<think>.*?(?:</think>|\z)", "")
     body = F.nullif(F.regexp_extract(rest, r"(?s)\{.*\}", 0), F.lit(""))
@@ -42,7 +43,7 @@ def decision_from_response(raw: Column) -> Column:
         failed, field = parsed.isNull(), _reader(parsed)
         return F.struct(
             F.when(failed, reason).otherwise(field("reasoning")).alias("reasoning"),
-            F.coalesce(field("playbook"), F.lit("NETWORK_ISOLATION")).alias("playbook"),
+            F.when(failed, "NETWORK_ISOLATION").otherwise(field("playbook")).alias("playbook"),
             F.coalesce(field("is_false_positive", "boolean"), F.lit(False)).alias("is_false_positive"),
             failed.alias("is_llm_failsafe"),
         )

@@ -10,6 +10,8 @@ from flowwarden.functions.text import fixed, isolation_trigger
 
 ESCALATED = ("NETWORK_ISOLATION", "STEP_UP_AUTH", "RATE_LIMIT_DOS")
 CONTAINED = ("NETWORK_ISOLATION", "RATE_LIMIT_DOS")
+#: What is executed when an answer names no playbook.
+UNNAMED = "NETWORK_ISOLATION"
 #: Columns of the policy stage.
 EVALUATED = ("trust_score", "is_acceptable", "factors", "violations")
 PASSED = ("ALLOW", "LOG_ONLY")
@@ -99,8 +101,9 @@ def feedback(decisions: DataFrame, stored_threshold: float) -> DataFrame:
     def held(value: Column) -> Column:
         return F.greatest(F.lit(0.1), F.least(F.lit(1.0), value))
 
-    benign = (F.col("playbook") == "ALLOW") & F.col("is_false_positive")
-    attack = F.col("playbook").isin(*CONTAINED)
+    executed = F.coalesce("playbook", F.lit(UNNAMED))
+    benign = (executed == "ALLOW") & F.col("is_false_positive")
+    attack = executed.isin(*CONTAINED)
     near = F.lit(1.0) - F.abs(fused - F.lit(stored_threshold)) * F.lit(2.0)
     return decisions.filter((F.col("branch") != "gate") & (benign | attack)).select(
         "event_id", "signature", "seq",

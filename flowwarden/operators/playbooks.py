@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowwarden.config import PLAYBOOKS
+from flowwarden.operators.decide import UNNAMED
 
 ACTION_COLUMNS = ("event_id", "playbook", "step", "tool", "action", "args", "error")
 
@@ -25,9 +26,9 @@ def steps_table(spark: SparkSession, playbooks: dict | None = None) -> DataFrame
 def playbook_actions(decisions: DataFrame, steps: DataFrame) -> DataFrame:
     """Explode each executed decision into its steps; an unknown playbook leaves one error row.
 
-    Gated events run nothing. `steps` is configuration (a handful of rows), hence the broadcast.
+    Gated events run nothing; a decision without a playbook is executed as isolation. `steps` is configuration (a handful of rows), hence the broadcast.
     """
-    run = decisions.filter(F.col("branch") != "gate").select("event_id", "playbook")
+    run = decisions.filter(F.col("branch") != "gate").select("event_id", F.coalesce("playbook", F.lit(UNNAMED)).alias("playbook"))
     joined = run.join(F.broadcast(steps), "playbook", "left")
     known = F.col("steps").isNotNull()
     return joined.select(

@@ -45,7 +45,7 @@ def test_decisions_from_answers(spark):
         ('{"a":1} and {"b":2}', ("NETWORK_ISOLATION", False, True)),
         ("no json", ("NETWORK_ISOLATION", False, True)),
         (None, ("NETWORK_ISOLATION", False, True)),
-        ('{"reasoning":"no playbook"}', ("NETWORK_ISOLATION", False, False)),
+        ('{"reasoning":"no playbook"}', (None, False, False)),
     ]
     df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(answers)], "i int, t string")
     got = df.select("i", responses.decision_from_response(F.col("t")).alias("d")).orderBy("i").collect()

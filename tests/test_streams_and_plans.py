@@ -99,6 +99,21 @@ def test_forest_samples_do_not_depend_on_reach(spark):
     assert few == {(t, i): [float(i)] for t in range(2) for i in range(5)}
 
 
+def test_missing_files_give_the_defaults(spark, tmp_path):
+    gone = str(tmp_path / "none.json")
+    assert documents.read_documents(spark, gone).count() == 0 and documents.ledger_of(documents.read_documents(spark, gone)).count() == 0
+    assert [r.kind for r in documents.load_rules(spark, gone).collect()] == ["native"] * 7
+    assert {r.playbook: len(r.steps) for r in documents.load_playbooks(spark, gone).collect()} == {
+        "ALLOW": 2, "LOG_ONLY": 1, "STEP_UP_AUTH": 3, "NETWORK_ISOLATION": 5, "RATE_LIMIT_DOS": 3}
+    record = documents.read_threshold(spark, gone).first()
+    assert record.optimal_threshold == 0.5 and record.is_fallback
+    book = {"routing_rules": ["1. IF x"], "rule_audit": [], "HOLD": {"description": "wait", "steps": [{"tool": "T", "action": "a", "level": 3}, {"tool": "U", "action": "b"}]}}
+    (tmp_path / "book.json").write_text(json.dumps(book, indent=2))
+    row = documents.load_playbooks(spark, str(tmp_path / "book.json")).first()
+    assert (row.playbook, row.description) == ("HOLD", "wait")
+    assert [(x.step, x.tool, x.action, x.args) for x in row.steps] == [(1, "T", "a", {"level": "3"}), (2, "U", "b", {})]
+
+
 def test_snapshot_without_success_mark_is_ignored(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.write_snapshot(spark.range(3), path, 1)
