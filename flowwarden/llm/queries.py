@@ -83,4 +83,36 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_tokens, op2_pseudo_likelihood, op3_toxicity, op4_repeats, op5_personal_data, op6_compression, op7_contamination,
     op8_mixing, op9_simhash, op10_chat)}
-ORACLES: dict[str, str] = {}
+
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_TERM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: SQL of the operators that it can express; the others are tested against plain versions.
+ORACLES = {
+    "op4_repeats": f"""WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+starts AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 34), ' ') AS key FROM docs, unnest(range(1, len(w) - 33)) AS t(p)),
+twice AS (SELECT doc_id, p FROM starts QUALIFY count(*) OVER (PARTITION BY key) > 1),
+gone AS (SELECT DISTINCT doc_id, q FROM twice, unnest(range(p, p + 35)) AS t(q)),
+words AS (SELECT doc_id, q, w[q] AS word FROM docs, unnest(range(1, len(w) + 1)) AS t(q)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS s FROM words ANTI JOIN gone USING (doc_id, q) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM docs d LEFT JOIN kept USING (doc_id)""",
+    "op7_contamination": f"""WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_TERM}) AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, n, list_slice(w, p, p + n - 1) AS key FROM (SELECT item, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0), unnest(range(1, len(w) - n + 2)) AS t(p)),
+docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_TERM}) AS w FROM documents),
+places AS (SELECT doc_id, n, p, list_slice(w, p, p + n - 1) AS key FROM docs, (SELECT DISTINCT n FROM windows), unnest(range(1, greatest(1, len(w) - n + 2))) AS t(p)),
+found AS (SELECT doc_id, n, p, item FROM places JOIN windows USING (n, key)),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, n, p FROM found), unnest(range(p, p + n)) AS t(q) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op10_chat": """WITH every AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM every),
+turns AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY p) <> role, true) AS opens,
+  length(replace(replace(text, '<', '<<'), '[', '[[')) AS shown, length(replace(replace(role, '<', '<<'), '[', '[[')) AS name FROM placed)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY p)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY p) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(6 + shown + CASE WHEN opens THEN 7 + name ELSE 0 END) AS BIGINT) AS formatted_chars, count(*) FILTER (WHERE opens) AS n_blocks
+FROM turns GROUP BY conv_id""",
+}
