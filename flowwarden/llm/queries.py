@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowwarden.llm import (
     chat, compression, contamination, debruijn, mixing, pii, pseudo_likelihood, simhash, tokens, toxicity,
 )
+from flowwarden.llm.common import stored
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: A conversation whose texts hold control strings, added to the given ones.
@@ -29,8 +30,10 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = pseudo_likelihood.train(docs)
-    return pseudo_likelihood.with_likelihoods(docs, model).select("doc_id", "likelihood.*")
+    words, counts = pseudo_likelihood.vocabulary(docs)
+    encoded = stored(pseudo_likelihood.encode(docs, words).select("doc_id", "ids"), "lm-ids")
+    model = pseudo_likelihood.train_encoded(encoded, words, counts)
+    return pseudo_likelihood.score_encoded(encoded, model).select("doc_id", "likelihood.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
