@@ -8,6 +8,7 @@ from flowwarden.catalog import inputs
 from flowwarden.catalog.registry import query
 from flowwarden.catalog.scans import typed_flows
 from flowwarden.catalog.sqltext import sql
+from flowwarden.functions.scores import top2_margin
 from flowwarden.models import forest as forests, fusion, threats
 from flowwarden.operators import sampling
 from flowwarden.plans import scoring, training
@@ -68,7 +69,8 @@ def threat_model(spark, sf_dir):
 
 @query()
 def meta_learner(spark, sf_dir):
-    f = inputs.contexts(spark, sf_dir).withColumn("top2_margin", F.col("fused_risk"))
+    margins = inputs.probabilities(spark, sf_dir).select("event_id", top2_margin(F.col("probability")).alias("top2_margin"))
+    f = inputs.contexts(spark, sf_dir).join(margins, "event_id")
     model = fusion.fit_fusion(f, "label", 12, 2)
     table = model.as_table(spark).select("feature", F.round("weight", 4).alias("weight"))
     return table.withColumn("primary_share", F.round(F.lit(model.primary_share()), 4))

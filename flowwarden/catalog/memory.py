@@ -97,5 +97,5 @@ def vec_delete(spark, sf_dir):
 
 @query()
 def embed(spark, sf_dir):
-    e = vectors.embed(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 64)
+    e = vectors.embed(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return e.select("doc_id", F.array_join(F.transform("embedding", lambda v: F.round(v, 6).cast("string")), ",").alias("embedding"))
