@@ -17,6 +17,8 @@ a block is a block of its own; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +33,12 @@ from flowwarden.llm.common import python_tasks, raw_texts
 from flowwarden.session import scratch_path
 
 END = 2
-#: Tokens after which a block ends with its document, and words that a worker remembers.
-BLOCK_TOKENS, REMEMBERED = 1 << 17, 400_000
+#: Tokens after which a block ends with its document, and words after which a worker's memory ages.
+BLOCK_TOKENS, REMEMBERED = 1 << 17, 500_000
+#: New words encoded in one line, and bytes of text whose words are split at a time.
+LINE, SPLIT_BYTES = 24, 2 << 20
+# Letters that no normalisation changes but for their case, and a mark that is split off.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
 BLOCKS = ("part int, block int, start bigint, bits int, n bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary")
 
 
@@ -69,7 +75,13 @@ def unpack(payload: bytes, bits: int, n: int, first: int = 0) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, word by word from memory."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, word by word from memory.
+
+    New words of plain letters are encoded in lines of several words, which spares calls; where the tokenizer marks word ends,
+    the ids of a line fall apart at the marks. A full stop or comma behind a word is a token of its own. All other words, and
+    lines whose marks do not add up, are encoded one by one. Memory has two ages: a full one becomes the old one, which words
+    that are met again leave for the new one.
+    """
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
@@ -77,21 +89,56 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(self.vocabulary, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.marks = {m: self._alone([m])[0] for m in ("", ".", ",")}
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_cores(self, cores: list[str]) -> None:
+        lines = [cores[i:i + LINE] for i in range(0, len(cores), LINE)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)
+        for line, e in zip(lines, encoded, strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(line) and stops[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for core, stop in zip(line, (4 * stops).tolist(), strict=True):
+                    self.cores[core] = raw[at:stop]
+                    at = stop
+            else:
+                self.cores.update(zip(line, self._alone(line), strict=True))
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        matches = list(map(_PLAIN.fullmatch, texts))
+        lowered = [m[1].lower() if m else None for m in matches]
+        new = set(lowered).difference(self.cores, (None,))
+        if new:
+            self._learn_cores(list(new))
+        known, cores, marks = self.known, self.cores, self.marks
+        other = []
+        for w, m, core in zip(words, matches, lowered, strict=True):
+            if m is None:
+                other.append(w)
+            else:
+                known[w] = cores[core] + marks[m[2]]
+        known.update(zip(other, self._alone([w.decode() for w in other]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out, known = [], self.known
-        for raw in texts:
-            words = raw.split()
-            new = {w for w in words if w not in known}
-            if new:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    new = set(words)
-                order = list(new)
-                for w, e in zip(order, self.tokenizer.encode_batch([w.decode() for w in order], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join([known[w] for w in words]))
-        return out
+        if len(self.known) > REMEMBERED:
+            self.old, self.known, self.cores = self.known, {}, {}
+        words = [raw.split() for raw in texts]
+        new = set().union(*words).difference(self.known)
+        met = new.intersection(self.old)
+        self.known.update(zip(met, map(self.old.__getitem__, met), strict=True))
+        if new := new.difference(met):
+            self._learn(list(new))
+        return [b"".join(map(self.known.__getitem__, own)) for own in words]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -104,8 +151,22 @@ def encoder(name: str, content: str) -> Encoder:
     return _ENCODERS[name]
 
 
+def _slices(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Texts in lists of about `SPLIT_BYTES`."""
+    some, size = [], 0
+    for raw in texts:
+        some.append(raw)
+        size += len(raw)
+        if size >= SPLIT_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _packer(name: str, content, bits: int, end: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of remembered words, and no cycles among them
         own = encoder(name, content.value)
         part, tail = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
         docs: list[int | None] = []
@@ -120,17 +181,17 @@ def _packer(name: str, content, bits: int, end: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for key, text in zip(keys, raw_texts(batch.column(1)), strict=True):
-                encoded = own.encode([text])[0] + tail
-                docs.append(key)
-                lengths.append(len(encoded) // 4)
-                ids.append(encoded)
-                size += lengths[-1]
-                if size >= BLOCK_TOKENS:
-                    yield done()
-                    block, start, size = block + 1, start + size, 0
-                    docs, lengths, ids = [], [], []
+            keys = iter(batch.column(0).to_pylist())
+            for some in _slices(raw_texts(batch.column(1))):
+                for encoded in own.encode(some):
+                    docs.append(next(keys))
+                    lengths.append(len(encoded) // 4 + 1)
+                    ids += (encoded, tail)
+                    size += lengths[-1]
+                    if size >= BLOCK_TOKENS:
+                        yield done()
+                        block, start, size = block + 1, start + size, 0
+                        docs, lengths, ids = [], [], []
         if docs:
             yield done()
 
@@ -159,13 +220,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks with `base`, the number of tokens in the parts before theirs.
 
-    The running sum is over one row for each part, never over blocks.
+    The running sum is over one row for each part, never over blocks, and that is what is broadcast.
     """
     blocks = spark.read.schema(BLOCKS).parquet(path)
     totals = blocks.groupBy("part").agg(F.sum("n").alias("total"))
     before = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return blocks.join(bases, "part")
+    return blocks.join(F.broadcast(bases), "part")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
