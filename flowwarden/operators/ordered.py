@@ -14,13 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowwarden.session import rows_within
+from flowwarden.session import materialise, rows_within
 
 SEQ_CHUNK = 1 << 20
 SPLITS = 255
 STRIDE = 16
 #: Keys up to which the per-key tables of value splits are broadcast.
 FEW_KEYS = 1000
+#: Accuracy of the first pass over percentiles (its error in rank is the inverse), and half the width of a bracket.
+ACCURACY = 10_000
+BRACKET = 4 / ACCURACY
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -152,27 +155,46 @@ def _attach(df: DataFrame, per_key: DataFrame, keys: list[str], name: str, few:
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """Linear-interpolated percentiles per key as columns `p0, p1, …` in the order of `shares`.
 
-    The built-in exact percentile gathers every distinct value of a group in one task; this reads the
-    two neighbouring order statistics from distributed cumulative counts instead.
+    The built-in exact percentile gathers every distinct value of a group in one task. Here one approximate pass sets a
+    narrow bracket around each percentile, wider than its error; a second pass counts the rows below each bracket and keeps
+    the few inside. Only these are ordered, and two neighbouring order statistics are read from them. Keys with no
+    more than `ACCURACY` rows are ordered whole.
     """
-    counted = cumulative_counts(
-        df.filter(F.col(value).isNotNull()), keys, value, {"_n": F.lit(1).cast("long")}
-    )
-    sizes = counted.groupBy(*keys).agg(F.max("_n_upto").alias("_size"))
-    few = not keys or rows_within(df.select(*keys).distinct(), FEW_KEYS)
-    placed = _attach(counted, sizes, keys, "_size", few)
-    first, last = F.col("_n_upto") - F.col("_n"), F.col("_n_upto") - 1
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    ends = [e for s in shares for e in (max(0.0, s - BRACKET), min(1.0, s + BRACKET))]
+    marks = materialise(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_size"),
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), F.lit(ACCURACY)).alias("_ends")))
+    few = not keys or rows_within(marks, FEW_KEYS)
+    placed = _attach_all(rows, marks, keys, few)
+    whole = F.col("_size") <= ACCURACY
+    low = [F.when(whole, F.lit(None)).otherwise(F.get("_ends", F.lit(2 * i))) for i in range(len(shares))]
+    high = [F.when(whole, F.lit(None)).otherwise(F.get("_ends", F.lit(2 * i + 1))) for i in range(len(shares))]
+    before = placed.groupBy(*keys, "_size").agg(*[F.count_if(F.col("_v") < a).alias(f"_before{i}") for i, a in enumerate(low)])
+    inside = placed.select(*keys, "_v", F.explode(F.array_compact(F.array(*[
+        F.when((low[i].isNull() | (F.col("_v") >= low[i])) & (high[i].isNull() | (F.col("_v") <= high[i])), F.lit(i))
+        for i in range(len(shares))]))).alias("_i"))
+    counted = cumulative_counts(materialise(inside), [*keys, "_i"], "_v", {"_n": F.lit(1).cast("long")})
+    tops = _attach_all(counted, before, keys, few)
     picks = []
     for i, share in enumerate(shares):
         at = F.lit(float(share)) * (F.col("_size") - 1)
-        low, high = F.floor(at), F.ceil(at)
-        picks.append(F.max(F.when((first <= low) & (low <= last), F.col(value))).alias(f"_low{i}"))
-        picks.append(F.max(F.when((first <= high) & (high <= last), F.col(value))).alias(f"_high{i}"))
-    found = placed.groupBy(*keys, "_size").agg(*picks)
+        last = F.col(f"_before{i}") + F.col("_n_upto") - 1
+        first = last - F.col("_n") + 1
+        for name, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("_i") == i) & (first <= rank) & (rank <= last), F.col("_v"))).alias(f"_{name}{i}"))
+    found = tops.groupBy(*keys, "_size").agg(*picks)
     out = []
     for i, share in enumerate(shares):
         at = F.lit(float(share)) * (F.col("_size") - 1)
         weight = at - F.floor(at)
-        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-        out.append((low + (high - low) * weight).alias(f"p{i}"))
+        lower, upper = F.col(f"_low{i}"), F.col(f"_high{i}")
+        out.append((lower + (upper - lower) * weight).alias(f"p{i}"))
     return found.select(*keys, *out)
+
+
+def _attach_all(df: DataFrame, per_key: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Bring the columns of a one-row-per-key table to every row."""
+    if keys:
+        return join_keys(df, F.broadcast(per_key) if few else per_key, keys)
+    return df.withColumn("_one", per_key.select(F.struct(*per_key.columns)).scalar()).select(*df.columns, "_one.*")

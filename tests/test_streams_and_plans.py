@@ -88,6 +88,21 @@ def test_null_keys_keep_their_rows(spark):
     assert ordered.exact_percentiles(rows, ["k"], "v", [0.5]).count() == 4
 
 
+def test_percentiles_order_only_a_bracket(spark):
+    import numpy as np
+
+    from flowwarden.operators import ordered
+
+    rng = np.random.default_rng(1)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    for n in (3, 9_999, 30_000):
+        values, groups = np.round(rng.normal(size=n), 3), rng.integers(0, 2, n)
+        rows = spark.createDataFrame(list(zip(groups.tolist(), values.tolist())), "k int, v double")
+        for r in ordered.exact_percentiles(rows, ["k"], "v", shares).collect():
+            assert np.allclose(list(r)[1:], np.quantile(values[groups == r.k], shares))
+        assert np.allclose(list(ordered.exact_percentiles(rows, [], "v", shares).first()), np.quantile(values, shares))
+
+
 def test_forest_samples_do_not_depend_on_reach(spark):
     from flowwarden.models.forest import tree_samples
 
