@@ -163,3 +163,9 @@ class Policy:
 NO_ANALYSIS = "Unable to generate analysis: LLM unavailable. Autonomous fallback triggered."
 # Fixed value: start of the trigger of audit rows; the kind of mistake follows.
 AUDIT_TRIGGER = "Autonomous_Evaluation_"
+# Section headings of a context block.
+SECTION_HEADS = (
+    "SIMILAR PAST INCIDENTS (for reference, not binding rules):",
+    "\nKNOWN MISTAKE PATTERNS (diagnoses of prior FP/FN errors):",
+    "\nRELEVANT LEARNED RULES (AI-synthesised, lower priority than native rules):",
+)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowwarden.functions.cases import let
 from flowwarden.functions.conditions import normalise_condition, stripped
 
+# Reasons of fail-safe decisions.
 NO_RESPONSE = "Fail-safe: no response from the model."
 NO_JSON = "Fail-safe: model output no parseable JSON (think-chain overflow)."
 

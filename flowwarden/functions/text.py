@@ -75,6 +75,7 @@ def rendered_rule(text: Column, threshold: Column) -> Column:
     return F.replace(filled, F.lit("{isolation_trigger}"), fixed(isolation, 4))
 
 
+# The lines of the summary are fixed values: prompts of earlier runs hold them.
 def evidence_summary(normal: Column, attack: Column, status: Column, bias: Column) -> Column:
     """Plain-text history of a signature; empty when the ledger has no entry for it."""
     note = (

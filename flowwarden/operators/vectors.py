@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowwarden.config import SECTION_HEADS
 from flowwarden.functions.text import fixed, rule_text, stable_id
 from flowwarden.session import ship_package
 
@@ -23,6 +24,7 @@ PAIR_SCHEMA = "query_id string, doc_id string, distance double"
 
 
 # ---- documents --------------------------------------------------------------------------------
+# The wording of documents and metadata keys in this section are fixed values: stored memories use them.
 
 def _vector_row(collection: str, doc_id: Column, document: Column, metadata: dict[str, Column], version: Column) -> list[Column]:
     pairs = [c for k, v in metadata.items() for c in (F.lit(k), v.cast("string"))]
@@ -232,9 +234,6 @@ def context_block(queries: DataFrame, memory: DataFrame, incidents: int = 2, cor
         CORRECTIONS: (1, corrections, F.concat(number, F.lit("["), meta["correction_type"], F.lit("] "), cut(180))),
         RULES: (2, rules, F.concat(number, cut(200))),
     }
-    heads = ("SIMILAR PAST INCIDENTS (for reference, not binding rules):",
-             "\nKNOWN MISTAKE PATTERNS (diagnoses of prior FP/FN errors):",
-             "\nRELEVANT LEARNED RULES (AI-synthesised, lower priority than native rules):")
     found = None
     for collection, (section, count, line) in lines.items():
         part = memory.filter(F.col("collection") == collection)
@@ -246,7 +245,7 @@ def context_block(queries: DataFrame, memory: DataFrame, incidents: int = 2, cor
 
     def text(section: int) -> Column:
         own = F.transform(F.filter("s", lambda x: x["section"] == section), lambda x: x["line"])
-        return F.when(F.size(own) > 0, F.concat_ws("\n", F.lit(heads[section]), F.array_join(own, "\n")))
+        return F.when(F.size(own) > 0, F.concat_ws("\n", F.lit(SECTION_HEADS[section]), F.array_join(own, "\n")))
 
     blocks = gathered.select("query_id", F.concat_ws("\n", text(0), text(1), text(2)).alias("block"))
     return queries.select(F.col("id").alias("query_id")).join(blocks, "query_id", "left").select(
