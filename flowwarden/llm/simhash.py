@@ -3,8 +3,8 @@
 A 64-bit fingerprint is cut into 32 segments of two bits. Its point in the embedding has one coordinate for each
 segment, the number of set bits there. The Manhattan distance of two points is a lower bound of the
 Hamming distance of their fingerprints, so links within `DISTANCE` bits are a range join over the points. The
-coordinates fall into seven groups; a distance of four leaves at least three groups without any difference, so two
-points in range share a unit grid cell in at least one of the 35 projections onto three groups. The lower bound over
+coordinates fall into eight groups; a distance of four leaves at least four groups without any difference, so two
+points in range share a unit grid cell in at least one of the 70 projections onto four groups. The lower bound over
 all coordinates and then the exact distance are checked inside cells.
 
 Cells hold distinct fingerprints only, never documents, and only cells with at least two of them are kept. A
@@ -33,8 +33,8 @@ from flowwarden.llm.components import roots
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENT_BITS = 2
-#: Segments of each group; three untouched groups of these seven are one projection.
-GROUPS, UNTOUCHED = (5, 5, 5, 5, 4, 4, 4), 3
+#: Segments of each group; four untouched groups of these eight are one projection.
+GROUPS, UNTOUCHED = (4, 4, 4, 4, 4, 4, 4, 4), 4
 CELL_ROWS = 512
 
 
