@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from flowwarden.llm.common import fresh, has_unique_key, keyed_rows, python_tasks, raw_texts, stored
+from flowwarden.llm.common import fresh, has_unique_key, held, keyed_rows, python_tasks, raw_texts, stored
 
 #: Words of a window and of an edge's k-mer.
 WINDOW, EDGE_WORDS = 35, 16
@@ -101,13 +102,12 @@ def edges_of(words: Words, window: int = WINDOW, k: int = EDGE_WORDS) -> tuple[n
     return chosen, hashes[chosen]
 
 
-_KNOWN: dict[bytes, int] = {}
-
-
 def _remembered() -> dict[bytes, int]:
-    if len(_KNOWN) > 1_000_000:
-        _KNOWN.clear()
-    return _KNOWN
+    """Word hashes that the worker keeps."""
+    known = held(("word hashes",), dict)
+    if len(known) > 500_000:
+        known.clear()
+    return known
 
 
 def _edge_arrays(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,20 +172,21 @@ def candidates(words: Words, at: np.ndarray, agree: np.ndarray, window: int, k:
 
 @F.arrow_udf(from_arrow_type(_CANDIDATES))
 def _candidate_spans(texts: pa.Array, found: pa.Array, window: pa.Array, k: pa.Array) -> pa.Array:
-    out = []
     sizes = (window[0].as_py(), k[0].as_py()) if len(texts) else (WINDOW, EDGE_WORDS)
-    for raw, rows in zip(raw_texts(texts), found, strict=True):
-        rows = rows.as_py()
-        words = Words(raw, _remembered())
-        at = np.array([r["pos"] for r in rows], np.int64)
-        order = np.argsort(at)
-        agree = np.array([r["agree"] for r in rows], bool)
-        starts, lengths = candidates(words, at[order], agree[order], *sizes)
-        high = words.spans(starts, lengths, _BASES[0]).view(np.int64)
-        low = words.spans(starts, lengths, _BASES[1]).view(np.int64)
-        out.append([{"start": a, "length": b, "high": c, "low": d}
-                    for a, b, c, d in zip(starts.tolist(), lengths.tolist(), high.tolist(), low.tolist(), strict=True)])
-    return pa.array(out, _CANDIDATES)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy())])
+    rows = found.flatten()
+    pos, agree = rows.field("pos").to_numpy().astype(np.int64), rows.field("agree").to_numpy(zero_copy_only=False)
+    parts, counts = [], [0]
+    for i, raw in enumerate(raw_texts(texts)):
+        words, own = Words(raw, _remembered()), slice(ends[i], ends[i + 1])
+        order = np.argsort(pos[own])
+        starts, lengths = candidates(words, pos[own][order], agree[own][order], *sizes)
+        parts.append((starts, lengths, *(words.spans(starts, lengths, base).view(np.int64) for base in _BASES)))
+        counts.append(len(starts))
+    columns = [np.concatenate([p[j] for p in parts] or [np.zeros(0, np.int64)]) for j in range(4)]
+    kinds = _CANDIDATES.value_type
+    values = pa.StructArray.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, kinds, strict=True)], fields=list(kinds))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), values)
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, window: int = WINDOW, k: int = EDGE_WORDS) -> DataFrame:
