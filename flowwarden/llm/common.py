@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +52,25 @@ def raw_texts(texts: pa.Array) -> Iterable[bytes]:
         yield text.as_py() or b""
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(owner: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from one task to the next.
+
+    Workers outlive stages, so there is one place only: another owner's object goes before a new one is made.
+    """
+    if owner not in _HELD:
+        release()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
+def release() -> None:
+    """Let go of what the worker keeps; tasks with tables of their own begin with it."""
+    _HELD.clear()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, or the first of `name_1`, `name_2`, … that the table does not have."""
     taken = {c.lower() for c in df.columns}

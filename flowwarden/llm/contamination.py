@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from flowwarden.llm.common import TEXT, fresh, python_tasks, raw_texts
+from flowwarden.llm.common import TEXT, fresh, python_tasks, raw_texts, release
 
 WINDOW = 13
 #: Words of benchmark text in one broadcast automaton.
@@ -173,6 +173,7 @@ def _matcher(automaton) -> object:
 
     @F.arrow_udf(from_arrow_type(_MATCH))
     def matched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         own = automaton.value
         for texts in batches:
             out = []

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import LONG, fresh, has_unique_key, python_tasks, raw_texts, stored
+from flowwarden.llm.common import LONG, fresh, has_unique_key, python_tasks, raw_texts, release, stored
 from flowwarden.llm.components import roots
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -56,6 +56,7 @@ def fingerprint(raw: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
 @F.arrow_udf(LONG)
 def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Fingerprint of every text as a signed 64-bit number."""
+    release()
     for texts in batches:
         yield pa.array(np.array([fingerprint(raw) for raw in raw_texts(texts)], np.uint64).view(np.int64))
 

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import python_tasks, raw_texts
+from flowwarden.llm.common import held, python_tasks, raw_texts
 from flowwarden.session import scratch_path
 
 END = 2
 #: Tokens after which a block ends with its document, and words after which a worker's memory ages.
-BLOCK_TOKENS, REMEMBERED = 1 << 17, 500_000
+BLOCK_TOKENS, REMEMBERED = 1 << 17, 400_000
 #: New words encoded in one line, and bytes of text whose words are split at a time.
 LINE, SPLIT_BYTES = 24, 2 << 20
 # Letters that no normalisation changes but for their case, and a mark that is split off.
@@ -141,14 +141,9 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, own)) for own in words]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(name: str, content: str) -> Encoder:
-    """One encoder for each tokenizer in a worker process."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(content)
-    return _ENCODERS[name]
+def encoder(content: str) -> Encoder:
+    """The worker's encoder for this tokenizer file."""
+    return held(("encoder", hash(content)), lambda: Encoder(content))
 
 
 def _slices(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
@@ -164,10 +159,10 @@ def _slices(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
         yield some
 
 
-def _packer(name: str, content, bits: int, end: int):
+def _packer(content, bits: int, end: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # millions of remembered words, and no cycles among them
-        own = encoder(name, content.value)
+        own = encoder(content.value)
         part, tail = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
         docs: list[int | None] = []
         lengths: list[int] = []
@@ -194,6 +189,7 @@ def _packer(name: str, content, bits: int, end: int):
                         docs, lengths, ids = [], [], []
         if docs:
             yield done()
+        gc.enable()
 
     return packed
 
@@ -208,12 +204,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     python_tasks(spark)
     with open(tokenizer, encoding="utf-8") as f:
         content = f.read()
-    bits = bits_for(max(encoder(tokenizer, content).vocabulary, end + 1))
+    bits = bits_for(max(Encoder(content).vocabulary, end + 1))
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "text")
-    blocks = ordered.mapInArrow(_packer(tokenizer, spark.sparkContext.broadcast(content), bits, end), BLOCKS)
+    blocks = ordered.mapInArrow(_packer(spark.sparkContext.broadcast(content), bits, end), BLOCKS)
     blocks.write.option("compression", "zstd").parquet(path)
 
 

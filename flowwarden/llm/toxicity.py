@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from flowwarden.llm.common import python_tasks, raw_texts, stored
+from flowwarden.llm.common import held, python_tasks, raw_texts, release, stored
 
 FIT_ROWS = 20_000
 #: A weighted feature is in at least this share of toxic texts, and the lower bound of its log odds (so many standard
@@ -190,16 +190,9 @@ class Restorer:
         return out
 
 
-_RESTORERS: dict[tuple, Restorer] = {}
-
-
 def restorer_of(counts: dict[str, int], only: frozenset[str] | None = None) -> Restorer:
-    """The worker's restorer for these counts and features; a worker keeps the last one between tasks."""
-    key = hash(frozenset(counts.items())), only
-    if key not in _RESTORERS:
-        _RESTORERS.clear()
-        _RESTORERS[key] = Restorer(CharModel(counts), only)
-    return _RESTORERS[key]
+    """The worker's restorer for these counts and features."""
+    return held(("restorer", hash(frozenset(counts.items())), only), lambda: Restorer(CharModel(counts), only))
 
 
 @dataclass
@@ -213,6 +206,7 @@ class ToxicModel:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     words: Counter = Counter()
     found: Counter = Counter()
 
