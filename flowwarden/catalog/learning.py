@@ -1,4 +1,4 @@
-"""Model queries. Boosting rounds and depth are kept small here; the library defaults are 500 and 6."""
+"""Model queries. All fits have the library's folds, trees, rounds and depth; the README has their times."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from flowwarden.operators import sampling
 from flowwarden.plans import scoring, training
 from flowwarden.session import scratch_path
 
-QUICK = training.Settings(folds=3, trees=40, rounds=2, depth=3)
+FULL = training.Settings()
 NUMERIC = ["spkts", "dpkts", "h"]
 
 
@@ -48,21 +48,21 @@ def forest_score(spark, sf_dir):
 @query()
 def binary_risk(spark, sf_dir):
     frame, categorical, _ = _frame(spark, sf_dir)
-    model = threats.fit_risk(frame, categorical, rounds=5, depth=4)
+    model = threats.fit_risk(frame, categorical)
     return model.transform(frame).select("seq", "label", F.round("cat_risk", 6).alias("cat_risk"))
 
 
 @query()
 def feature_importance(spark, sf_dir):
     frame, categorical, _ = _frame(spark, sf_dir)
-    return threats.fit_risk(frame, categorical, rounds=5, depth=4).importances(spark)
+    return threats.fit_risk(frame, categorical).importances(spark)
 
 
 @query()
 def threat_model(spark, sf_dir):
     frame, categorical, _ = _frame(spark, sf_dir)
     split = sampling.stratified_holdout(frame, "attack_cat", "seq", 0.10)
-    model = threats.fit_threat(split.filter("not is_holdout"), split.filter("is_holdout"), categorical, rounds=3, depth=3)
+    model = threats.fit_threat(split.filter("not is_holdout"), split.filter("is_holdout"), categorical)
     return model.transform(frame).select("seq", "attack_cat", "threat", "penalised_threat",
                                          F.round("incident_entropy", 6).alias("incident_entropy"), F.round("top2_margin", 6).alias("top2_margin"))
 
@@ -79,8 +79,8 @@ def meta_learner(spark, sf_dir):
 @query()
 def oof_scores(spark, sf_dir):
     frame, categorical, numeric = _frame(spark, sf_dir)
-    _, grown = training.attack_forest(frame, numeric, QUICK)
-    oof = training.out_of_fold(frame, categorical, numeric, grown.anchors, QUICK)
+    _, grown = training.attack_forest(frame, numeric, FULL)
+    oof = training.out_of_fold(frame, categorical, numeric, grown.anchors, FULL)
     return oof.select("seq", "fold", "label", *[F.round(c, 6).alias(c) for c in ("cat_risk", "anomaly_risk", "incident_entropy", "top2_margin")])
 
 
@@ -89,7 +89,7 @@ def trained_scores(spark, sf_dir):
     """Whole plan: train, save, load, score."""
     rows = typed_flows(spark, sf_dir)
     path = scratch_path(spark, "models")
-    fitted = training.train(rows, "id", QUICK)
+    fitted = training.train(rows, "id", FULL)
     fitted.save(spark, path)
     loaded = training.Artifacts.load(spark, path, list(fitted.categorical))
     scored = scoring.flag(scoring.score_flows(rows, loaded), loaded)

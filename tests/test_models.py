@@ -162,3 +162,31 @@ def test_remember_takes_any_encoder(spark):
     assert [(r.document, r.embedding) for r in own.collect()] == [("alpha gamma", [1.0])]
     hashed = vectors.remember(empty, docs).first()
     assert np.linalg.norm(hashed.embedding) == pytest.approx(1.0)
+
+
+def test_model_queries_fit_at_library_size(monkeypatch):
+    """Rounds, depth, folds and trees of the registered queries are the library defaults."""
+    from types import SimpleNamespace
+
+    from flowwarden.catalog import learning
+    from flowwarden.models import threats
+    from flowwarden.plans import training
+
+    class Asked(Exception):
+        pass
+
+    def asked(*args, **named):
+        raise Asked(next((a for a in args if isinstance(a, training.Settings)), training.Settings()), named)
+
+    monkeypatch.setattr(learning, "_frame", lambda *_: (None, [], []))
+    monkeypatch.setattr(learning, "typed_flows", lambda *_: None)
+    monkeypatch.setattr(learning, "scratch_path", lambda *_: "")
+    monkeypatch.setattr(learning.sampling, "stratified_holdout", lambda *_: SimpleNamespace(filter=lambda c: None))
+    for module, name in ((threats, "fit_risk"), (threats, "fit_threat"), (training, "attack_forest"), (training, "train")):
+        monkeypatch.setattr(module, name, asked)
+    assert (threats.ROUNDS, threats.DEPTH) == (training.Settings().rounds, training.Settings().depth) == (500, 6)
+    for name in ("binary_risk", "feature_importance", "threat_model", "oof_scores", "trained_scores"):
+        with pytest.raises(Asked) as seen:
+            getattr(learning, name)(None, "")
+        settings, named = seen.value.args
+        assert settings == training.Settings() and not {"rounds", "depth"} & set(named), name
