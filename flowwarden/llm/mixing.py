@@ -2,7 +2,7 @@
 
 Every source's documents fall into blocks by a hash of their id; a source's target says how often each of
 its blocks is taken: `whole` full passes and a share of one more, drawn as the first blocks of a seeded
-permutation whose words come nearest to what is left. The drawn blocks of all sources are then dealt to output
+permutation, without those too long for what is left. The drawn blocks of all sources are then dealt to output
 shards: from the root down, each node's block quotas are split between its two halves by a multivariate
 hypergeometric draw, so every shard gets an exact quota of every source as a uniform deal would give it.
 Quotas become disjoint ranges of each source's permuted blocks, and documents are shuffled inside shards.
@@ -12,7 +12,7 @@ Defined results: a null source is a source of its own, after all others; a null
 empty mix; extra columns are passed through. The draw depends on ids, sizes and the seed only, so reruns agree.
 
 Only tables of sources and of blocks (at most `BLOCKS` for each source) are gathered: the first is the
-mixture's own list of weights, the second is windowed source by source.
+mixture's own list of weights, the second is filled source by source.
 """
 
 from __future__ import annotations
@@ -79,24 +79,33 @@ def _block(doc_id: str, seed: int, blocks: int) -> Column:
 def draw_blocks(blocks: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Times each block is taken: rows of (source, block, words) to (…, place, times).
 
-    Blocks stand in the order of a seeded permutation. One more pass takes the first blocks that fit into what is left of
-    the target, and then the one block that comes nearest to the rest.
+    Blocks stand in the order of a seeded permutation. One more pass takes every block that fits into what is then left of
+    the target, and at last the one block that comes nearest to the rest. No open block fits in the end, so the target is
+    missed by at most half of the smallest of them.
     """
     own = plan.select(F.col("source").alias("_planned"), "source_size", "target")
     joined = blocks.join(own, F.col("source").eqNullSafe(F.col("_planned"))).drop("_planned")
     order = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("block")), "block")
-    upto = F.sum("words").over(order)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.col("target") - whole * F.col("source_size")
-    placed = joined.select("source", "block", "words", F.row_number().over(order).alias("place"), whole.alias("whole"),
-                           left.alias("left"), upto.alias("upto")).withColumn("fits", F.col("upto") <= F.col("left"))
-    every = W.partitionBy("source")
-    rest = F.col("left") - F.coalesce(F.max(F.when(F.col("fits"), F.col("upto"))).over(every), F.lit(0))
-    gaps = placed.withColumn("rest", rest).withColumn("gap", F.abs(F.col("words") - F.col("rest")))
-    nearest = F.row_number().over(every.orderBy("fits", "gap", "place")) == 1
-    more = F.col("fits") | (nearest & (F.col("gap") < F.col("rest")))
-    return gaps.select("source", "block", "words", "place",
-                       F.when(F.col("words") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0)).alias("times"))
+    placed = joined.select("source", "block", "words", F.row_number().over(order).alias("place"), whole.alias("whole"), left.alias("left"))
+    # A source has at most as many rows here as blocks.
+    return placed.groupBy("source").applyInPandas(_filled, "source string, block int, words bigint, place int, times bigint")
+
+
+def _filled(own: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of one source with the times they are taken."""
+    own = own.sort_values("place")
+    words, left = own["words"].tolist(), float(own["left"].iloc[0])
+    more = np.zeros(len(own), np.int64)
+    for i, n in enumerate(words):
+        if 0 < n <= left:
+            more[i], left = 1, left - n
+    still = [(abs(n - left), i) for i, n in enumerate(words) if n > 0 and not more[i]]
+    if still and min(still)[0] < left:
+        more[min(still)[1]] = 1
+    times = np.where(own["words"] > 0, own["whole"] + more, 0)
+    return own.assign(times=times)[["source", "block", "words", "place", "times"]]
 
 
 def _child_seed(seed: int, path: str) -> np.random.Generator:

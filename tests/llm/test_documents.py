@@ -199,6 +199,16 @@ def test_mixing(docs, rows, odd, empty):
     assert mixing.mix(odd).columns == odd.columns
 
 
+def test_long_blocks_do_not_end_the_draw(spark):
+    """400 of 2000 words are met exactly by eight blocks of 50, wherever the block of 1000 stands."""
+    blocks = [(f"s{s}", b, 1000 if b == 0 else 50) for s in range(20) for b in range(21)]
+    plan = spark.createDataFrame([(f"s{s}", 2000, 400.0) for s in range(20)], "source string, source_size bigint, target double")
+    drawn = mixing.draw_blocks(spark.createDataFrame(blocks, "source string, block int, words bigint"), plan, 17).collect()
+    assert min(r.place for r in drawn if r.block == 0) < 8
+    for s in range(20):
+        assert sum(r.times * r.words for r in drawn if r.source == f"s{s}") == 400
+
+
 def test_targets(spark):
     for sizes in ({"a": 10, "b": 1000, "c": 5, None: 70}, {"a": 0, "b": 0}, {"é": 5, "z": 5, "Z": 50, "zz": 1}, {"a": 1}):
         plan = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint"))
