@@ -1,11 +1,11 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A word that looks disguised (digits or symbols among letters, separated letters, long runs of a letter) is a
+A word of any length that looks disguised (digits or symbols among letters, marks between letters, long runs of a letter) is a
 lattice: each character stands for itself or for letters it imitates, a separator for nothing or a word boundary, a
 run for one or two letters. A Viterbi search finds the likeliest letters under a character language model of the
-corpus plus channel costs, and the restored words are scored. Plain words restore to themselves.
+corpus plus channel costs, and the restored words are scored, next to the word as it is shown. Plain words restore to themselves.
 
-The character model counts n-grams over all documents; the table has one row for each n-gram of a fixed alphabet, whatever the corpus.
+The character model counts n-grams of plain words up to `MAX_WORD` letters over all documents; the table has one row for each n-gram of a fixed alphabet, whatever the corpus.
 The classifier is fitted on at most `FIT_ROWS` labelled rows, those with the smallest hashes of their ids, each distinct text once:
 restored words and their character n-grams that are far more frequent in toxic documents get log-odds weights, and a
 logistic curve over two figures of a document, the weights of its features and the average strongest weight of its words, gives the score. Only texts and the labels of rows outside the held-out fifth are read for it.
@@ -45,14 +45,14 @@ ORDER, BEAM, MAX_WORD = 4, 48, 32
 # Letters that a character may stand for, besides itself.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
               "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "aeiou"}
-SEPARATORS = "._-~'"
+SEPARATORS = "._-~'/\\,:;^=&%?\"<>[]{})`"
 EDGE, BREAK = "^", "#"
 SWAP, WILD, DROP, SPLIT, SHORTEN = 0.5, 2.0, 0.4, 1.0, 0.3
 
 _STRIP = b".,;:?\"'()[]{}<>%&*#$!|/\\~^`=+-_"
 #: Marks around a word that imitate no letter; up to two that do may belong to the disguise.
 _MARKS, _AT_ENDS = b".,;:?\"'()[]{}<>%&/\\~^`=_-", 2
-_DISGUISED = re.compile(rb"(?=.*[a-z])(?:.*[0-9@$!|+(*#]|.*([a-z])\1\1|(?:[a-z0-9@$!*][._~'-]+){2,}[a-z0-9@$!*]$)")
+_DISGUISED = re.compile(rb"(?=.*[a-z])(?:.*[0-9@$!|+(*#]|.*([a-z])\1\1|.*[a-z][" + re.escape(SEPARATORS).encode() + rb"]+[a-z])")
 _SPACED = re.compile(rb"(?<![^\x20\x09-\x0D])[a-z0-9@$!*](?:[\x20\x09-\x0D]+[a-z0-9@$!*](?![^\x20\x09-\x0D])){2,}")
 _PLAIN = re.compile(rb"[a-z]+")
 
@@ -120,25 +120,30 @@ def arcs(shown: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(shown: str, model: CharModel) -> list[str]:
-    """Likeliest words behind a disguised one (Viterbi with the last letters as state)."""
+    """Likeliest words behind a disguised one (Viterbi with the last letters as state), in time linear in its length."""
     start = EDGE * (model.order - 1)
-    states: dict[str, tuple[float, str]] = {start: (0.0, "")}
+    # Texts are chains of (text before, letter), so that no step copies them.
+    states: dict[str, tuple[float, tuple | None]] = {start: (0.0, None)}
     for options in [*arcs(shown), [(BREAK, 0.0)]]:
-        new: dict[str, tuple[float, str]] = {}
+        new: dict[str, tuple[float, tuple | None]] = {}
         for history, (spent, text) in states.items():
             for letters, channel in options:
                 h, total, said = history, spent + channel, text
                 for c in letters:
                     if c == BREAK:
                         total += model.cost(h, EDGE)
-                        h, said = start, said + " "
+                        h, said = start, (said, " ")
                     else:
                         total += model.cost(h, c)
-                        h, said = (h + c)[1:], said + c
+                        h, said = (h + c)[1:], (said, c)
                 if h not in new or total < new[h][0]:
                     new[h] = total, said
-        states = dict(sorted(new.items(), key=lambda s: s[1][0])[:BEAM])
-    return min(states.values())[1].split()
+        states = dict(sorted(new.items(), key=lambda s: s[1][0])[:BEAM]) if len(new) > BEAM else new
+    (_, said), letters = states[start], []  # the last arc ends all paths in one state
+    while said:
+        said, c = said
+        letters.append(c)
+    return "".join(reversed(letters)).split()
 
 
 class Restorer:
@@ -157,7 +162,7 @@ class Restorer:
         if not bare:
             return ()
         out = []
-        if len(dressed) <= MAX_WORD and _DISGUISED.match(dressed):
+        if _DISGUISED.match(dressed):
             if len(dressed) - len(bare) <= _AT_ENDS:
                 out += restore(dressed.decode("utf-8", "replace"), self.model)
             if dressed != bare and _DISGUISED.match(bare):

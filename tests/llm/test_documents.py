@@ -308,6 +308,18 @@ def test_restoration():
         assert toxicity.restore(shown, model) == [word]
 
 
+def test_restoration_of_long_and_split_words():
+    words = ["you", "are", "a", "stupid", "idiot", "moron", "the", "and", "this", "hello", "street"]
+    own = toxicity.Restorer(toxicity.CharModel(Counter(g for w in words for g in toxicity.grams(w))))
+    for shown, word in [("st" + 40 * "u" + "pid", "stupid"), ("st-upid", "stupid"), ("st.u.p.id", "stupid"), ("i/d/i/o/t", "idiot"),
+                        ("id,iot", "idiot")]:
+        assert word in own.word(shown.encode()) and shown in own.word(shown.encode()), shown
+    assert {"stupid", "idiot"} <= set(own.word(b"y-o-u-a-r-e-a-s-t-u-p-i-d-i-d-i-o-t"))
+    assert {"this", "street"} <= set(own.word(b"this/street"))
+    # Chains of any length are walked and released without recursion.
+    assert len(toxicity.restore("s-t-u-p-i-d-" * 2000, own.model)) > 1
+
+
 def test_toxicity_never_reads_held_out_labels(spark, talk):
     docs, labels = talk
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
