@@ -38,12 +38,16 @@ def knn_blocked(spark, sf_dir):
 def stored(spark, sf_dir):
     """Vector table: every embedding as a document of one of three collections, with a whole text."""
     docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return _collected(items(spark, sf_dir).join(docs, "vec_id", "left"))
+
+
+def _collected(rows):
     collection = (F.when(F.col("vec_id") % 3 == 0, vectors.INCIDENTS).when(F.col("vec_id") % 3 == 1, vectors.CORRECTIONS)
                   .otherwise(vectors.RULES))
     n = F.col("vec_id").cast("string")
     meta = F.create_map(F.lit("event_id"), n, F.lit("playbook"), F.lit("ALLOW"), F.lit("fused_risk"), F.concat(F.lit("0."), n),
                         F.lit("threat"), F.lit("DoS"), F.lit("correction_type"), F.when(F.col("vec_id") % 2 == 0, "FP").otherwise("FN"))
-    return items(spark, sf_dir).join(docs, "vec_id", "left").select(
+    return rows.select(
         collection.alias("collection"), F.col("id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"),
         F.coalesce("text", F.lit("none")).alias("document"), meta.alias("metadata"), F.col("vec_id").alias("version"))
 
@@ -68,6 +72,23 @@ def context_block(spark, sf_dir):
     return vectors.context_block(items(spark, sf_dir), stored(spark, sf_dir))
 
 
+def stored_whole(spark, sf_dir):
+    """Vector table of every document and every embedding's item. The default encoder reads all texts, because the table has
+    no vectors for the other documents and distances between two encoders' vectors mean nothing."""
+    docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    ids = inputs.table(spark, sf_dir, "embeddings").select("vec_id")
+    rows = docs.join(ids, "vec_id", "full").withColumn("text", F.coalesce("text", F.lit("none")))
+    return _collected(vectors.embed(rows.withColumn("id", F.col("vec_id").cast("string")), "text"))
+
+
+@query()
+def context_block_documents(spark, sf_dir):
+    """Blocks from a memory of all documents; `context_block` has those with a given vector only, as its SQL."""
+    memory = stored_whole(spark, sf_dir)
+    asked = items(spark, sf_dir).select("id").join(memory.select(F.col("doc_id").alias("id"), "embedding"), "id")
+    return vectors.context_block(asked, memory)
+
+
 _DOC = "'rule_' || substr(md5('rule|R' || (vec_id % 40)), 1, 12)"
 
 

@@ -33,3 +33,20 @@ def test_gives_rows(name, spark, tiny):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_memory_holds_every_document(spark):
+    """Documents without a given vector are remembered too, and come into blocks."""
+    import re
+
+    from flowwarden.catalog import memory
+
+    sf_dir = "/root/testdata/sf0.01"  # half of its documents have no vector
+    documents, given = ({r[0] for r in duckdb.sql(f"SELECT {c} FROM '{sf_dir}/{t}.parquet'").fetchall()}
+                        for c, t in (("doc_id", "documents"), ("vec_id", "embeddings")))
+    held = {int(r.doc_id): len(r.embedding) for r in memory.stored_whole(spark, sf_dir).select("doc_id", "embedding").collect()}
+    assert documents - given and set(held) == documents | given and len(set(held.values())) == 1
+    blocks = QUERIES["context_block_documents"](spark, sf_dir).collect()
+    assert {int(r.query_id) for r in blocks} == given
+    shown = {int(n) for r in blocks for n in re.findall(r"\. Event (\d+) →", r.block)}
+    assert shown & (documents - given) and shown & given
