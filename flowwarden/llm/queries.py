@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowwarden.llm import (
-    chat, compression, contamination, debruijn, mixing, pii, pseudo_likelihood, simhash, tokens, toxicity,
+    alignment, chat, collocation, compression, contamination, debruijn, mixing, pii, pseudo_likelihood, simhash, tokens, toxicity, warc,
 )
 from flowwarden.llm.common import stored
+from flowwarden.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: A conversation whose texts hold control strings, added to the given ones.
 TRAP = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -83,9 +85,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(trap)))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), BYTE_LEVEL, PIECES)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_packages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch_path(spark, "warc"))
+    return warc.read_packages(manifest, warc.tasks_for(spark, manifest)).drop("url")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_tokens, op2_pseudo_likelihood, op3_toxicity, op4_repeats, op5_personal_data, op6_compression, op7_contamination,
-    op8_mixing, op9_simhash, op10_chat)}
+    op8_mixing, op9_simhash, op10_chat, op11_alignment, op12_warc, op13_phrases)}
 
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 _TERM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -118,4 +133,26 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY p) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(6 + shown + CASE WHEN opens THEN 7 + name ELSE 0 END) AS BIGINT) AS formatted_chars, count(*) FILTER (WHERE opens) AS n_blocks
 FROM turns GROUP BY conv_id""",
+    "op12_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+firsts AS (SELECT *, CASE WHEN strlen(h) >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to FROM firsts""",
+    "op13_phrases": f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({_LOWER}, '[^.,;:!?\\x0A-\\x0D]+')) AS p FROM documents),
+split AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+words AS (SELECT lang, piece, unnest(w) AS a, unnest(range(len(w))) AS i FROM split),
+runs AS (SELECT lang, a, a || ' ' || lead(a, 1) OVER o AS b, a || ' ' || lead(a, 1) OVER o || ' ' || lead(a, 2) OVER o AS c,
+  a || ' ' || lead(a, 1) OVER o || ' ' || lead(a, 2) OVER o || ' ' || lead(a, 3) OVER o AS d FROM words WINDOW o AS (PARTITION BY piece ORDER BY i)),
+f AS (SELECT lang, 1 AS k, a AS phrase, count(*) AS f FROM runs GROUP BY ALL UNION ALL SELECT lang, 2, b, count(*) FROM runs WHERE b IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, c, count(*) FROM runs WHERE c IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, 4, d, count(*) FROM runs WHERE d IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+halves AS (SELECT lang, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS x, array_to_string(list_slice(w, j + 1, k), ' ') AS y FROM c, unnest(range(1, k)) AS t(j)),
+keyed AS (SELECT lang || chr(10) || phrase AS key, f FROM f),
+cuts AS (SELECT h.lang, h.phrase, h.a, h.j, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * h.a) // (l.f + r.f) AS BIGINT) AS score
+  FROM halves h JOIN keyed l ON l.key = h.lang || chr(10) || h.x JOIN keyed r ON r.key = h.lang || chr(10) || h.y),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS top FROM c, unnest(range(2, k)) AS t(m), unnest(range(1, k - m + 2)) AS u(i) GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) LEFT JOIN longer USING (lang, phrase) WHERE top IS NULL OR 100 * top < 80 * a
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }

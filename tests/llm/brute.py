@@ -176,3 +176,88 @@ def chats(rows, learned="assistant"):
         loss = "".join(t for _, r, t in turns if r == learned)
         out[conv] = (len(turns), sha(said), len(loss), sha(loss))
     return out
+
+
+def alignment(texts, a_file, b_file):
+    """[(n_a, n_b, n_groups, n_links, n_best, count_sum, digest)] of texts in order, from whole texts and all interval pairs."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer, decoders
+
+    a, b = Tokenizer.from_file(a_file), SentencePieceProcessor(model_file=b_file)
+    a.encode_special_tokens = True
+    latin = {c: ord(c) for c in map(chr, [*range(33, 127), *range(161, 173), *range(174, 256)])}
+    letters = latin | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in latin.values())}
+    assert decoders.ByteLevel().decode(["Ġé"]) == " �"
+    docs = []
+    for text in texts:
+        ids, raw = ([], []), b" " + (text or "").encode()
+        if text:
+            own = a.encode(" " + text, add_special_tokens=False)
+            ids = own.ids, b.encode(text)
+        shown = ([bytes(letters[c] for c in a.id_to_token(i)) for i in ids[0]],
+                 [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i in ids[1] for p in [b.id_to_piece(i)]])
+        if not text or any(b"".join(s) != raw for s in shown):
+            docs.append(None)
+            continue
+        spans = []
+        for side in shown:
+            at, own = 0, []
+            for s in side:
+                own.append((at, at + len(s)))
+                at += len(s)
+            spans.append(own)
+        cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        groups, begin = [], 0
+        for cut in cuts:
+            groups.append([[i for i, (s, e) in zip(ids[k], spans[k], strict=True) if begin <= s and e <= cut] for k in (0, 1)])
+            begin = cut
+        links = [(ids[0][i], ids[1][j]) for i, (s, e) in enumerate(spans[0]) for j, (t, f) in enumerate(spans[1]) if s < f and t < e]
+        digest = sha(";".join("|".join(",".join(map(str, side)) for side in g) for g in groups))
+        docs.append((len(ids[0]), len(ids[1]), len(groups), links, digest))
+    counts = Counter(p for d in docs if d for p in set(d[3]))
+    top = Counter()
+    for (x, _), n in counts.items():
+        top[x] = max(top[x], n)
+    return [(*d[:3], len(d[3]), sum(counts[p] == top[p[0]] for p in d[3]), sum(counts[p] for p in d[3]), d[4]) if d else (0,) * 6 + ("",)
+            for d in docs]
+
+
+def archived(pages):
+    """Sorted [(page_id, bytes, digest, type, refers_to)]; pages: (page_id, html)."""
+    first = {}
+    for i, html in pages:
+        if i is not None:
+            first[html or ""] = min(i, first.get(html or "", i))
+    out = []
+    for i, html in pages:
+        raw, least = (html or "").encode(), first.get(html or "")
+        again = len(raw) >= 100 and least is not None and least != i
+        out.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", least if again else None))
+    return out
+
+
+def phrases(docs, least=30, top=2000):
+    """{(lang, rank): (phrase, a, l, r, n, score)}; docs: (lang, text)."""
+    n, f = Counter(), Counter()
+    for lang, text in docs:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            own = re.findall(r"[^\x20\x09]+", piece)
+            n["und" if lang is None else lang] += len(own)
+            for k in range(1, 5):
+                f.update(("und" if lang is None else lang, tuple(own[i:i + k])) for i in range(len(own) - k + 1))
+    found = defaultdict(list)
+    candidates = [(lang, w) for (lang, w), a in f.items() if len(w) > 1 and a >= least]
+    around = Counter()
+    for lang, w in candidates:
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                around[lang, w[i:i + k]] = max(around[lang, w[i:i + k]], f[lang, w])
+    for lang, w in candidates:
+        a = f[lang, w]
+        if 100 * around[lang, w] >= 80 * a:
+            continue
+        score, k = min((2_000_000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k) for k in range(1, len(w)))
+        found[lang].append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return {(lang, rank): (p.decode(), -a, left, right, n[lang], -s)
+            for lang, rows in found.items() for rank, (s, a, p, left, right) in enumerate(sorted(rows)[:top], 1)}
