@@ -23,12 +23,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import held, python_tasks, stored
+from flowwarden.llm.common import held, python_tasks, slices, spans, stored
 
 #: Parts a worker remembers before it begins anew, bytes of text whose parts are learnt at a time, bytes of text in a block.
 REMEMBERED, SLICE_BYTES, BLOCK_BYTES = 250_000, 1 << 20, 12 << 20
@@ -66,12 +65,6 @@ def coalesce(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end:
     return group[:len(a_start)], group[len(a_start):], a, b
 
 
-def spans(lengths: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions begin … begin + length of each of several runs, one after the other, and the run of each."""
-    run = np.repeat(np.arange(len(lengths)), lengths)
-    return np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begin, lengths), run
-
-
 class Aligner:
     """Groups and links of parts, remembered by number; `texts` gives the parts of a text."""
 
@@ -190,16 +183,6 @@ def aligner(a_file: str, b_file: bytes) -> Aligner:
     return held(("aligner", hash(a_file), hash(b_file)), lambda: Aligner(a_file, b_file))
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of neighbours with about `SLICE_BYTES` of text together."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0).to_numpy())
-    at = 0
-    while at < len(ends):
-        past = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right"))
-        yield at, max(1, past - at)
-        at += max(1, past - at)
-
-
 def _blocks(files):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(*files.value)
@@ -216,7 +199,7 @@ def _blocks(files):
 
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for at, n in slices(texts):
+            for at, n in slices(texts, SLICE_BYTES):
                 some = texts[at:at + n].to_pylist()
                 rows += [(key, *found) for key, found in zip(keys[at:at + n].to_pylist(), own.documents(some), strict=True)]
                 size += sum(len(t or "") + 200 for t in some)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +16,7 @@ from pyspark.sql import Window as W
 from flowwarden.session import scratch_path, ship_package
 
 #: Rows and bytes of one Arrow batch at most, so that very long texts never meet in one batch.
-BATCH_ROWS, BATCH_BYTES = "2000", str(16 << 20)
+BATCH_ROWS, BATCH_BYTES = "1000", str(4 << 20)
 
 
 def python_tasks(spark: SparkSession) -> None:
@@ -67,8 +70,31 @@ def held(owner: tuple, make: Callable[[], object]) -> object:
 
 
 def release() -> None:
-    """Let go of what the worker keeps; tasks with tables of their own begin with it."""
+    """Let go of what the worker keeps, back to the system; tasks with tables of their own begin with it.
+
+    Idle workers stand beside the next stage's memory, so tasks that keep nothing end with it too.
+    """
     _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def spans(lengths: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions begin … begin + length of each of several runs, one after the other, and the run of each."""
+    run = np.repeat(np.arange(len(lengths)), lengths)
+    return np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begin, lengths), run
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of neighbours with about `size` bytes of text together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0).to_numpy())
+    at = 0
+    while at < len(ends):
+        past = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, past - at
+        at = past
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -59,6 +59,7 @@ def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     release()
     for texts in batches:
         yield pa.array(np.array([fingerprint(raw) for raw in raw_texts(texts)], np.uint64).view(np.int64))
+    release()
 
 
 def _cells(points: DataFrame) -> DataFrame:
@@ -128,6 +129,8 @@ def forest(points: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 def _links(distance: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+
         def found(cells: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
             edges = np.flatnonzero(np.diff(cells)) + 1
             begins = np.concatenate([[0], edges]).astype(np.int64)

@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import held, python_tasks, raw_texts
+from flowwarden.llm.common import held, python_tasks, slices
 from flowwarden.session import scratch_path
 
 END = 2
@@ -37,8 +38,8 @@ END = 2
 BLOCK_TOKENS, REMEMBERED = 1 << 17, 400_000
 #: New words encoded in one line, and bytes of text whose words are split at a time.
 LINE, SPLIT_BYTES = 24, 2 << 20
-# Letters that no normalisation changes but for their case, and a mark that is split off.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+# Letters that no normalisation changes but for their case, and marks that are split off as one; the apostrophe joins endings.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 BLOCKS = ("part int, block int, start bigint, bits int, n bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary")
 
 
@@ -78,8 +79,8 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, word by word from memory.
 
     New words of plain letters are encoded in lines of several words, which spares calls; where the tokenizer marks word ends,
-    the ids of a line fall apart at the marks. A full stop or comma behind a word is a token of its own. All other words, and
-    lines whose marks do not add up, are encoded one by one. Memory has two ages: a full one becomes the old one, which words
+    the ids of a line fall apart at the marks. ASCII marks behind a word are split off by the tokenizer. All other words, and
+    lines whose ends do not add up, are encoded one by one. Memory has two ages: a full one becomes the old one, which words
     that are met again leave for the new one.
     """
 
@@ -88,13 +89,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(content)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.old: dict[str, bytes] = {}
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(self.vocabulary, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.marks = {m: self._alone([m])[0] for m in ("", ".", ",")}
+        self.marks = {"": b""}
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -113,13 +114,15 @@ class Encoder:
             else:
                 self.cores.update(zip(line, self._alone(line), strict=True))
 
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        matches = list(map(_PLAIN.fullmatch, texts))
+    def _learn(self, words: list[str]) -> None:
+        if not words:
+            return
+        matches = list(map(_PLAIN.fullmatch, words))
         lowered = [m[1].lower() if m else None for m in matches]
-        new = set(lowered).difference(self.cores, (None,))
-        if new:
-            self._learn_cores(list(new))
+        if new := list(set(lowered).difference(self.cores, (None,))):
+            self._learn_cores(new)
+        if new := list({m[2] for m in matches if m}.difference(self.marks)):
+            self.marks.update(zip(new, self._alone(new), strict=True))
         known, cores, marks = self.known, self.cores, self.marks
         other = []
         for w, m, core in zip(words, matches, lowered, strict=True):
@@ -127,18 +130,36 @@ class Encoder:
                 other.append(w)
             else:
                 known[w] = cores[core] + marks[m[2]]
-        known.update(zip(other, self._alone([w.decode() for w in other]), strict=True))
+        known.update(zip(other, self._alone(other), strict=True))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
         if len(self.known) > REMEMBERED:
-            self.old, self.known, self.cores = self.known, {}, {}
-        words = [raw.split() for raw in texts]
-        new = set().union(*words).difference(self.known)
-        met = new.intersection(self.old)
-        self.known.update(zip(met, map(self.old.__getitem__, met), strict=True))
-        if new := new.difference(met):
-            self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, own)) for own in words]
+            self.old, self.known, self.cores, self.marks = self.known, {"": b""}, {}, {"": b""}
+        known, old = self.known, self.old
+        out = list(map(known.get, words))
+        places = [i for i, ids in enumerate(out) if ids is None]
+        met = {words[i]: old.get(words[i]) for i in places}
+        self._learn([w for w, ids in met.items() if ids is None])
+        known.update((w, ids) for w, ids in met.items() if ids is not None)
+        for i in places:
+            out[i] = known[words[i]]
+        return out
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts with the end id behind each, and the number of ids of each text.
+
+        Arrow splits the texts and numbers their words, so only distinct words pass through Python.
+        """
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words = split.flatten().dictionary_encode()
+        found = self.ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        found.append(np.array([end], "<u4").tobytes())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n_words = pc.list_value_length(split).to_numpy()
+        codes = np.insert(words.indices.to_numpy(), np.cumsum(n_words), len(found) - 1)
+        lengths = np.add.reduceat(sizes[codes], np.cumsum(n_words + 1) - n_words - 1) if len(n_words) else n_words
+        return np.frombuffer(b"".join(map(found.__getitem__, codes.tolist())), "<u4"), lengths
 
 
 def encoder(content: str) -> Encoder:
@@ -146,47 +167,33 @@ def encoder(content: str) -> Encoder:
     return held(("encoder", hash(content)), lambda: Encoder(content))
 
 
-def _slices(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
-    """Texts in lists of about `SPLIT_BYTES`."""
-    some, size = [], 0
-    for raw in texts:
-        some.append(raw)
-        size += len(raw)
-        if size >= SPLIT_BYTES:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 def _packer(content, bits: int, end: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # millions of remembered words, and no cycles among them
         own = encoder(content.value)
-        part, tail = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
+        part = TaskContext.get().partitionId()
         docs: list[int | None] = []
         lengths: list[int] = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         block = start = size = 0
 
         def done() -> pa.RecordBatch:
-            columns = [[part], [block], [start], [bits], [size], [docs], [lengths], [pack(np.frombuffer(b"".join(ids), "<u4"), bits)]]
+            columns = [[part], [block], [start], [bits], [size], [docs], [lengths], [pack(np.concatenate(ids), bits)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             names = ["part", "block", "start", "bits", "n", "doc_ids", "lengths", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            keys = iter(batch.column(0).to_pylist())
-            for some in _slices(raw_texts(batch.column(1))):
-                for encoded in own.encode(some):
-                    docs.append(next(keys))
-                    lengths.append(len(encoded) // 4 + 1)
-                    ids += (encoded, tail)
-                    size += lengths[-1]
-                    if size >= BLOCK_TOKENS:
-                        yield done()
-                        block, start, size = block + 1, start + size, 0
-                        docs, lengths, ids = [], [], []
+            for at, n in slices(batch.column(1), SPLIT_BYTES):
+                own_ids, own_lengths = own.encode(batch.column(1)[at:at + n], end)
+                docs += batch.column(0)[at:at + n].to_pylist()
+                lengths += own_lengths.tolist()
+                ids.append(own_ids)
+                size += len(own_ids)
+                if size >= BLOCK_TOKENS:
+                    yield done()
+                    block, start, size = block + 1, start + size, 0
+                    docs, lengths, ids = [], [], []
         if docs:
             yield done()
         gc.enable()

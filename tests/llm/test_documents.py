@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,12 +57,18 @@ def test_tokens(spark, docs, rows, empty, odd, tmp_path):
     assert tokens.encode_documents(odd, queries.TOKENIZER).count() == odd.count()
 
 
-def test_word_memory_equals_whole_texts(spark, tiny):
+def test_word_memory_equals_whole_texts(spark, tiny, monkeypatch):
     own = tokens.Encoder(open(queries.TOKENIZER, encoding="utf-8").read())
     texts = [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").select("text").limit(40).collect()]
     texts += ["it's <|endoftext|> we'll ÅÀ é́ ΣΑΣ x y z \x1c a\x0bb", "don't'll''s 12 3,4"]
-    for t in texts:
-        assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+    texts += [None, "", " \n", "a### b%%%. c$$$, (d) e_f e_ f<| g|> h--' i!'s \xa0 j\u2003k "]
+    whole = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, lengths = own.encode(pa.array(texts), 7)
+    assert ids.tolist() == [i for w in whole for i in [*w, 7]] and lengths.tolist() == [len(w) + 1 for w in whole]
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    again = [own.encode(pa.array([t], pa.string()), 7) for t in texts]
+    assert [i.tolist() for i, _ in again] == [[*w, 7] for w in whole]
+    assert [len(x) for x in own.encode(pa.array([], pa.string()), 7)] == [0, 0]
 
 
 def test_repeats(docs, rows, empty, odd):
