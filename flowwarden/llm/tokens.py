@@ -35,7 +35,7 @@ from flowwarden.session import scratch_path
 
 END = 2
 #: Tokens after which a block ends with its document, and words after which a worker's memory ages.
-BLOCK_TOKENS, REMEMBERED = 1 << 17, 400_000
+BLOCK_TOKENS, REMEMBERED = 1 << 17, 300_000
 #: New words encoded in one line, and bytes of text whose words are split at a time.
 LINE, SPLIT_BYTES = 24, 2 << 20
 # Letters that no normalisation changes but for their case, and marks that are split off as one; the apostrophe joins endings.

@@ -19,7 +19,9 @@ passed through; an empty table stays empty.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -195,9 +197,27 @@ class Restorer:
         return out
 
 
-def restorer_of(counts: dict[str, int], only: frozenset[str] | None = None) -> Restorer:
-    """The worker's restorer for these counts and features."""
-    return held(("restorer", hash(frozenset(counts.items())), only), lambda: Restorer(CharModel(counts), only))
+def packed(model: object) -> bytes:
+    """What is broadcast: workers keep broadcast values until they are told otherwise, and bytes are small."""
+    return zlib.compress(pickle.dumps(model, 5), 1)
+
+
+def unpacked(raw: bytes) -> object:
+    return pickle.loads(zlib.decompress(raw))
+
+
+def restorer_of(counts: bytes, only: bytes | None = None) -> Restorer:
+    """The worker's restorer for these packed counts and features."""
+    return held(("restorer", hash(counts), hash(only)), lambda: Restorer(CharModel(unpacked(counts)), only and unpacked(only)))
+
+
+def scorer_of(model: bytes) -> tuple[Restorer, dict[str, float]]:
+    """The worker's restorer and weights for this packed model."""
+    def made() -> tuple[Restorer, dict[str, float]]:
+        own = unpacked(model)
+        return Restorer(CharModel(own.counts), frozenset(own.weights)), own.weights
+
+    return held(("scorer", hash(model)), made)
 
 
 @dataclass
@@ -286,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Features frequent in toxic texts first, then their counts in the others, then the curve."""
     counts = char_counts(docs, text)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(counts)
+    shared = spark.sparkContext.broadcast(packed(counts))
     seen = stored(fit_rows(docs, labels, doc_id, text, label, rows), "toxic-fit")
     toxic = F.col("_label") == 1
     n, n1 = seen.agg(F.count(F.lit(1)), F.coalesce(F.count_if(toxic), F.lit(0))).first()
@@ -301,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # A text of m features leaves at most m / MIN_SHARE of them for this list.
     frequent = {r["feature"]: r["words"] for r in
                 feature_counts(seen.filter(toxic)).filter(F.col("texts") >= MIN_SHARE * n1).collect()}
-    listed = spark.sparkContext.broadcast(frozenset(frequent))
+    listed = spark.sparkContext.broadcast(packed(frozenset(frequent)))
     others = {r["feature"]: r["words"] for r in feature_counts(seen.filter(~toxic), listed).collect()}
     all1, all0 = (max(1, c.pop("", 1)) for c in (frequent, others))
     weights = {}
@@ -315,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def _curve(seen: DataFrame, model: ToxicModel, toxic: Column) -> tuple[float, float, float]:
     """Logistic regression of the label on the two figures, over the fitted rows (their number is the documented bound)."""
-    evidence = _evidence(seen.sparkSession.sparkContext.broadcast(model))
+    evidence = _evidence(seen.sparkSession.sparkContext.broadcast(packed(model)))
     rows = seen.select(toxic.cast("int").alias("y"), evidence(F.col("_text")).alias("e")).select("y", "e.*").groupBy(
         "y", F.round("total", 1).alias("total"), F.round("average", 3).alias("average")).agg(F.count(F.lit(1)).alias("n")).collect()
     y, n, total, average = (np.array([r[k] for r in rows], float) for k in ("y", "n", "total", "average"))
@@ -336,8 +356,7 @@ def _evidence(shared):
 
     @F.arrow_udf(from_arrow_type(_EVIDENCE))
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = shared.value
-        restorer, weight = restorer_of(own.counts, frozenset(own.weights)), own.weights
+        restorer, weight = scorer_of(shared.value)
         for texts in batches:
             totals, averages = [], []
             for raw in raw_texts(texts):
@@ -355,6 +374,6 @@ def with_scores(docs: DataFrame, model: ToxicModel, into: str = "score", text: s
     python_tasks(docs.sparkSession)
     if model.constant is not None:
         return docs.withColumn(into, F.lit(model.constant))
-    e = _evidence(docs.sparkSession.sparkContext.broadcast(model))(F.col(text))
+    e = _evidence(docs.sparkSession.sparkContext.broadcast(packed(model)))(F.col(text))
     shift, total, average = model.curve
     return docs.withColumn(into, 1 / (1 + F.exp(-(F.lit(shift) + F.lit(total) * e["total"] + F.lit(average) * e["average"]))))
