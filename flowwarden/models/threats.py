@@ -3,162 +3,128 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from flowwarden.functions.cases import let
 from flowwarden.functions.scores import class_entropy, penalised_class, top2_margin, total
-from flowwarden.session import materialise
+from flowwarden.models import boosting
+from flowwarden.models.boosting import Booster, Encoding
+from flowwarden.session import ship_package
 
 ROUNDS, DEPTH, STEP = 500, 6, 0.05
+#: Rows on either side of a split that counts in a threat model.
+MIN_ROWS = 20
 
 
-def index_categories(df: DataFrame, categorical: list[str]) -> PipelineModel:
-    """Category codes (unseen values get a code of their own) assembled into one vector."""
-    indexer = StringIndexer(inputCols=categorical, outputCols=[f"{c}_code" for c in categorical],
-                            handleInvalid="keep")
-    assembler = VectorAssembler(inputCols=[f"{c}_code" for c in categorical], outputCol="category_codes")
-    return Pipeline(stages=[indexer, assembler]).fit(df)
+def _scores(encoding: Encoding, boosters: tuple[Booster, ...], curves: tuple | None = None):
+    """Arrow UDF over the category columns → the models' probabilities, on their curves if there are any."""
+    shared = SparkSession.active().sparkContext.broadcast((encoding, boosters, curves))
 
+    @F.arrow_udf(from_arrow_type(pa.list_(pa.float64())))
+    def scores(*columns: pa.Array) -> pa.Array:
+        encoding, boosters, curves = shared.value
+        distinct, place = np.unique(encoding.codes(list(columns)), axis=0, return_inverse=True)
+        found = [b.probability(distinct) for b in boosters]
+        if curves:
+            found = [np.interp(f, *c) for f, c in zip(found, curves, strict=True)]
+        flat = np.stack(found, axis=1)[place.ravel()]
+        return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(boosters)).astype(np.int32), flat.ravel())
 
-def _bins(encoder: PipelineModel) -> int:
-    """Every category needs a bin of its own."""
-    return max(32, max(len(labels) for labels in encoder.stages[0].labelsArray) + 1)
-
-
-def _drop_codes(df: DataFrame) -> DataFrame:
-    return df.drop("category_codes", *[c for c in df.columns if c.endswith("_code")])
+    ship_package(SparkSession.active())
+    return scores(*encoding.columns())
 
 
 @dataclass(frozen=True)
 class RiskModel:
-    """P(attack) from boosted trees over category codes."""
+    """P(attack) from boosted trees over categories."""
 
-    encoder: PipelineModel
-    trees: object
-    categorical: tuple[str, ...]
+    encoding: Encoding
+    trees: Booster
 
     def transform(self, df: DataFrame, name: str = "cat_risk") -> DataFrame:
-        scored = self.trees.transform(self.encoder.transform(df))
-        kept = scored.withColumn(name, F.get(vector_to_array("_p"), F.lit(1)))
-        return _drop_codes(kept.drop("_p", "_raw", "_pred"))
+        return df.withColumn(name, F.get(_scores(self.encoding, (self.trees,)), F.lit(0)))
 
     def importances(self, spark: SparkSession, k: int = 5) -> DataFrame:
-        """The k most influential features in percent."""
-        weights = self.trees.featureImportances.toArray()
-        rows = [(c, float(w) * 100.0) for c, w in zip(self.categorical, weights)]
+        """The k features whose splits gained most, in percent of all gains."""
+        whole = self.trees.gain.sum() or 1.0
+        rows = [(c, float(w / whole) * 100.0) for c, w in zip(self.encoding.names, self.trees.gain, strict=True)]
         return spark.createDataFrame(rows, "feature string, influence double").orderBy(
             F.col("influence").desc(), "feature").limit(k)
 
     def save(self, path: str) -> None:
-        PipelineModel(stages=[self.encoder, self.trees]).write().overwrite().save(path)
+        boosting.save(path, {"names": self.encoding.names, "values": self.encoding.values}, [self.trees.parts()])
 
     @classmethod
     def load(cls, path: str, categorical: list[str]) -> "RiskModel":
-        encoder, trees = PipelineModel.load(path).stages
-        return cls(encoder, trees, tuple(categorical))
+        told, models = boosting.load(path)
+        if told["names"] != list(categorical):
+            raise ValueError(f"the model has the categories {told['names']}")
+        return cls(Encoding(tuple(told["names"]), tuple(map(tuple, told["values"]))), Booster.of(models[0]))
 
 
 def fit_risk(df: DataFrame, categorical: list[str], label: str = "label", rounds: int = ROUNDS,
              depth: int = DEPTH, step: float = STEP, seed: int = 42) -> RiskModel:
-    encoder = index_categories(df, categorical)
-    booster = GBTClassifier(featuresCol="category_codes", labelCol=label, predictionCol="_pred", maxIter=rounds,
-                            maxDepth=depth, stepSize=step, seed=seed, maxBins=_bins(encoder))
-    trees = booster.setProbabilityCol("_p").setRawPredictionCol("_raw").fit(encoder.transform(df))
-    return RiskModel(encoder, trees, tuple(categorical))
-
-
-def sqrt_balanced(df: DataFrame, label: str) -> DataFrame:
-    """Add `class_weight` = sqrt(largest class / own class)."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    top = sizes.agg(F.max("_n").alias("m")).scalar()
-    weights = sizes.select(label, F.sqrt(top.cast("double") / F.col("_n")).alias("class_weight"))
-    return df.join(F.broadcast(weights), label)  # one row per class
+    """`seed` picks the combinations of a fit that has more than `boosting.FIT_COMBINATIONS`."""
+    found = boosting.combinations(df, categorical, F.col(label).cast("int"), seed=seed)
+    encoding = boosting.encoding_of(found, categorical)
+    (trees, _), = boosting.fit_all(df.sparkSession, found, None, encoding, [1], {}, rounds, depth, step)
+    return RiskModel(encoding, trees)
 
 
 @dataclass(frozen=True)
 class ThreatModel:
     """One boosted model per class, each with its own isotonic curve, shares normalised per row."""
 
-    encoder: PipelineModel
-    classes: StringIndexerModel
-    per_class: tuple[GBTClassificationModel, ...]
-    curves: tuple[IsotonicRegressionModel, ...]
+    encoding: Encoding
+    classes: tuple[str, ...]
+    per_class: tuple[Booster, ...]
+    curves: tuple[tuple[np.ndarray, np.ndarray], ...]
 
     def names(self) -> list[str]:
-        return list(self.classes.labels)
+        return list(self.classes)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add probability, classes, incident_entropy, top2_margin, threat and penalised_threat."""
-        n = len(self.curves)
-        scored = _class_scores(self.encoder.transform(df), self.per_class)
-        for i, curve in enumerate(self.curves):
-            scored = curve.transform(scored)
-        raw = F.array(*[F.col(f"_c{i}") for i in range(n)])
-        row = scored.withColumn("_cal", raw).drop(*[f"_{k}{i}" for i in range(n) for k in "sc"])
+        n = len(self.classes)
+        scored = df.withColumn("_cal", _scores(self.encoding, self.per_class, self.curves))
         even = F.array(*[F.lit(1.0 / n)] * n)
         shares = let(total(F.col("_cal")), lambda whole: F.when(
             whole > 0, F.transform("_cal", lambda v: v / whole)).otherwise(even))
         names = F.array(*[F.lit(c) for c in self.names()])
-        named = row.withColumns({"probability": shares, "classes": names}).drop("_cal")
+        named = scored.withColumns({"probability": shares, "classes": names}).drop("_cal")
         p = F.col("probability")
-        return _drop_codes(named.withColumns({
+        return named.withColumns({
             "incident_entropy": class_entropy(p), "top2_margin": top2_margin(p),
             "threat": penalised_class(p, F.col("classes"), 0.0),
             "penalised_threat": penalised_class(p, F.col("classes")),
-        }))
+        })
 
     def save(self, path: str) -> None:
-        PipelineModel(stages=[self.encoder, self.classes, *self.per_class, *self.curves]).write().overwrite().save(path)
+        models = [b.parts() | {"x": x, "y": y} for b, (x, y) in zip(self.per_class, self.curves, strict=True)]
+        boosting.save(path, {"names": self.encoding.names, "values": self.encoding.values, "classes": self.classes}, models)
 
     @classmethod
     def load(cls, path: str) -> "ThreatModel":
-        encoder, classes, *rest = PipelineModel.load(path).stages
-        n = len(rest) // 2
-        return cls(encoder, classes, tuple(rest[:n]), tuple(rest[n:]))
-
-
-def _class_scores(coded: DataFrame, models) -> DataFrame:
-    """One column `_s<i>` per class model; the boosters run inside the JVM one after the other."""
-    for i, model in enumerate(models):
-        coded = model.transform(coded).withColumn(f"_s{i}", F.get(vector_to_array(f"_q{i}"), F.lit(1))).drop(
-            f"_q{i}", f"_r{i}", f"_d{i}")
-    return coded
+        told, models = boosting.load(path)
+        return cls(Encoding(tuple(told["names"]), tuple(map(tuple, told["values"]))), tuple(told["classes"]),
+                   tuple(map(Booster.of, models)), tuple((m["x"], m["y"]) for m in models))
 
 
 def fit_threat(df: DataFrame, calibration: DataFrame, categorical: list[str], label: str = "attack_cat",
-               rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP, seed: int = 42,
-               parallelism: int = 8) -> ThreatModel:
-    """Fit every class against the rest on `df`, calibrate each on the held-out `calibration` rows."""
-    classes = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc",
-                            handleInvalid="keep").fit(df)
-    encoder = index_categories(df, categorical)
-    coded = materialise(sqrt_balanced(classes.transform(encoder.transform(df)), label).select(
-        "category_codes", "_y", "class_weight"))
-    n = len(classes.labels)
-
-    def against_rest(i: int) -> GBTClassificationModel:
-        booster = GBTClassifier(
-            featuresCol="category_codes", labelCol="_is", predictionCol=f"_d{i}", weightCol="class_weight",
-            maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, minInstancesPerNode=20, maxBins=_bins(encoder))
-        booster = booster.setProbabilityCol(f"_q{i}").setRawPredictionCol(f"_r{i}")
-        return booster.fit(coded.withColumn("_is", (F.col("_y") == i).cast("double")))
-
-    with ThreadPool(parallelism) as pool:
-        models = tuple(pool.map(against_rest, range(n)))
-    held = materialise(_class_scores(classes.transform(encoder.transform(calibration)), models))
-
-    def curve(i: int) -> IsotonicRegressionModel:
-        fitted = IsotonicRegression(featuresCol=f"_s{i}", labelCol="_is", predictionCol=f"_c{i}")
-        return fitted.fit(held.select(f"_s{i}", (F.col("_y") == i).cast("double").alias("_is")))
-
-    with ThreadPool(parallelism) as pool:
-        curves = tuple(pool.map(curve, range(n)))
-    return ThreatModel(encoder, classes, models, curves)
+               rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP, seed: int = 42) -> ThreatModel:
+    """Fit every class of `df` against the rest, calibrate each on the held-out `calibration` rows.
+
+    A row weighs sqrt(largest class / own class). All classes are fitted and calibrated in one job.
+    """
+    found, held = (boosting.combinations(d, categorical, F.col(label), seed=seed) for d in (df, calibration))
+    encoding = boosting.encoding_of(found, categorical)
+    sizes = found.groupby("label")["n"].sum()
+    classes = sorted(sizes.index)
+    weights = {c: float(np.sqrt(sizes.max() / sizes[c])) for c in classes}
+    fits = boosting.fit_all(df.sparkSession, found, held, encoding, classes, weights, rounds, depth, step, MIN_ROWS)
+    return ThreatModel(encoding, tuple(classes), tuple(b for b, _ in fits), tuple(c for _, c in fits))

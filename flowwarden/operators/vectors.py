@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from flowwarden.config import SECTION_HEADS
 from flowwarden.functions.text import fixed, rule_text, stable_id
-from flowwarden.session import ship_package
+from flowwarden.session import materialise, ship_package
 
 CORRECTIONS, INCIDENTS, RULES = "correction_analyses", "incident_summaries", "synthesized_rules"
 NO_SIGNAL = "LLM unavailable"
-PACKED_ROWS = 20_000
-BLOCK_ROWS = 4_096
+#: Rows and bytes of vectors that may be broadcast, rows of a block, centres of the inverted file.
+PACKED_ROWS, PACKED_BYTES = 20_000, 64 << 20
+BLOCK_ROWS, MOST_CENTRES = 4_096, 1_024
 PAIR_SCHEMA = "query_id string, doc_id string, distance double"
 
 
@@ -119,27 +120,33 @@ def remember(current: DataFrame, documents: DataFrame, encoder=None) -> DataFram
 # ---- nearest neighbours -----------------------------------------------------------------------
 
 def _units(vectors) -> np.ndarray:
+    """Unit vectors; a zero vector stays zero and has distance 1 from everything."""
     matrix = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0.0, 1.0, norms)
 
 
+def _kept(found: pd.DataFrame, n: int) -> pd.DataFrame:
+    """The first n rows of every query by distance, then document id."""
+    found = found.sort_values(["query_id", "distance", "doc_id"], kind="stable")
+    return found[found.groupby("query_id").cumcount() < n]
+
+
 def _nearest(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, n: int) -> pd.DataFrame:
-    """Up to n nearest documents of every query, nearest first, ties by document id; self excluded."""
-    parts = []
-    for start in range(0, len(q), 512):
-        distance = 1.0 - q[start:start + 512] @ d.T
+    """Up to n nearest documents of every query, ties by document id; self excluded."""
+    parts = [_NONE]
+    for start in range(0, len(q) if len(d) else 0, 512):
+        distance = np.round(1.0 - q[start:start + 512] @ d.T, 12)  # equal vectors tie whatever the order of sums
         ids = q_ids[start:start + 512]
         distance[ids[:, None] == d_ids[None, :]] = np.inf
         keep = min(n, distance.shape[1])
-        cut = np.partition(distance, keep - 1, axis=1)[:, keep - 1]
-        for row in range(len(ids)):
-            near = np.flatnonzero(distance[row] <= cut[row] + 1e-12)
-            near = near[np.isfinite(distance[row][near])]
-            order = np.lexsort((d_ids[near], distance[row][near]))[:n]
-            parts.append(pd.DataFrame({"query_id": ids[row], "doc_id": d_ids[near][order],
-                                       "distance": distance[row][near][order]}))
-    return pd.concat(parts) if parts else pd.DataFrame(columns=["query_id", "doc_id", "distance"])
+        cut = np.partition(distance, keep - 1, axis=1)[:, keep - 1:keep]
+        row, col = np.nonzero((distance <= cut + 1e-12) & np.isfinite(distance))
+        parts.append(_kept(pd.DataFrame({"query_id": ids[row], "doc_id": d_ids[col], "distance": distance[row, col]}), n))
+    return pd.concat(parts) if len(parts) > 1 else _NONE
+
+
+_NONE = pd.DataFrame({"query_id": pd.Series(dtype=object), "doc_id": pd.Series(dtype=object), "distance": pd.Series(dtype=float)})
 
 
 def _top(pairs: DataFrame, n: int) -> DataFrame:
@@ -148,12 +155,16 @@ def _top(pairs: DataFrame, n: int) -> DataFrame:
 
 
 def _against_packed(large: DataFrame, packed: pd.DataFrame, n: int, packed_is_corpus: bool) -> DataFrame:
-    """Stream the large side past the small one, which travels as a broadcast matrix."""
+    """Stream the large side past the small one, which travels as a broadcast matrix.
+
+    No partition emits more than n rows for a query: with packed queries the best so far are carried from batch to batch.
+    """
     spark = large.sparkSession
     shared = spark.sparkContext.broadcast((packed["id"].to_numpy(dtype=object), _units(packed["embedding"])))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
+        best = _NONE
         for batch in batches:
             if len(batch) == 0:
                 continue
@@ -161,31 +172,84 @@ def _against_packed(large: DataFrame, packed: pd.DataFrame, n: int, packed_is_co
             if packed_is_corpus:
                 yield _nearest(own_ids, own, ids, matrix, n)
             else:
-                yield _nearest(ids, matrix, own_ids, own, n)
+                best = _kept(pd.concat([best, _nearest(ids, matrix, own_ids, own, n)]), n)
+        yield best
 
     return large.mapInPandas(scan, PAIR_SCHEMA)
 
 
-def _blocked(queries: DataFrame, corpus: DataFrame, n: int, block: int) -> DataFrame:
-    """Both sides large: hash both into blocks, meet every pair of blocks once, keep n per query and pair.
+def _placed(df: DataFrame, centres) -> DataFrame:
+    """id, embedding, nearest centre and the straight distance to it."""
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                away = np.sqrt(np.maximum(0.0, _squares(_units(batch["embedding"]), centres.value)))
+                near = away.argmin(axis=1)
+                yield batch.assign(cluster=near, away=away[np.arange(len(batch)), near])
+
+    return df.mapInPandas(place, "id string, embedding array<double>, cluster long, away double")
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * a @ b.T
+
+
+def _indexed(queries: DataFrame, corpus: DataFrame, n: int, block: int) -> DataFrame:
+    """Both sides large: an exact inverted file.
 
-    Block sizes stay near `block` whatever the data looks like, and only top-n rows leave a pair.
+    Documents lie in clusters around centres, at most `MOST_CENTRES` documents chosen by hash; a cluster's radius is its largest distance
+    to the centre. Every query first searches its own cluster, whose n-th distance is a ceiling. The distance of unit vectors
+    to any member is at least the distance to the centre less the radius, so only clusters that may beat the ceiling
+    are searched after that. Clusters and the queries that visit them meet in blocks of bounded size.
     """
-    q_blocks = max(1, -(-queries.count() // block))
-    c_blocks = max(1, -(-corpus.count() // block))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks))).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
-    c = corpus.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(c_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+    spark = queries.sparkSession
+    k = max(1, min(MOST_CENTRES, -(-corpus.count() // block)))
+    chosen = corpus.orderBy(F.xxhash64("id"), "id").limit(k).collect()
+    centres = spark.sparkContext.broadcast(_units([r["embedding"] for r in chosen]))
+    docs = materialise(_placed(corpus, centres))
+    sizes = {r["cluster"]: (r["radius"], r["n"]) for r in
+             docs.groupBy("cluster").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}  # one row a centre
+    radius = spark.sparkContext.broadcast(np.array([sizes.get(c, (-np.inf, 0))[0] for c in range(len(chosen))]))
+    blocks = spark.createDataFrame([(c, -(-m // block)) for c, (_, m) in sizes.items()], "cluster long, blocks long")
+    dealt = docs.join(F.broadcast(blocks), "cluster").select(
+        "id", "embedding", "cluster", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("part"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"query_id": pd.Series(dtype=object), "doc_id": pd.Series(dtype=object),
-                                 "distance": pd.Series(dtype=float)})
+            return _NONE
         return _nearest(left["id"].to_numpy(dtype=object), _units(left["embedding"]),
                         right["id"].to_numpy(dtype=object), _units(right["embedding"]), n)
 
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(meet, PAIR_SCHEMA)
+    def searched(asked: DataFrame) -> DataFrame:
+        """Every query against every block of its clusters, queries in blocks of their own."""
+        asked = materialise(asked.join(F.broadcast(blocks), "cluster").select(
+            "id", "embedding", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part")))
+        crowds = asked.filter("part = 0").groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("crowds"))
+        crowds = F.broadcast(spark.createDataFrame(crowds.collect(), "cluster long, crowds long"))  # one row a centre
+        q = asked.join(crowds, "cluster").withColumn("crowd", F.pmod(F.xxhash64("id"), F.col("crowds"))).drop("crowds")
+        d = dealt.join(crowds, "cluster").withColumn("crowd", F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1))).drop("crowds")
+        keys = ["cluster", "part", "crowd"]
+        return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(meet, PAIR_SCHEMA)
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            away = np.sqrt(np.maximum(0.0, _squares(_units(batch["embedding"]), centres.value)))
+            least = np.maximum(0.0, away - radius.value - 1e-7) ** 2 / 2.0
+            may = least <= batch["ceiling"].to_numpy()[:, None]
+            may[np.arange(len(batch)), batch["cluster"].to_numpy()] = False
+            row, col = np.nonzero(may & np.isfinite(radius.value))
+            for at in range(0, len(row), block):
+                own = batch.iloc[row[at:at + block]][["id", "embedding"]]
+                yield own.assign(cluster=col[at:at + block])
+
+    placed = materialise(_placed(queries, centres))
+    first = materialise(searched(placed))
+    ceilings = _top(first, n).filter(F.col("rank") == n).select(F.col("query_id").alias("id"), F.col("distance").alias("ceiling"))
+    open_ = placed.join(ceilings, "id", "left").fillna(float("inf"), "ceiling").select("id", "embedding", "cluster", "ceiling")
+    later = searched(open_.mapInPandas(visits, "id string, embedding array<double>, cluster long"))
+    return first.unionByName(later)
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, n: int, packed_rows: int = PACKED_ROWS,
@@ -193,20 +257,25 @@ def nearest(queries: DataFrame, corpus: DataFrame, n: int, packed_rows: int = PA
     """Exact n nearest documents by cosine distance: query_id, doc_id, distance, rank.
 
     Frames hold a text `id` and an `embedding` array; equal ids are the same item and never match.
-    The side with at most `packed_rows` rows is broadcast after its size was checked; when neither is
-    that small the sides meet block by block. An empty corpus gives no rows.
+    The side with at most `packed_rows` rows and `PACKED_BYTES` of vectors is broadcast after both were checked; when neither is
+    that small the sides meet through an inverted file. An empty corpus gives no rows.
     """
     ship_package(queries.sparkSession)
-    q, c = queries.select("id", "embedding"), corpus.select("id", "embedding")
-    small = c.limit(packed_rows + 1).toPandas()
+    q, c = (d.select("id", F.col("embedding").cast("array<double>").alias("embedding")) for d in (queries, corpus))
+
+    def packed(df: DataFrame) -> pd.DataFrame | None:
+        rows, numbers = df.select(F.size("embedding").alias("s")).limit(packed_rows + 1).agg(
+            F.count(F.lit(1)), F.coalesce(F.sum("s"), F.lit(0))).first()
+        return df.toPandas() if rows <= packed_rows and 8 * numbers <= PACKED_BYTES else None
+
+    small, is_corpus = packed(c), True
+    if small is None:
+        small, is_corpus = packed(q), False
+    if small is None:
+        return _top(_indexed(q, c, n, block_rows), n)
     if len(small) == 0:
         return queries.sparkSession.createDataFrame([], PAIR_SCHEMA + ", rank int")
-    if len(small) <= packed_rows:
-        pairs = _against_packed(q, small, n, packed_is_corpus=True)
-    else:
-        small = q.limit(packed_rows + 1).toPandas()
-        pairs = _against_packed(c, small, n, False) if len(small) <= packed_rows else _blocked(q, c, n, block_rows)
-    return _top(pairs, n)
+    return _top(_against_packed(q if is_corpus else c, small, n, is_corpus), n)
 
 
 def below(found: DataFrame, ceiling: float) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,16 +97,19 @@ def out_of_fold(df: DataFrame, categorical: list[str], numeric: list[str], ancho
                 fit: Fitters = Fitters()) -> DataFrame:
     """Scores of every row by models that never saw it. Anchors come from the full-data forest."""
     folded = materialise(stratified_folds(df, "attack_cat", "seq", s.folds, s.seed))
-    parts = []
-    for fold in range(s.folds):
+
+    def scored(fold: int) -> DataFrame:
         rest, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
         scaler, forest = fit.forest(rest, numeric, s, anchors)
         risk = fit.risk(rest, categorical, rounds=s.rounds, depth=s.depth, seed=s.seed)
         split = stratified_holdout(rest, "attack_cat", "seq", s.fold_holdout, s.seed)
         threat = fit.threat(split.filter(~F.col("is_holdout")), split.filter("is_holdout"), categorical,
                             rounds=s.rounds, depth=s.depth, seed=s.seed)
-        parts.append(score_features(held, scaler, forest, risk, threat).select(
-            "seq", "fold", "label", "attack_cat", "cat_risk", "anomaly_risk", "incident_entropy", "top2_margin"))
+        return score_features(held, scaler, forest, risk, threat).select(
+            "seq", "fold", "label", "attack_cat", "cat_risk", "anomaly_risk", "incident_entropy", "top2_margin")
+
+    with ThreadPool(s.folds) as pool:  # folds are independent jobs
+        parts = pool.map(scored, range(s.folds))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
