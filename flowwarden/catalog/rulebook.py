@@ -11,6 +11,8 @@ from flowwarden.config import NATIVE_RULES
 from flowwarden.functions.conditions import implicated_rule as blamed, normalise_condition
 from flowwarden.functions.responses import NO_JSON, decision_from_response, rule_from_response
 from flowwarden.operators import corrections as corr, evaluation, ledger, rules, vectors
+from flowwarden.plans.corrections import store_corrections, stored_health
+from flowwarden.session import scratch_path
 
 _WRAPPED = """CASE event_id % 3 WHEN 0 THEN 'IF  ' || replace(replace(condition, '=', ' == "'), ' AND', '"   AND')
   WHEN 1 THEN 'if ' || replace(condition, 'proto=', 'proto=''') ELSE '  ' || condition || chr(10) END"""
@@ -229,17 +231,31 @@ def ledger_rows(spark, sf_dir):
 _NATIVE_VALUES = ", ".join("('NATIVE_RULE_%d', '%s')" % (i + 1, t.replace("'", "''")) for i, t in enumerate(NATIVE_RULES))
 
 
-@query(sql(f"""SELECT rule_id, fn_count, CAST(0 AS BIGINT) AS fp_count, fn_count >= 2 AS flagged, coalesce(n.text, l.clean, '<rule no longer present>') AS definition, recent FROM (
+_HEALTH = sql(f"""SELECT rule_id, fn_count, CAST(0 AS BIGINT) AS fp_count, fn_count >= 2 AS flagged, coalesce(n.text, l.clean, '<rule no longer present>') AS definition, recent FROM (
   SELECT implicated AS rule_id, count(*) AS fn_count, array_to_string(list(CASE WHEN r <= 3 THEN '[FN] Event ' || event_id || ': text without numbers' END ORDER BY r DESC), ' / ') AS recent
   FROM (SELECT *, row_number() OVER (PARTITION BY implicated ORDER BY ts DESC, event_id DESC) AS r FROM fixes WHERE implicated IS NOT NULL) GROUP BY 1)
   LEFT JOIN (VALUES {_NATIVE_VALUES}) AS n(nid, text) ON nid = rule_id LEFT JOIN (SELECT rid, clean FROM fixes WHERE has_rule) l ON l.rid = rule_id""",
-           "decided", "candidates", extra=_CORR))
+              "decided", "candidates", extra=_CORR)
+
+
+@query(_HEALTH)
 def rule_health(spark, sf_dir):
     r = records(spark, sf_dir)
     health = rules.rule_health(corr.rule_incidents(r), corr.new_rules(r), rules.native_table(spark))
     return health.withColumn("recent", F.array_join("recent", " / "))
 
 
+@query(_HEALTH)
+def stored_rule_health(spark, sf_dir):
+    """The correction log in three batches, the second one run twice and some of its rows delivered again with the third."""
+    r, root = records(spark, sf_dir), scratch_path(spark, "corrections")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    batches = [r.filter(part == 0), r.filter(part == 1), r.filter(part >= 1)]
+    for batch_id, batch in [(0, batches[0]), (1, batches[1]), (1, batches[1]), (2, batches[2])]:
+        store_corrections(batch, root, batch_id)
+    return stored_health(spark, root, corr.new_rules(r)).withColumn("recent", F.array_join("recent", " / "))
+
+
 @query()
 def prompts(spark, sf_dir):
     built = ledger.build_ledger(inputs.truth_evidence(spark, sf_dir), inputs.POLICY)

@@ -20,6 +20,10 @@ NATIVE_COUNT = len(NATIVE_RULES)
 ORIGIN = ("event_id", "mistake", "created_at")
 
 
+#: Last incidents kept of a rule, and characters of their reasoning.
+RECENT, SNIPPET = 3, 120
+
+
 def with_clauses(rules: DataFrame) -> DataFrame:
     return rules.withColumn("clauses", clauses(F.col("condition"))).withColumn("n_clauses", F.size("clauses"))
 
@@ -226,29 +230,48 @@ def consolidate_rules(learned: DataFrame) -> DataFrame:
     return merged.unionByName(rest).filter(enough).unionByName(untouched.filter(~enough))
 
 
-def rule_health(incidents: DataFrame, rules: DataFrame, natives: DataFrame, snippet: int = 120) -> DataFrame:
+def rule_health(incidents: DataFrame, rules: DataFrame, natives: DataFrame, snippet: int = SNIPPET) -> DataFrame:
     """FN count, flag, definition and the last three incidents of every blamed rule.
 
     `incidents` is the whole log, earlier batches included: rule_id, event_id, reasoning, recorded_at. An incident
     that was recorded twice counts once. `rules` holds id, seq, condition, and of repeated ids the newest rule, which
     is the first of the list, gives the definition; `natives` holds ord, text.
     """
-    incidents = incidents.dropDuplicates(["rule_id", "event_id"])
+    return health_report(health_counters(incidents.dropDuplicates(["rule_id", "event_id"]), snippet), rules, natives)
+
+
+def health_counters(incidents: DataFrame, snippet: int = SNIPPET) -> DataFrame:
+    """What is stored of distinct incidents: rule_id, fn_count, fp_count, and the last three, newest first."""
     counts = incidents.groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("fn_count"), F.lit(0).cast("long").alias("fp_count"))
     latest = W.partitionBy("rule_id").orderBy(F.col("recorded_at").desc(), F.col("event_id").desc())
-    last = incidents.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= 3)
-    recent = last.groupBy("rule_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct(
-            -F.col("_rn"), F.concat(F.lit("[FN] Event "), F.col("event_id").cast("string"), F.lit(": "),
-                                    F.substring("reasoning", 1, snippet)).alias("line")))),
-        lambda s: s["line"]).alias("recent"))
+    last = incidents.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= RECENT)
+    line = F.concat(F.lit("[FN] Event "), F.col("event_id").cast("string"), F.lit(": "), F.substring("reasoning", 1, snippet))
+    recent = last.groupBy("rule_id").agg(F.reverse(F.array_sort(F.collect_list(
+        F.struct(F.col("recorded_at").cast("string").alias("recorded_at"), F.col("event_id").cast("long").alias("event_id"), line.alias("line"))))).alias("last"))
+    return counts.join(recent, "rule_id")
+
+
+def merge_health(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Add the counters of a batch of new incidents to the stored ones; of both, the last three incidents stay.
+
+    Work follows the two tables of counters, never the log.
+    """
+    both = stored.unionByName(fresh)
+    counts = both.groupBy("rule_id").agg(F.sum("fn_count").alias("fn_count"), F.sum("fp_count").alias("fp_count"),
+                                         F.flatten(F.collect_list("last")).alias("_all"))  # two short lists of a rule
+    return counts.select("rule_id", "fn_count", "fp_count", F.slice(F.reverse(F.array_sort("_all")), 1, RECENT).alias("last"))
+
+
+def health_report(stored: DataFrame, rules: DataFrame, natives: DataFrame) -> DataFrame:
+    """Stored health with flag, definition and the lines of the last incidents, oldest first."""
     learned = rules.groupBy(F.col("id").alias("rule_id")).agg(F.max_by("condition", "seq").alias("definition"))
     native = natives.select(F.concat(F.lit("NATIVE_RULE_"), F.col("ord").cast("string")).alias("rule_id"),
                             F.col("text").alias("definition"))
-    return counts.join(recent, "rule_id").join(learned.unionByName(native), "rule_id", "left").select(
+    return stored.join(learned.unionByName(native), "rule_id", "left").select(
         "rule_id", "fn_count", "fp_count", (F.col("fn_count") >= RULE_FN_LIMIT).alias("flagged"),
-        F.coalesce("definition", F.lit("<rule no longer present>")).alias("definition"), "recent")
+        F.coalesce("definition", F.lit("<rule no longer present>")).alias("definition"),
+        F.transform(F.reverse("last"), lambda s: s["line"]).alias("recent"))
 
 
 def native_table(spark) -> DataFrame:

@@ -13,11 +13,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowwarden.operators import corrections as corr, rules, vectors
+from flowwarden.schemas import RULE_HEALTH
 from flowwarden.session import materialise
+from flowwarden.sources.tables import append_batch, read_log, read_snapshot, write_snapshot
+
+
+#: Columns of the stored correction log.
+LOGGED = ("event_id", "ledger_signature", "mistake", "reasoning", "analysis", "corrected_at", "implicated", "rule_id", "context_text")
 
 
 @dataclass(frozen=True)
@@ -54,6 +61,30 @@ def correction_cycle(decisions: DataFrame, responses: DataFrame, existing: DataF
                  rules.rule_health(whole, kept, rules.native_table(spark)), corr.correction_evidence(records), docs)
 
 
+def store_corrections(records: DataFrame, root: str, batch_id: int) -> None:
+    """Append a batch of corrections to the stored log and merge it into the stored rule health.
+
+    Below `root`: `corrections` has a partition for each batch, `health` a version. A batch that runs again rewrites its own
+    partition and version from the version before it, so its incidents count once; columns outside `LOGGED` are left out; an incident that an earlier batch
+    has stored is not counted again. Only the keys of the log are read.
+    """
+    spark = records.sparkSession
+    records = records.select(*[c for c in LOGGED if c in records.columns])
+    append_batch(records, f"{root}/corrections", batch_id)
+    own = read_log(spark, f"{root}/corrections", T.StructType([records.schema[c] for c in ("implicated", "event_id")] + [
+        T.StructField("batch_id", T.LongType())])).filter(F.col("batch_id") < batch_id)
+    earlier = own.select(F.col("implicated").alias("rule_id"), "event_id").distinct()
+    seen = corr.rule_incidents(read_log(spark, f"{root}/corrections/batch_id={batch_id}", records.schema))
+    fresh = seen.dropDuplicates(["rule_id", "event_id"]).join(earlier, ["rule_id", "event_id"], "left_anti")
+    before = read_snapshot(spark, f"{root}/health", RULE_HEALTH, before=batch_id)
+    write_snapshot(rules.merge_health(before, rules.health_counters(fresh)), f"{root}/health", batch_id)
+
+
+def stored_health(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
+    """Health of every blamed rule as `rules.rule_health` gives it, from the newest stored version."""
+    return rules.health_report(read_snapshot(spark, f"{root}/health", RULE_HEALTH), known, rules.native_table(spark))
+
+
 def consolidated_documents(before: DataFrame, merged: DataFrame, stored: DataFrame) -> DataFrame:
     """Similarity memory after a consolidation.
 

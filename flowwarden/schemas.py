@@ -73,3 +73,14 @@ THRESHOLD = T.StructType([
         T.StructField("tp", T.LongType()),
     ])),
 ])
+
+RULE_HEALTH = T.StructType([
+    T.StructField("rule_id", T.StringType()),
+    T.StructField("fn_count", T.LongType()),
+    T.StructField("fp_count", T.LongType()),
+    T.StructField("last", T.ArrayType(T.StructType([
+        T.StructField("recorded_at", T.StringType()),
+        T.StructField("event_id", T.LongType()),
+        T.StructField("line", T.StringType()),
+    ]))),
+])

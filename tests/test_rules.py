@@ -160,3 +160,29 @@ def test_consolidation(spark):
     assert got == {"b": ("proto=tcp AND state=fin AND threat_class=dos", 2), "c": ("proto=tcp AND spkts=3 AND state=fin AND threat_class=dos", 1),
                    "d": ("proto=tcp", 1)}
     assert {r.id for r in rules.consolidate_rules(df.limit(2)).collect()} == {"a", "b"}
+
+
+def test_stored_health_is_the_health_of_the_whole_log(spark, tmp_path):
+    """Batches that run again or bring old incidents once more leave the same tables."""
+    from flowwarden.operators import rules
+    from flowwarden.plans.corrections import store_corrections, stored_health
+
+    shape = "event_id long, implicated string, reasoning string, corrected_at string"
+    log = [[(i, None if i % 5 == 0 else f"R{i % 3}", f"why {i}" * 40, f"2024-01-{1 + i % 9:02d}") for i in range(k, k + 12)] for k in (0, 12, 24)]
+    log[2] += log[0][:4] + log[2][-2:]
+    root = str(tmp_path / "log")
+    known = spark.createDataFrame([("R1", 1, "proto=tcp"), ("R1", 2, "proto=udp")], "id string, seq long, condition string")
+
+    def run(batch_id):
+        store_corrections(spark.createDataFrame(log[batch_id], shape), root, batch_id)
+        return sorted(map(str, stored_health(spark, root, known).collect()))
+
+    run(0)
+    once, again = run(1), run(1)
+    assert once == again
+    last = run(2)
+    whole = spark.createDataFrame([(r, e, t, at) for batch in log for e, r, t, at in batch if r], "rule_id string, event_id long, reasoning string, recorded_at string")
+    assert last == run(2) == sorted(map(str, rules.rule_health(whole, known, rules.native_table(spark)).collect()))
+    store_corrections(spark.createDataFrame([], shape), root, 3)
+    assert sorted(map(str, stored_health(spark, root, known).collect())) == last
+    assert spark.read.parquet(f"{root}/corrections").count() == 12 + 12 + 18
