@@ -47,7 +47,7 @@ def severity_labels(spark, sf_dir):
         sig.classification_certainty(F.col("incident_entropy")).alias("certainty"))
 
 
-_TEXT = ("'threat=' || threat || ' fused_risk=' || CAST(fused_risk AS VARCHAR) || ' cat_risk=' || CAST(cat_risk AS VARCHAR) || "
+EVENT_TEXT = ("'threat=' || threat || ' fused_risk=' || CAST(fused_risk AS VARCHAR) || ' cat_risk=' || CAST(cat_risk AS VARCHAR) || "
          "' anomaly_risk=' || CAST(anomaly_risk AS VARCHAR) || ' proto=' || proto || ' service=' || coalesce(nullif(service, '-'), '?') || "
          "' state=' || state || ' spkts=' || spkts || ' dpkts=' || dpkts")
 
@@ -57,12 +57,12 @@ def _text():
                         F.nullif("service", F.lit("-")), F.col("state"), F.col("spkts"), F.col("dpkts"))
 
 
-@query(sql(f"SELECT event_id, {_TEXT} AS text FROM flows", "flows"), name="context_text")
+@query(sql(f"SELECT event_id, {EVENT_TEXT} AS text FROM flows", "flows"), name="context_text")
 def context_text_query(spark, sf_dir):
     return inputs.flows(spark, sf_dir).select("event_id", _text().alias("text"))
 
 
-@query(sql(f"""SELECT event_id, 'inc_' || substr(md5('inc|' || event_id || '|' || substr({_TEXT}, 1, 40)), 1, 12) AS doc_id,
+@query(sql(f"""SELECT event_id, 'inc_' || substr(md5('inc|' || event_id || '|' || substr({EVENT_TEXT}, 1, 40)), 1, 12) AS doc_id,
                'rule_' || substr(md5('rule|LEARNED_' || k), 1, 12) AS rule_doc FROM flows""", "flows"))
 def stable_id(spark, sf_dir):
     return inputs.flows(spark, sf_dir).select(
@@ -232,7 +232,7 @@ def ledger_bias(spark, sf_dir):
     return built.select("signature", F.round("trust_bias", 6).alias("trust_bias"), "status")
 
 
-_SUMMARY = ("'Historical evidence for this behavior signature:' || chr(10) || '  - Seen ' || CAST(trunc(n + a) AS BIGINT) || ' time(s) total' || chr(10) "
+SUMMARY = ("'Historical evidence for this behavior signature:' || chr(10) || '  - Seen ' || CAST(trunc(n + a) AS BIGINT) || ' time(s) total' || chr(10) "
             "|| '  - ' || CAST(trunc(n) AS BIGINT) || ' confirmed benign, ' || CAST(trunc(a) AS BIGINT) || ' confirmed malicious' || chr(10) "
             "|| '  - Current status  : ' || status || chr(10) || '  - Trust bias      : ' || " + fixed("bias", 3, True) +
             "|| CASE WHEN status = 'allowlisted' THEN chr(10) || '  - Note: signature was previously allowlisted (established benign pattern)' "
@@ -240,7 +240,7 @@ _SUMMARY = ("'Historical evidence for this behavior signature:' || chr(10) || '
             "WHEN a > 0 AND n > 0 THEN chr(10) || '  - Note: mixed evidence — treat with elevated scrutiny' ELSE '' END")
 
 
-@query(sql(f"""SELECT signature, {_SUMMARY} AS summary FROM (SELECT signature, status, round(confirmed_normal, 6) AS n,
+@query(sql(f"""SELECT signature, {SUMMARY} AS summary FROM (SELECT signature, status, round(confirmed_normal, 6) AS n,
                round(confirmed_attack, 6) AS a, round(trust_bias, 6) AS bias FROM ledger)""", "ledger"))
 def evidence_summary(spark, sf_dir):
     built = ledger.build_ledger(inputs.truth_evidence(spark, sf_dir), inputs.POLICY)

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowwarden.catalog import inputs
+from flowwarden.catalog.policy import EVENT_TEXT, SUMMARY
 from flowwarden.catalog.registry import query
+from flowwarden.catalog.scans import SLIM
 from flowwarden.catalog.sqltext import sql
-from flowwarden.config import NATIVE_RULES
+from flowwarden.config import NATIVE_RULES, NO_ANALYSIS
 from flowwarden.functions.conditions import implicated_rule as blamed, normalise_condition
 from flowwarden.functions.responses import NO_JSON, decision_from_response, rule_from_response
+from flowwarden.functions.text import rendered_rules
 from flowwarden.operators import corrections as corr, evaluation, ledger, rules, vectors
 from flowwarden.plans.corrections import store_corrections, stored_health
-from flowwarden.session import scratch_path
+from flowwarden.plans.prompts import KEY, prompt_table
+from flowwarden.session import materialise, scratch_path
 
 _WRAPPED = """CASE event_id % 3 WHEN 0 THEN 'IF  ' || replace(replace(condition, '=', ' == "'), ' AND', '"   AND')
   WHEN 1 THEN 'if ' || replace(condition, 'proto=', 'proto=''') ELSE '  ' || condition || chr(10) END"""
@@ -256,15 +260,100 @@ def stored_rule_health(spark, sf_dir):
     return stored_health(spark, root, corr.new_rules(r)).withColumn("recent", F.array_join("recent", " / "))
 
 
+def _prompt_parts(spark, sf_dir):
+    """Context rows, correction records, the ledger, and the memory of the corrections of even events; the last three stored."""
+    built = ledger.build_ledger(inputs.truth_evidence(spark, sf_dir), inputs.POLICY)
+    for c in ("confirmed_normal", "confirmed_attack", "trust_bias"):
+        built = built.withColumn(c, F.round(c, 6))
+    r = materialise(records(spark, sf_dir))
+    even = r.filter("event_id % 2 = 0")
+    memory = vectors.correction_documents(even).unionByName(vectors.rule_documents(corr.new_rules(even)))
+    return inputs.contexts(spark, sf_dir), r, materialise(built), materialise(memory)
+
+
 @query()
 def prompts(spark, sf_dir):
-    built = ledger.build_ledger(inputs.truth_evidence(spark, sf_dir), inputs.POLICY)
-    escalated = inputs.contexts(spark, sf_dir).filter(F.col("fused_risk") > inputs.LOW)
-    response = corr.response_prompts(ledger.lookup_ledger(escalated, built), inputs.LOW)
-    r = records(spark, sf_dir)
-    kinds = [response.withColumn("mistake", F.lit(None).cast("string")), corr.audit_prompts(r), corr.rule_prompts(r)]
-    return rules.union_all([k.select(F.lit(n).alias("kind"), "event_id", "mistake", "system_prompt", "user_prompt")
-                            for n, k in zip(("response", "audit", "rule"), kinds)])
+    """All prompts at both thresholds, the memory searched by the default encoder."""
+    events, r, built, memory = _prompt_parts(spark, sf_dir)
+    held, parts = materialise(vectors.embed(memory, "document")), []
+    for threshold in (inputs.LOW, inputs.HIGH):
+        table = prompt_table(events.filter(F.col("fused_risk") > threshold), r, built, held, threshold, already=40)
+        parts.append(table.withColumn("threshold", F.lit(threshold)))
+    return parts[0].unionByName(parts[1])
+
+
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _severity(bucket, *names):
+    return f"CASE {bucket}b " + " ".join(f"WHEN '{bucket.upper()}{i + 1}' THEN '{n}'" for i, n in enumerate(names)) + " END"
+
+
+_SEVERITIES = ("'- fused risk: ' || " + _severity("r", "LOW", "MEDIUM", "HIGH", "CRITICAL") + " || chr(10) || '- anomaly: ' || "
+               + _severity("a", "LOW", "MEDIUM", "HIGH") + " || chr(10) || '- volume: ' || " + _severity("v", "LOW", "MEDIUM", "HIGH")
+               + " || chr(10) || '- certainty: ' || " + _severity("e", "HIGH (certain)", "MEDIUM", "LOW (uncertain)"))
+_ML = ("'{\"categorical_risk\":' || CAST(cat_risk AS VARCHAR) || ',\"anomaly_risk\":' || CAST(anomaly_risk AS VARCHAR) || ',\"fused_risk\":' "
+       "|| CAST(fused_risk AS VARCHAR) || ',\"incident_entropy\":' || CAST(incident_entropy AS VARCHAR) || '}'")
+_PLAIN_TEXT = EVENT_TEXT.replace("coalesce(nullif(service, '-'), '?')", "service")
+
+# Every event and document has the vector of the embedding its id comes to; distances between equal pairs are rounded alike.
+_PROMPTS = _CORR + f""",
+many AS (SELECT count(*) AS n FROM embeddings),
+unit AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+apart AS (SELECT a.vec_id AS q, b.vec_id AS d, round(1 - list_dot_product(a.v, b.v) / (a.norm * b.norm), 12) AS distance FROM unit a, unit b),
+told AS (SELECT f.event_id, f.seq, f.mistake, f.rid, f.clean, f.want, f.has_rule, d.* EXCLUDE (event_id, seq),
+    CASE WHEN f.event_id % 11 = 0 THEN {_quoted(NO_ANALYSIS)} ELSE {_BLAME.replace("event_id", "f.event_id").replace(" k", " f.k")} END AS analysis,
+    f.event_id % 11 <> 0 AND f.event_id % 7 <> 0 AS real_analysis, {_PLAIN_TEXT} AS told_text
+  FROM fixes f JOIN (SELECT * FROM decided WHERE thr < 0.6) d ON d.event_id = f.event_id),
+mem AS (
+  SELECT 'r' AS kind, 'rule_' || substr(md5('rule|' || rid), 1, 12) AS doc_id, event_id % n AS vec, 180 AS width, 0.65 AS ceiling,
+    'Rule ' || rid || ': IF ' || clean || ' THEN ' || want || '. Rationale: r' || event_id AS document FROM told, many WHERE has_rule AND event_id % 2 = 0
+  UNION ALL SELECT 'c', 'corr_' || substr(md5('corr|' || event_id || '|' || substr(analysis, 1, 40)), 1, 12), event_id % n, 200, 0.70,
+    '[' || mistake || '] Event ' || event_id || ': ' || analysis || ' | context: ' || told_text FROM told, many WHERE real_analysis AND event_id % 2 = 0),
+lines AS (
+  SELECT q, kind, string_agg('  - ' || substr(document, 1, width), chr(10) ORDER BY r) AS text FROM (
+    SELECT *, row_number() OVER (PARTITION BY q, kind ORDER BY distance, doc_id) AS r FROM mem JOIN apart ON d = vec) WHERE r <= 2 AND distance < ceiling GROUP BY 1, 2),
+story AS (SELECT signature, {SUMMARY} AS summary FROM (SELECT signature, status, round(confirmed_normal, 6) AS n, round(confirmed_attack, 6) AS a, round(trust_bias, 6) AS bias FROM ledger)),
+audited AS (SELECT t.*, summary, chr(10) || 'ML profile: ' || {_ML} || chr(10) || 'Context: ' || told_text || chr(10) || {_SEVERITIES} AS facts,
+    event_id % n AS q FROM told t CROSS JOIN many LEFT JOIN story USING (signature)),
+numbered AS (SELECT *, 40 + row_number() OVER (ORDER BY seq) AS nth FROM audited WHERE real_analysis)"""
+
+
+def _response_sql(threshold):
+    rendered = _quoted("RULES:\n" + "\n".join(rendered_rules(threshold)))
+    return f"""SELECT 'response' AS kind, CAST({threshold} AS DOUBLE) AS threshold, event_id, CAST(NULL AS VARCHAR) AS mistake,
+      concat_ws(chr(10) || chr(10), {_quoted(corr.RESPONSE_HEAD)}, 'BEHAVIORAL HISTORY:' || chr(10) || summary, {rendered},
+        {_quoted(corr.NEAR_HEAD)} || chr(10) || l.text, {_quoted(corr.RESPONSE_TAIL)}) AS system_prompt, {SLIM} AS user_prompt
+      FROM ctx CROSS JOIN many LEFT JOIN story USING (signature) LEFT JOIN lines l ON l.q = event_id % n AND l.kind = 'r' WHERE fused_risk > {threshold}"""
+
+
+@query(sql(f"""{_response_sql(inputs.LOW)} UNION ALL {_response_sql(inputs.HIGH)}
+  UNION ALL SELECT 'audit', thr, event_id, mistake,
+    'Audit a security decision: ' || CASE mistake WHEN 'FP' THEN 'benign traffic was contained' ELSE 'an attack was allowed' END || '. Explain the cause in two to four plain sentences.',
+    concat_ws(chr(10), {_quoted(corr.PRIOR_HEAD)} || chr(10) || l.text, summary, 'Decision: ' || playbook, 'Reasoning: text without numbers') || facts
+  FROM audited a LEFT JOIN lines l ON l.q = a.q AND l.kind = 'c'
+  UNION ALL SELECT 'rule', thr, event_id, mistake, 'Write one JSON routing rule with id, condition (field=value joined by AND), playbook '
+    || CASE mistake WHEN 'FP' THEN 'ALLOW' ELSE 'NETWORK_ISOLATION' END || ' and a rationale of at most 20 words, so that the same mistake is not repeated.',
+    concat_ws(chr(10), 'Rule id to assign: ' || CASE mistake WHEN 'FP' THEN 'LEARNED_' ELSE 'FN_PATCH_' END || lpad(CAST(nth AS VARCHAR), CAST(greatest(3, length(CAST(nth AS VARCHAR))) AS INTEGER), '0'),
+      'Analysis: ' || analysis, summary) || facts FROM numbered""", "decided", "candidates", "ledger", extra=_PROMPTS))
+def enriched_prompts(spark, sf_dir):
+    """Response prompts at both thresholds and audit and rule prompts at the low one, the memory searched by given vectors."""
+    given = inputs.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    many = given.count()
+
+    def keyed(frame):
+        return frame.withColumn(KEY, F.concat(F.lit("v"), (F.col("event_id") % many).cast("string")))
+
+    asked = given.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), "embedding")
+    events, r, built, memory = _prompt_parts(spark, sf_dir)
+    held = materialise(memory.withColumn("vec_id", F.col("metadata")["event_id"].cast("long") % many).join(given, "vec_id").drop("vec_id"))
+    parts = []
+    for threshold in (inputs.LOW, inputs.HIGH):
+        escalated = events.filter(F.col("fused_risk") > threshold)
+        table = prompt_table(keyed(escalated), keyed(r.drop("factors")), built, held, threshold, already=40, asked=asked)
+        parts.append((table if threshold == inputs.LOW else table.filter("kind = 'response'")).withColumn("threshold", F.lit(threshold)))
+    return parts[0].unionByName(parts[1])
 
 
 @query(sql("""SELECT collection, count(*) AS documents FROM (

@@ -121,13 +121,17 @@ def scored_events(spark, sf_dir):
         "event_id", "label", "fused_risk", "cat_risk", "anomaly_risk", "incident_entropy", "threat", "signature")
 
 
-@query(sql("""SELECT event_id, '{"fused_risk":' || CAST(fused_risk AS VARCHAR) || ',"cat_risk":' || CAST(cat_risk AS VARCHAR) || ',"threat_class":"' || threat
-    || '","proto":"' || proto || '","service":' || CASE WHEN service = '-' THEN 'null' ELSE '"' || service || '"' END || ',"state":"' || state
+SLIM = """'{"fused_risk":' || CAST(fused_risk AS VARCHAR) || ',"cat_risk":' || CAST(cat_risk AS VARCHAR) || ',"threat_class":"' || threat
+    || '","proto":"' || proto || '","service":' || '"' || service || '"' || ',"state":"' || state
     || '","spkts":' || spkts || ',"dpkts":' || dpkts || ',"fused_risk_severity":"'
     || CASE rb WHEN 'R1' THEN 'LOW' WHEN 'R2' THEN 'MEDIUM' WHEN 'R3' THEN 'HIGH' ELSE 'CRITICAL' END || '","anomaly_severity":"'
     || CASE ab WHEN 'A1' THEN 'LOW' WHEN 'A2' THEN 'MEDIUM' ELSE 'HIGH' END || '","traffic_volume":"'
     || CASE vb WHEN 'V1' THEN 'LOW' WHEN 'V2' THEN 'MEDIUM' ELSE 'HIGH' END || '","classification_certainty":"'
-    || CASE eb WHEN 'E1' THEN 'HIGH (certain)' WHEN 'E2' THEN 'MEDIUM' ELSE 'LOW (uncertain)' END || '"}' AS slim FROM ctx""", "ctx"))
+    || CASE eb WHEN 'E1' THEN 'HIGH (certain)' WHEN 'E2' THEN 'MEDIUM' ELSE 'LOW (uncertain)' END || '"}'"""
+_SLIM_NULLED = SLIM.replace("'\"' || service || '\"'", "CASE WHEN service = '-' THEN 'null' ELSE '\"' || service || '\"' END")
+
+
+@query(sql(f"SELECT event_id, {_SLIM_NULLED} AS slim FROM ctx", "ctx"))
 def slim_context(spark, sf_dir):
     c = inputs.contexts(spark, sf_dir).withColumn("service", F.nullif("service", F.lit("-")))
     return c.select("event_id", flows.slim_context(c).alias("slim"))

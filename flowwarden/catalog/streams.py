@@ -8,6 +8,7 @@ from flowwarden.catalog import inputs
 from flowwarden.catalog.policy import MENDED, REPLAY
 from flowwarden.catalog.registry import query
 from flowwarden.catalog.sqltext import sql
+from flowwarden.models import forest as forests
 from flowwarden.session import scratch_path
 from flowwarden.streaming import live
 
@@ -67,3 +68,14 @@ def live_corrected(spark, sf_dir):
     _finish(live.live_decisions(arriving(spark, inputs.contexts(spark, sf_dir)), root, inputs.LOW, inputs.POLICY, once=True, label="label"))
     return spark.read.parquet(f"{root}/decisions").filter("branch <> 'gate'").select(
         "event_id", "signature", "playbook", "trust_score")
+
+
+@query()
+def live_forest_scores(spark, sf_dir):
+    """Raw points stream in, a forest fitted on attacks scores them, and the last twenty scores of all are averaged."""
+    from flowwarden.catalog.learning import points
+    p = points(spark, sf_dir)
+    grown, root = forests.fit_forest(p.filter("label = 1")), scratch_path(spark, "forest")
+    _finish(live.live_scores(arriving(spark, p.select("event_id", "seq", "x")), root, "anomaly_risk", once=True, forest=grown))
+    return spark.read.parquet(f"{root}/scores").select(
+        "event_id", F.round("anomaly_risk", 6).alias("anomaly_risk"), F.round("smoothed", 6).alias("smoothed"))

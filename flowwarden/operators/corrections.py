@@ -93,54 +93,82 @@ def severity_lines() -> Column:
     return F.concat_ws("\n", *[F.concat(F.lit(f"- {n}: "), c) for n, c in named])
 
 
-def response_prompts(events: DataFrame, threshold: float, near_rules: DataFrame | None = None,
-                     ceiling: float = 0.65, width: int = 180) -> DataFrame:
-    """System and user prompt per escalated event: history, filled-in rules, near learned rules.
+RESPONSE_HEAD = "Act as a SOC analyst: the first rule that matches decides. Answer with one JSON object only."
+RESPONSE_TAIL = ('ANSWER: {"reasoning": text, "playbook": ALLOW|STEP_UP_AUTH|NETWORK_ISOLATION|RATE_LIMIT_DOS, '
+                 '"is_false_positive": bool}')
+NEAR_HEAD = "LEARNED RULES (only when no rule above matches):"
+PRIOR_HEAD = "SIMILAR PAST CORRECTIONS:"
 
-    `near_rules` holds query_id, distance, rank, document; at most two lines per event are gathered.
+
+def ml_profile() -> Column:
+    """JSON of the four model figures of an event; missing figures stay as null."""
+    return F.to_json(F.struct(F.col("cat_risk").alias("categorical_risk"), "anomaly_risk", "fused_risk", "incident_entropy"),
+                     {"ignoreNullFields": "false"})
+
+
+def _optional(frame: DataFrame, name: str) -> Column:
+    return F.col(name) if name in frame.columns else F.lit(None).cast("string")
+
+
+def _titled(head: str, text: Column) -> Column:
+    """The text under its head; null, which joins leave out, where there is no text."""
+    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(head + "\n"), text))
+
+
+def history() -> Column:
+    """Evidence block of a frame that `lookup_ledger` has joined; empty without an entry."""
+    return evidence_summary(*[F.col(c) for c in ("confirmed_normal", "confirmed_attack", "status", "trust_bias")])
+
+
+def response_prompts(events: DataFrame, threshold: float) -> DataFrame:
+    """System and user prompt per escalated event: evidence block, filled-in rules, near learned rules.
+
+    The lines of near learned rules come in the column `near`, if there is one (`plans.prompts`).
     """
-    history = evidence_summary(*[F.col(c) for c in ("confirmed_normal", "confirmed_attack", "status", "trust_bias")])
-    frame = events.withColumn("_history", history)
-    if near_rules is not None:
-        close = near_rules.filter((F.col("distance") < ceiling) & (F.col("rank") <= 2)).groupBy("query_id").agg(
-            F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.struct("rank", F.substring("document", 1, width).alias("d")))),
-                lambda x: F.concat(F.lit("  - "), x["d"])), "\n").alias("_near"))
-        frame = frame.join(close, F.col("event_id").cast("string") == F.col("query_id"), "left").drop("query_id")
-    else:
-        frame = frame.withColumn("_near", F.lit(None).cast("string"))
     system = F.concat_ws(
-        "\n\n",
-        F.lit("Act as a SOC analyst: the first rule that matches decides. Answer with one JSON object only."),
-        F.when(F.col("_history") != "", F.concat(F.lit("BEHAVIORAL HISTORY:\n"), F.col("_history"))),
-        F.lit("RULES:\n" + "\n".join(rendered_rules(threshold))),
-        F.concat(F.lit("LEARNED RULES (only when no rule above matches):\n"), F.col("_near")),
-        F.lit('ANSWER: {"reasoning": text, "playbook": ALLOW|STEP_UP_AUTH|NETWORK_ISOLATION|RATE_LIMIT_DOS, '
-              '"is_false_positive": bool}'),
-    )
-    return frame.select("event_id", system.alias("system_prompt"), slim_context(frame).alias("user_prompt"))
+        "\n\n", F.lit(RESPONSE_HEAD), _titled("BEHAVIORAL HISTORY:", history()),
+        F.lit("RULES:\n" + "\n".join(rendered_rules(threshold))), _titled(NEAR_HEAD, _optional(events, "near")),
+        F.lit(RESPONSE_TAIL))
+    return events.select("event_id", system.alias("system_prompt"), slim_context(events).alias("user_prompt"))
 
 
 def audit_prompts(records: DataFrame) -> DataFrame:
-    """Prompt per misdecision that asks for the root cause; `prior` text is optional."""
+    """Prompt per misdecision that asks for the root cause.
+
+    Optional columns: `prior` (lines of similar past corrections), `evidence` (block of the ledger), `factors`.
+    """
     goal = F.when(F.col("mistake") == "FP", "benign traffic was contained").otherwise("an attack was allowed")
-    prior = F.col("prior") if "prior" in records.columns else F.lit(None).cast("string")
     system = F.concat(F.lit("Audit a security decision: "), goal,
                       F.lit(". Explain the cause in two to four plain sentences."))
+    factors = F.to_json("factors") if "factors" in records.columns else F.lit(None).cast("string")
     user = F.concat_ws(
-        "\n", F.concat(F.lit("Past corrections:\n"), prior),
+        "\n", _titled(PRIOR_HEAD, _optional(records, "prior")), F.nullif(_optional(records, "evidence"), F.lit("")),
         F.concat(F.lit("Decision: "), F.col("playbook")), F.concat(F.lit("Reasoning: "), F.col("reasoning")),
+        F.concat(F.lit("ML profile: "), ml_profile()),
         F.concat(F.lit("Context: "), event_text()), severity_lines(),
-        F.concat(F.lit("Trust factors: "), F.to_json("factors")))
+        F.concat(F.lit("Trust factors: "), factors))
     return records.select("event_id", "mistake", system.alias("system_prompt"), user.alias("user_prompt"))
 
 
 def rule_prompts(records: DataFrame) -> DataFrame:
-    """Prompt per analysed misdecision that asks for one routing rule."""
-    playbook = F.when(F.col("mistake") == "FP", "ALLOW").otherwise("NETWORK_ISOLATION")
+    """Prompt per analysed misdecision that asks for one routing rule; a failed analysis asks for none.
+
+    Optional columns: `assigned` (the id the rule is to carry), `evidence`.
+    """
+    wanted = wanted_playbook()
     system = F.concat(
-        F.lit("Write one JSON routing rule with id, condition (field=value joined by AND), playbook "), playbook,
+        F.lit("Write one JSON routing rule with id, condition (field=value joined by AND), playbook "), wanted,
         F.lit(" and a rationale of at most 20 words, so that the same mistake is not repeated."))
-    user = F.concat_ws("\n", F.concat(F.lit("Analysis: "), F.col("analysis")),
-                       F.concat(F.lit("Context: "), event_text()), severity_lines())
-    return records.select("event_id", "mistake", system.alias("system_prompt"), user.alias("user_prompt"))
+    user = F.concat_ws(
+        "\n", F.concat(F.lit("Rule id to assign: "), _optional(records, "assigned")),
+        F.concat(F.lit("Analysis: "), F.col("analysis")), F.nullif(_optional(records, "evidence"), F.lit("")),
+        F.concat(F.lit("ML profile: "), ml_profile()), F.concat(F.lit("Context: "), event_text()), severity_lines())
+    return analysed(records).select("event_id", "mistake", system.alias("system_prompt"), user.alias("user_prompt"))
+
+
+def wanted_playbook() -> Column:
+    return F.when(F.col("mistake") == "FP", "ALLOW").otherwise("NETWORK_ISOLATION")
+
+
+def analysed(records: DataFrame) -> DataFrame:
+    return records.filter(~F.contains(F.coalesce("analysis", F.lit(NO_SIGNAL)), F.lit(NO_SIGNAL)))

@@ -282,6 +282,18 @@ def below(found: DataFrame, ceiling: float) -> DataFrame:
     return found.filter(F.col("distance") < F.lit(ceiling))
 
 
+def near_lines(queries: DataFrame, memory: DataFrame, collection: str, ceiling: float, width: int, n: int = 2) -> DataFrame:
+    """query_id and `lines`: one line for each of the n nearest documents of a collection below the ceiling, nearest first.
+
+    Items with nothing near are left out. At most n lines an item are gathered.
+    """
+    part = memory.filter(F.col("collection") == collection)
+    near = below(nearest(queries, part.select(F.col("doc_id").alias("id"), "embedding"), n), ceiling)
+    shown = near.join(part.select("doc_id", F.concat(F.lit("  - "), F.substring("document", 1, width)).alias("line")), "doc_id")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "line")))
+    return shown.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("lines"))
+
+
 def context_block(queries: DataFrame, memory: DataFrame, incidents: int = 2, corrections: int = 2,
                   rules: int = 3, ceiling: float = 0.75) -> DataFrame:
     """Text block per query from its nearest incidents, corrections and rules; empty when none is near.

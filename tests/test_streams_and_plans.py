@@ -196,3 +196,17 @@ def test_documents_skip_what_carries_no_signal(spark, tiny):
     assert vectors.correction_documents(base).count() == 1
     assert vectors.incident_documents(base).count() == 2
     assert rules.native_table(spark).count() == 7
+
+
+def test_live_forest_scores_are_the_batch_scores(spark, tiny):
+    """Points scored in three batches, some delivered again, give the scores and means of one batch."""
+    from flowwarden.catalog import load
+    queries = load()[0]
+    want = {r.event_id: r.anomaly_risk for r in queries["forest_score"](spark, tiny).collect()}
+    got = queries["live_forest_scores"](spark, tiny).orderBy("event_id").collect()
+    assert [r.event_id for r in got] == sorted(want)
+    values = [r.anomaly_risk for r in got]
+    assert all(abs(v - want[r.event_id]) < 1e-6 for v, r in zip(values, got))
+    for i, r in enumerate(got):
+        last = values[max(0, i - 19):i + 1]
+        assert abs(r.smoothed - sum(last) / len(last)) < 3e-6
