@@ -1,6 +1,6 @@
 """Chat formatting with Spark expressions only.
 
-Turn structs of a conversation are collected, sorted and merged: adjacent turns of one role share one
+The turns of a conversation are put in order, collected as structs, sorted and merged: adjacent turns of one role share one
 block. A formatted conversation is a concatenation of blocks
 
     <s>ROLE[TURN]text[TURN]text…</s>
@@ -18,10 +18,13 @@ conversation becomes one string, so its length is the unit of memory, as in ever
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OPEN, TURN, CLOSE = "<s>", "[TURN]", "</s>"
 LEARNED = "assistant"
+#: Code points of a chunk that loss spans are read from.
+CHUNK = 2048
 
 
 def escape(text: Column) -> Column:
@@ -37,39 +40,31 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
                  text: str = "text", learned: str = LEARNED) -> DataFrame:
     """One row per conversation: id, formatted text, loss spans (start, end) and number of blocks.
 
-    Adjacent same-role turns are found before the merge: a turn opens a block when its role differs from
-    the turn before it, so block texts come from one pass over the sorted array.
+    A window over the turns of a conversation gives every turn its neighbours' roles and the length of all text before it, so
+    blocks and spans cost one sort, whatever the number of turns; the turns' pieces are then concatenated in order.
     """
-    row = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
-                   F.coalesce(F.col(text), F.lit("")).alias("text"))
-    gathered = turns.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    marked = gathered.select("conv_id", F.transform("turns", lambda t, i: F.struct(
-        t["role"].alias("role"), escape(t["role"]).alias("name"), escape(t["text"]).alias("body"),
-        ((i == 0) | (F.get("turns", i - 1)["role"] != t["role"])).alias("opens"),
-        ((i == F.size("turns") - 1) | (F.get("turns", i + 1)["role"] != t["role"])).alias("closes"),
-    )).alias("turns"))
-    pieces = F.transform("turns", lambda t: F.struct(
-        (t["role"] == learned).alias("learned"),
-        F.concat(F.when(t["opens"], F.concat(F.lit(OPEN), t["name"])).otherwise(F.lit("")), F.lit(TURN)).alias("head"),
-        t["body"].alias("body"),
-        F.when(t["closes"], F.lit(CLOSE)).otherwise(F.lit("")).alias("tail"),
-    ))
-    cut = marked.select("conv_id", pieces.alias("pieces"),
-                        F.size(F.filter("turns", lambda t: t["opens"])).cast("long").alias("n_blocks"))
-    placed = cut.select(
-        "conv_id", "n_blocks",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        F.transform("pieces", lambda p: F.struct(
-            p["learned"].alias("learned"), F.length(p["head"]).cast("long").alias("head"),
-            F.length(p["body"]).cast("long").alias("body"), F.length(p["tail"]).cast("long").alias("tail"))).alias("sizes"))
-    start = F.struct(F.lit(0).cast("long").alias("at"),
-                     F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    walked = F.aggregate("sizes", start, lambda acc, s: F.struct(
-        (acc["at"] + s["head"] + s["body"] + s["tail"]).alias("at"),
-        F.when(s["learned"], F.concat(acc["spans"], F.array(F.struct(
-            (acc["at"] + s["head"]).alias("start"), (acc["at"] + s["head"] + s["body"]).alias("end")))))
-        .otherwise(acc["spans"]).alias("spans")), lambda acc: acc["spans"])
-    return placed.select("conv_id", "formatted", walked.alias("loss"), "n_blocks")
+    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
+                        F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    seen = rows.select(
+        "conv_id", "role", escape(F.col("role")).alias("name"), escape(F.col("text")).alias("body"),
+        F.row_number().over(order).alias("place"), F.lag("role").over(order).alias("earlier"), F.lead("role").over(order).alias("later"))
+    opens = F.col("earlier").isNull() | (F.col("earlier") != F.col("role"))
+    closes = F.col("later").isNull() | (F.col("later") != F.col("role"))
+    cut = seen.select(
+        "conv_id", "place", "body", (F.col("role") == learned).alias("learned"), opens.cast("long").alias("opens"),
+        F.concat(F.when(opens, F.concat(F.lit(OPEN), F.col("name"))).otherwise(F.lit("")), F.lit(TURN)).alias("head"),
+        F.when(closes, F.lit(CLOSE)).otherwise(F.lit("")).alias("tail"))
+    sizes = {c: F.length(c).cast("long") for c in ("head", "body", "tail")}
+    before = W.partitionBy("conv_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(sizes["head"] + sizes["body"] + sizes["tail"]).over(before), F.lit(0).cast("long")) + sizes["head"]
+    placed = cut.select("conv_id", "place", "learned", "opens", F.concat("head", "body", "tail").alias("piece"),
+                        start.alias("start"), (start + sizes["body"]).alias("end"))
+    whole = F.struct("place", "piece", "learned", "start", "end")
+    gathered = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(whole)).alias("turns"), F.sum("opens").alias("n_blocks"))
+    return gathered.select(
+        "conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: F.struct(t["start"], t["end"])).alias("loss"), "n_blocks")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -82,9 +77,20 @@ def read_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
-    """Unescaped text under the loss mask."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substr(
-        formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """Unescaped text under the loss mask.
+
+    Finding a code point in a string reads it from its beginning, so the text is cut into chunks once and each span
+    reads only the chunks it lies in.
+    """
+    def read(chunks: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / CHUNK).cast("int")
+        last = F.floor((s["end"] - 1) / CHUNK).cast("int")
+        near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+        return unescape(F.substr(near, (s["start"] - first * CHUNK + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+    cut = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    # As the element of an array the chunks are made once, not again for every span.
+    return F.get(F.transform(F.array(cut), lambda chunks: F.array_join(F.transform(loss, lambda s: read(chunks, s)), "")), 0)
 
 
 def digests(chats: DataFrame) -> DataFrame:

@@ -168,9 +168,10 @@ def plan_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
                          & (F.col("rank") <= F.col("upto"))).select("source", "block", "shard")
     homes = placed.groupBy(F.col("source").alias("home"), F.col("block").alias("place_in")).agg(
         F.sort_array(F.collect_list("shard")).alias("shards"))
-    every = drawn.select("source", "block", "times").join(
+    # A block is taken as often as the tree has dealt it.
+    every = drawn.select("source", "block").join(
         homes, F.col("source").eqNullSafe(F.col("home")) & (F.col("block") == F.col("place_in")), "left").select(
-        "source", "block", "times", "shards")
+        "source", "block", F.coalesce(F.size("shards"), F.lit(0)).cast("long").alias("times"), "shards")
     return stored(every, "mix-plan"), stored(plan, "mix-targets")
 
 

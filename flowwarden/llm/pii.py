@@ -5,10 +5,11 @@ pattern the gaps between them; running lengths of both give code-point spans. Pa
 quantifiers and run-start guards where the plain form would be quadratic or recursive on long runs; they
 match the same strings.
 
-Kinds: email, ip, card (Luhn), phone, and iban (mod 97), which the base rules do not have. The score of
-a span starts at its kind's base value, rises when a context word of the kind stands within `near`
-characters before it, and falls when a word that names something else (order number, version, …) stands
-there. Base spans are reported whatever their score; an added kind needs its checksum.
+Kinds: email, ip, card (Luhn), phone, and three which the base rules do not have: iban (mod 97), ssn (number
+ranges) and secret (20 or more letters and digits mixed). The score of a span starts at its kind's base value, rises
+when a context word of the kind stands within `NEAR` characters before it, and falls when a word that names something
+else (order number, version, …) stands there. Base spans are reported whatever their score; a span of an added kind needs its
+check and a score of at least `LEAST`, so ssn and secret are reported next to a context word only.
 
 Defined results: a null or empty text has no spans; spans of different kinds may overlap and are all
 kept; repeated rows give repeated results; other columns are passed through; an empty table stays empty.
@@ -43,11 +44,19 @@ KINDS = (
          ("phone", "tel", "call", "mobile", "telefon", "fax", "whatsapp")),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.9,
          ("iban", "account", "konto", "compte", "cuenta", "bank")),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.4,
+         ("ssn", "social", "security")),
+    Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", r"[A-Za-z0-9_-]{20}", 0.4,
+         ("token", "key", "secret", "password", "passwort", "bearer", "api")),
 )
 BASE = ("email", "ip", "card", "phone")
 #: Words that make a number something else.
-OTHER = ("version", "order", "invoice", "isbn", "serial", "token", "build")
+OTHER = ("version", "order", "invoice", "isbn", "serial", "token", "build", "commit", "checksum")
 STEP, NEAR = 0.15, 40
+#: Score from which a span of an added kind is reported.
+LEAST = 0.5
+#: Matches whose positions are summed up together; the sums of blocks follow in a second pass.
+BLOCK = 256
 
 _HIT = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
 
@@ -94,14 +103,20 @@ def _confirmed(kind: str, value: Column) -> Column:
     if kind == "iban":
         n = F.length(F.replace(value, F.lit(" "), F.lit("")))
         return F.when(n.between(15, 34), mod97(value)).otherwise(F.lit(False))
+    if kind == "secret":
+        return F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]"))
     return F.lit(True)
 
 
 def _proposed(text: Column, kind: Kind) -> Column:
-    """Matches of one kind with code-point spans and the characters before them."""
+    """Matches of one kind with code-point spans and the characters before them.
+
+    Appending copies an array, so positions are summed within blocks of `BLOCK` matches and then over the blocks; the time stays
+    in proportion to the matches up to millions of them.
+    """
     values = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.split(text, kind.pattern, -1)
-    pairs = F.arrays_zip(values.alias("value"), F.slice(gaps, 1, F.size(values)).alias("gap"))
+    every = F.arrays_zip(values.alias("value"), F.slice(gaps, 1, F.size(values)).alias("gap"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_HIT).alias("hits"))
 
     def add(acc: Column, p: Column) -> Column:
@@ -111,8 +126,21 @@ def _proposed(text: Column, kind: Kind) -> Column:
                        F.lower(F.right(p["gap"], F.lit(NEAR))).alias("before"))
         return F.struct(end.alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
-    # The start of the match is where its gap ends, so no position is searched twice.
-    found = F.aggregate(pairs, start, add, lambda acc: acc["hits"])
+    def in_blocks(pairs: Column) -> Column:
+        # The start of the match is where its gap ends, so no position is searched twice.
+        numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")))
+        return F.transform(numbers, lambda b: F.aggregate(F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)), start, add))
+
+    def shifted(blocks: Column) -> Column:
+        ends = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        return F.flatten(F.zip_with(blocks, F.slice(ends, 1, F.size(blocks)), lambda b, past: F.transform(b["hits"], lambda h: F.struct(
+            (h["start"] + past).alias("start"), (h["end"] + past).alias("end"), h["value"].alias("value"), h["before"].alias("before")))))
+
+    def once(value: Column, use) -> Column:
+        """`use(value)` with the value made once, as the element of an array."""
+        return F.get(F.transform(F.array(value), use), 0)
+
+    found = once(every, lambda pairs: once(in_blocks(pairs), shifted))
     return F.when(F.rlike(text, F.lit(kind.hint)), found).otherwise(F.array().cast(_HIT))
 
 
@@ -120,12 +148,14 @@ def _scored(kind: Kind, order: int, hits: Column) -> Column:
     def has(before: Column, words: tuple[str, ...]) -> Column:
         return F.rlike(before, F.lit(r"(?<!\w)(?:" + "|".join(words) + r")(?!\w)")).cast("int")
 
-    return F.transform(
+    other = tuple(w for w in OTHER if w not in kind.context)
+    scored = F.transform(
         F.filter(hits, lambda h: _confirmed(kind.name, h["value"])),
         lambda h: F.struct(
             h["start"].alias("start"), F.lit(order).alias("kind_order"), F.lit(kind.name).alias("kind"),
             h["end"].alias("end"), h["value"].alias("value"),
-            (F.lit(kind.base) + STEP * has(h["before"], kind.context) - STEP * has(h["before"], OTHER)).alias("score")))
+            (F.lit(kind.base) + STEP * has(h["before"], kind.context) - STEP * has(h["before"], other)).alias("score")))
+    return scored if kind.name in BASE else F.filter(scored, lambda s: s["score"] >= LEAST)
 
 
 def with_spans(docs: DataFrame, into: str = "spans", text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -158,3 +188,8 @@ def digest_text(spans: Column) -> Column:
 def count_kind(spans: Column, kind: str) -> Column:
     """Number of spans of one kind."""
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def score_text(spans: Column) -> Column:
+    """Scores of the spans in hundredths, in the same order, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")

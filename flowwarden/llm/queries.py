@@ -55,7 +55,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     counts = [pii.count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(pii.digest_text(base), 256).alias("base_sha256"),
-                        pii.digest_text(F.col("spans")).alias("spans"))
+                        pii.digest_text(F.col("spans")).alias("spans"), pii.score_text(F.col("spans")).alias("scores"))
 
 
 def op6_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,8 @@ def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     m = F.col("mix")
-    return mixing.with_takes(docs).select("doc_id", *[m[c].alias(c) for c in ("size", "source_size", "target", "taken")])
+    return mixing.with_takes(docs).select("doc_id", *[m[c].alias(c) for c in ("size", "source_size", "target", "taken")],
+                                          F.array_join(m["shards"], ",").alias("shards"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

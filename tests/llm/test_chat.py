@@ -1,6 +1,7 @@
 """Chat formatting: round trip, merging, masks and odd tables."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -37,6 +38,15 @@ def test_random_texts(spark):
     assert got == brute.chats(rows)
 
 
+def test_long_conversation(spark):
+    """20,000 turns, spans across chunk borders and outside the basic plane, in time that follows the turns."""
+    rng, begin = random.Random(5), time.time()
+    rows = [(1, i, ("user", "assistant")[i % 3 > 0], rng.choice(["[", "\U0001f600", "é<"]) * rng.randrange(150 if i % 500 else 9000)) for i in range(20_000)]
+    chats = chat.format_chats(spark.createDataFrame(rows, SCHEMA))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(chats).collect()}
+    assert got == brute.chats(rows) and time.time() - begin < 60
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert chat.digests(chat.format_chats(empty)).count() == 0

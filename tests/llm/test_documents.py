@@ -1,6 +1,7 @@
 """Document operators against their plain versions, and their defined results on odd tables."""
 
 import math
+import time
 import random
 from collections import Counter
 
@@ -126,6 +127,23 @@ def test_context_moves_the_score_and_masks(spark):
     assert masked == ["call tel [PHONE]", "order +49 30 1234567", "x [PHONE] y", None]
 
 
+def test_context_admits_added_kinds(spark):
+    key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    frame = spark.createDataFrame([(f'token = "{key}" x',), (f"commit {key}",), (key,), ("api key " + "x" * 40,), ("SSN 123-45-6789",),
+                                   ("123-45-6789",), ("ssn 666-45-6789 900-12-3456 123-00-1111",), (f"{key}-token-{key}",)], "text string")
+    got = [[(s.kind, s.value) for s in r.spans] for r in pii.with_spans(frame).collect()]
+    assert got == [[("secret", key)], [], [], [], [("ssn", "123-45-6789")], [], [], []]
+
+
+def test_many_matches_in_one_text(spark):
+    """Positions over many blocks agree with the plain version, in time that follows the matches."""
+    text = " ".join(f"\u00e9{i % 7}@b.de 10.0.{i % 300}.1" for i in range(20_000))
+    begin = time.time()
+    row = pii.with_spans(spark.createDataFrame([(text,)], "text string")).first()
+    assert [(s.kind, s.start, s.end) for s in row.spans] == brute.personal(text) and len(row.spans) > 30_000
+    assert time.time() - begin < 60
+
+
 def test_personal_data_on_odd_tables(odd, empty):
     assert pii.with_spans(odd, "found").columns == [*odd.columns, "found"]
     assert pii.with_spans(odd, "found").count() == odd.count() and pii.with_spans(empty).count() == 0
@@ -199,6 +217,8 @@ def test_mixing(docs, rows, odd, empty):
         assert abs(taken[s] - want[s]) <= max(0.01 * want[s], biggest / 2)
     again = {r.doc_id: r.mix for r in mixing.with_takes(docs.repartition(3)).collect()}
     assert again == {r.doc_id: r.mix for r in got}
+    parts = Counter(p for r in got for p in set(r.mix.shards or []))
+    assert len(parts) > 1 and max(parts) < mixing.SHARDS
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.mix.times for r in got if r.mix.times})
