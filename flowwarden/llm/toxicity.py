@@ -151,11 +151,12 @@ def restore(shown: str, model: CharModel) -> list[str]:
 class Restorer:
     """Features of the restored words of texts; remembers what every word has shown, up to a bound.
 
-    With `only`, features outside of it are left out.
+    With `only`, features outside of it are left out, and words that share a feature share its string.
     """
 
-    def __init__(self, model: CharModel, only: frozenset[str] | None = None, remembered: int = 60_000):
-        self.model, self.only, self.remembered = model, only, remembered if only is None else 10 * remembered
+    def __init__(self, model: CharModel, only: frozenset[str] | None = None, remembered: int = 20_000):
+        self.model, self.remembered = model, remembered if only is None else 30 * remembered
+        self.only = None if only is None else {f: f for f in only}
         self.known: dict[bytes, tuple[str, ...]] = {}
 
     def word(self, shown: bytes) -> tuple[str, ...]:
@@ -178,7 +179,7 @@ class Restorer:
             found.add(edged)
             for n in FEATURE_GRAMS:
                 found.update([edged[i:i + n] for i in range(len(edged) - n + 1)])
-        return tuple(found if self.only is None else found & self.only)
+        return tuple(found if self.only is None else filter(None, map(self.only.get, found)))
 
     def by_word(self, raw: bytes) -> list[tuple[str, ...]]:
         """Features of each distinct shown word of a whole text, and of each run of single letters."""
@@ -264,6 +265,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+#: Features that a task counts before it passes its counts on.
+COUNTED = 120_000
+
+
 def _count_features(counts, only=None):
     """Tasks that count in how many texts and in how many of their words each feature is; the empty feature counts all."""
 
@@ -283,7 +288,7 @@ def _count_features(counts, only=None):
                 texts.update({f for found in own for f in found})
                 words[""] += len(own)
                 texts[""] += 1
-            if len(words) > 500_000:
+            if len(words) > COUNTED:
                 yield table(texts, words)
                 texts, words = Counter(), Counter()
         yield table(texts, words)
