@@ -5,7 +5,7 @@ lattice: each character stands for itself or for letters it imitates, a separato
 run for one or two letters. A Viterbi search finds the likeliest letters under a character language model of the
 corpus plus channel costs, and the restored words are scored, next to the word as it is shown. Plain words restore to themselves.
 
-The character model counts n-grams of plain words up to `MAX_WORD` letters over all documents; the table has one row for each n-gram of a fixed alphabet, whatever the corpus.
+The character model counts n-grams of plain words of any length over all documents; the table has one row for each n-gram of a fixed alphabet, whatever the corpus.
 The classifier is fitted on at most `FIT_ROWS` labelled rows, those with the smallest hashes of their ids, each distinct text once:
 restored words and their character n-grams that are far more frequent in toxic documents get log-odds weights, and a
 logistic curve over two figures of a document, the weights of its features and the average strongest weight of its words, gives the score. Only texts and the labels of rows outside the held-out fifth are read for it.
@@ -42,7 +42,7 @@ MIN_SHARE, MIN_LOG_ODDS, ERRORS = 0.02, 2.0, 1.64
 FEATURE_GRAMS = (4, 5, 6)
 #: The weights of a document's features count up to this sum; its words count as this many at least.
 CAP, FEW_WORDS = 200.0, 10
-ORDER, BEAM, MAX_WORD = 4, 48, 32
+ORDER, BEAM = 4, 48
 
 # Letters that a character may stand for, besides itself.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
@@ -231,6 +231,10 @@ class ToxicModel:
     constant: float | None = None
 
 
+#: Bytes of text after which a task settles the words it remembers.
+HELD_BYTES = 64 << 20
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     words: Counter = Counter()
@@ -239,16 +243,19 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle() -> None:
         for word, n in words.items():
             bare = plain(word)
-            if len(bare) <= MAX_WORD and _PLAIN.fullmatch(bare):
+            if _PLAIN.fullmatch(bare):
                 for g in grams(bare.decode()):
                     found[g] += n
         words.clear()
 
+    held_bytes = 0
     for batch in batches:
         for raw in raw_texts(batch.column(0)):
             words.update(raw.lower().split())
-            if len(words) > 300_000:
+            held_bytes += len(raw)
+            if len(words) > 300_000 or held_bytes > HELD_BYTES:
                 settle()
+                held_bytes = 0
     settle()
     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
 
