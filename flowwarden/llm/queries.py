@@ -32,9 +32,9 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    words, counts = pseudo_likelihood.vocabulary(docs)
-    encoded = stored(pseudo_likelihood.encode(docs, words).select("doc_id", "ids"), "lm-ids")
-    model = pseudo_likelihood.train_encoded(encoded, words, counts)
+    lexicon, counts = pseudo_likelihood.vocabulary(docs)
+    encoded = stored(pseudo_likelihood.encode(docs, lexicon).select("doc_id", "ids"), "lm-ids")
+    model = pseudo_likelihood.train_encoded(encoded, lexicon, counts)
     return pseudo_likelihood.score_encoded(encoded, model).select("doc_id", "likelihood.*")
 
 

@@ -357,6 +357,14 @@ def test_toxicity_never_reads_held_out_labels(spark, talk):
     assert toxicity.fit(docs.filter("false"), labels).constant == 0.0
 
 
+def test_char_counts_of_long_words(spark):
+    """Words of any length are counted, and settling in between changes nothing."""
+    texts = ["ab" * 40 + " cat", None, "cat " + "z" * 500]
+    got = toxicity.char_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = Counter(g for t in texts if t for w in t.split() for g in toxicity.grams(w))
+    assert got == dict(want)
+
+
 def test_pseudo_likelihood(spark, docs, odd, empty):
     rng = random.Random(6)
     order = " ".join(["red green blue"] * 30)
@@ -374,6 +382,49 @@ def test_pseudo_likelihood(spark, docs, odd, empty):
     assert pseudo_likelihood.with_likelihoods(docs, none).count() == docs.count()
 
 
+def test_likelihood_lexicon(spark):
+    """Shares of all words of a class, and of one unseen word, add up to one; a rarer word costs more; the bound raises the least count."""
+    rng = random.Random(8)
+    frequent = [f"the{i}x" for i in range(pseudo_likelihood.FREQUENT)]
+    listed, rare = [f"w{i}ing" for i in range(300)], [f"r{i}ing" for i in range(40)]
+    words = frequent * 50 + [w for i, w in enumerate(listed) for _ in range(5 + i % 20)] + rare
+    rng.shuffle(words)
+    docs = spark.createDataFrame([(" ".join(words[i:i + 97]),) for i in range(0, len(words), 97)], "text string").repartition(3)
+    lexicon, counts = pseudo_likelihood.vocabulary(docs)
+    assert sorted(lexicon.words) == sorted(w.encode() for w in frequent) and counts.sum() == len(words) and len(lexicon.hashes) == 300
+    classes, shares = lexicon.look_up([w.encode() for w in [*listed, *rare, "neverseening"]])
+    assert len(set(classes)) == 1 and math.isclose(np.exp(shares.astype(float)).sum(), 1, rel_tol=1e-5)
+    n = counts[classes[0]]
+    assert np.allclose(np.exp(shares[:300].astype(float)), [(5 + i % 20) / (n + 1) for i in range(300)], rtol=1e-5)
+    assert shares[300] == shares[-1] < shares[0] < shares[19]
+    small, _ = pseudo_likelihood.vocabulary(docs, most=200)
+    assert len(small.hashes) == sum(5 + i % 20 >= 20 for i in range(300))  # 225 words reach 10, 75 reach 20
+    assert math.isclose(np.exp(small.look_up([w.encode() for w in [*listed, *rare, "neverseening"]])[1].astype(float)).sum(), 1, rel_tol=1e-5)
+    texts = [b"", b"the1x W3ING r2ing the1x", b"nowhere"]
+    first = list(pseudo_likelihood.Encoder(lexicon).texts(texts))
+    forgetful = pseudo_likelihood.Encoder(lexicon, remembered=0)
+    assert first == [next(forgetful.texts([t])) for t in texts] and first[0] == (b"", 0.0)
+    assert math.isclose(first[1][1], shares[3] + shares[302], rel_tol=1e-5) and first[1][0][0] == lexicon.words.index(b"the1x")
+
+
+def test_likelihood_of_rare_words(spark):
+    """Words far below the frequent ones: a text in which kinds of words take turns scores above the same words shuffled."""
+    rng = random.Random(9)
+    kinds = [[f"{rng.randrange(10**6)}{end}" for _ in range(400)] for end in ("ing", "ous", "ly")]
+
+    def turns() -> list[str]:
+        return [rng.choice(kinds[i % 3]) for i in range(90)]
+
+    docs = spark.createDataFrame([(" ".join(turns()),) for _ in range(500)], "text string").repartition(4)
+    model = pseudo_likelihood.train(docs, rounds=1)
+    probe = turns()
+    mixed = probe[:]
+    rng.shuffle(mixed)
+    scores = [r.likelihood for r in pseudo_likelihood.with_likelihoods(
+        spark.createDataFrame([(" ".join(probe),), (" ".join(mixed),)], "text string").coalesce(1), model).collect()]
+    assert scores[0].mean > scores[1].mean + 0.1
+
+
 def test_likelihood_gradient():
     """A step lowers the loss; log probabilities and gradients agree with a softmax written out and with differences."""
     rng = np.random.default_rng(0)
