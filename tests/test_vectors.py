@@ -61,6 +61,26 @@ def test_few_and_no_documents(spark, cloud):
     assert vectors.nearest(queries, none, 3).count() == 0 and vectors.nearest(none, two, 3, 0, 4).count() == 0
 
 
+def test_vectors_travel_once_a_part(spark, cloud, monkeypatch):
+    """Many small blocks: what the search stores, and the rows it deals, do not grow with queries times blocks."""
+    kept = []
+    monkeypatch.setattr(vectors, "materialise", lambda df: kept.append(df.persist()) or kept[-1])
+    corpus = spark.createDataFrame(cloud, "id string, embedding array<double>")
+    got = found(vectors.nearest(corpus, corpus, 3, 0, 4))
+    assert got == all_pairs(cloud, cloud, 3)
+    assert sum(k.count() for k in kept) <= len(cloud)
+
+
+def test_lines_show_cut_documents(spark):
+    memory = spark.createDataFrame(
+        [(c, f"{c[:1]}", "é" * 500, {"event_id": "7", "correction_type": "FP", "playbook": "ALLOW", "fused_risk": "0.5", "threat": "DoS"}, [1.0, 0.5])
+         for c in (vectors.INCIDENTS, vectors.CORRECTIONS, vectors.RULES)],
+        "collection string, doc_id string, document string, metadata map<string,string>, embedding array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.4])], "id string, embedding array<double>")
+    block = vectors.context_block(asked, memory)
+    assert [line.count("é") for line in block.first().block.split("\n") if "é" in line] == [160, 180, 200]
+
+
 def test_far_clusters_are_not_visited(spark, cloud, monkeypatch):
     """Pairs that leave the search stay far below queries times blocks."""
     rows = [(i, v) for i, v in cloud if any(v)]
