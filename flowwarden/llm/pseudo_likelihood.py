@@ -3,7 +3,8 @@
 A word's probability is that of its class beside its neighbours times its share of the class. The most frequent words are
 classes of their own; the others are classed by their endings. Shares come from the counts of all words in all documents: every word
 met at least `LEAST` times has its own, rarer words of a class, and one unseen word, divide what is left of it. The lexicon of shares
-grows with the corpus up to `MOST_WORDS` words (12 bytes each, broadcast); beyond that the least count doubles until it fits.
+grows with the corpus. Up to `MOST_WORDS` words (12 bytes each) are broadcast at a time; a larger lexicon is stored and
+cut by hash, and the texts pass its slices one after the other, each adding the shares of its own words.
 
 The network adds one learned vector for each of the four neighbours of a
 position, passes the sum through tanh, and a softmax over the classes gives the distribution of the masked
@@ -11,7 +12,7 @@ token's class. Texts are encoded once, a byte for each token's class and the sum
 text; in each round every task takes gradient steps over its documents from the shared weights, and Spark averages
 the results, weighted by their tokens. Every document is used once. A document's score is the sum of its tokens' log probabilities.
 
-Only the lexicon, at most `MOST_WORDS` rows of numbers, and the weights, of fixed size, reach the driver.
+Only the lexicon, about `MOST_WORDS` rows of numbers at a time, and the weights, of fixed size, reach the driver.
 
 Defined results: a null, empty or wordless text has no tokens, sum 0 and a null mean; repeated rows get equal scores and count as
 often as they stand there; an empty table trains nothing and returns no rows; other columns are passed through.
@@ -36,7 +37,7 @@ from flowwarden.llm.common import fresh, python_tasks, raw_texts, stored
 #: Classes of one frequent word each, classes of word endings, one edge class, width of the vectors.
 FREQUENT, ENDINGS, WIDTH = 191, 64, 16
 EDGE = FREQUENT + ENDINGS
-#: Occurrences that give a word a share of its own, words with one at most, bytes of an ending.
+#: Occurrences that give a word a share of its own, such words that are broadcast at a time, bytes of an ending.
 LEAST, MOST_WORDS, ENDING = 5, 4_000_000, 2
 #: Seed of Spark's 64-bit hash, so that tasks find words by the hashes Spark has made.
 HASH_SEED = 42
@@ -128,21 +129,41 @@ class Steps:
 
 @dataclass
 class Lexicon:
-    """Frequent words in class order, sorted hashes of the other listed words with their log shares, log share of an unlisted word by class."""
+    """Frequent words in class order, sorted hashes of the other listed words with their log shares, log share of an unlisted word by class.
+
+    Of a lexicon too large to hold, `table` (hash, class, n) has the listed words and `hashes` none. A slice of it holds the words whose
+    hash modulo `slices` is `own`, and gives all others the log share 0.
+    """
 
     words: list[bytes]
     hashes: np.ndarray
     shares: np.ndarray
     unlisted: np.ndarray
+    slices: int = 1
+    own: int = 0
+    table: DataFrame | None = None
+    counts: np.ndarray | None = None
+
+    def parts(self) -> Iterator[Lexicon]:
+        """Slices that can be held; one at a time is collected."""
+        if self.table is None:
+            yield self
+            return
+        for own in range(self.slices):
+            hashes, shares = _listed(self.table.filter(F.pmod("hash", F.lit(self.slices)) == own), self.counts)
+            yield Lexicon(self.words, hashes, shares, self.unlisted, self.slices, own)
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(classes, log shares in their classes) of words that are not frequent ones."""
         classes = np.fromiter((FREQUENT + xxhash.xxh64_intdigest(w[-ENDING:], HASH_SEED) % ENDINGS for w in words), np.uint8, len(words))
         shares = self.unlisted[classes]
-        if len(self.hashes):
+        if len(self.hashes) or self.slices > 1:
             own = np.fromiter((xxhash.xxh64_intdigest(w, HASH_SEED) for w in words), np.uint64, len(words)).view(np.int64)
+        if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
             shares = np.where(self.hashes[at] == own, self.shares[at], shares)
+        if self.slices > 1:
+            shares = np.where(own % self.slices == self.own, shares, np.float32(0))
         return classes, shares
 
 
@@ -210,8 +231,21 @@ class LanguageModel:
     weights: np.ndarray
 
 
-def vocabulary(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST_WORDS) -> tuple[Lexicon, np.ndarray]:
-    """The lexicon of the words of all documents, and how often each class occurs."""
+def _listed(found: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of words and their log shares of their classes."""
+    table = found.toArrow()
+    hashes, classes, n = (table.column(c).to_numpy() for c in ("hash", "class", "n"))
+    order = np.argsort(hashes)
+    return hashes[order], np.log(n / (counts[classes] + 1)).astype(np.float32)[order]
+
+
+def vocabulary(docs: DataFrame, text: str = "text", least: int = LEAST, most: int | None = None,
+               together: int = MOST_WORDS) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon of the words of all documents, and how often each class occurs.
+
+    Every word met `least` times is listed, whatever their number; of more than `together` words slices are made, which changes no
+    share. A caller may ask for a smaller lexicon of at most `most` words: then the least count doubles until they are that few.
+    """
     counted = stored(word_counts(docs, text), "lm-words")
     ranked = counted.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()
     # Broadcast: `FREQUENT` rows.
@@ -219,8 +253,10 @@ def vocabulary(docs: DataFrame, text: str = "text", least: int = LEAST, most: in
     ending = F.xxhash64(F.substring("word", -ENDING, ENDING))
     rest = counted.join(top, "word", "left_anti").select(
         F.xxhash64("word").alias("hash"), (F.pmod(ending, F.lit(ENDINGS)) + FREQUENT).cast("int").alias("class"), "n")
-    while rest.filter(F.col("n") >= least).count() > most:
+    listed = rest.filter(F.col("n") >= least).count()
+    while most is not None and listed > most:
         least *= 2
+        listed = rest.filter(F.col("n") >= least).count()
     rare = F.col("n") < least
     counts, unlisted = np.zeros(SIZE), np.zeros(SIZE, np.float32)
     counts[:len(ranked)] = [r["n"] for r in ranked]
@@ -228,11 +264,11 @@ def vocabulary(docs: DataFrame, text: str = "text", least: int = LEAST, most: in
                                        F.count_if(rare).alias("words")).collect():
         counts[r["class"]] = r["n"]
         unlisted[r["class"]] = np.log((r["left"] + 1) / (r["n"] + 1) / (r["words"] + 1))
-    listed = rest.filter(~rare).toArrow()
-    hashes, classes, n = (listed.column(c).to_numpy() for c in ("hash", "class", "n"))
-    order = np.argsort(hashes)
-    shares = np.log(n / (counts[classes] + 1)).astype(np.float32)
-    return Lexicon([bytes(r["word"]) for r in ranked], hashes[order], shares[order], unlisted), counts
+    words = [bytes(r["word"]) for r in ranked]
+    if listed > together:
+        none = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return Lexicon(words, *none, unlisted, -(-listed // together), 0, stored(rest.filter(~rare), "lm-lexicon"), counts), counts
+    return Lexicon(words, *_listed(rest.filter(~rare), counts), unlisted), counts
 
 
 _CODED = pa.struct([("classes", pa.binary()), ("shares", pa.float64())])
@@ -241,7 +277,18 @@ _CODED = pa.struct([("classes", pa.binary()), ("shares", pa.float64())])
 def encode(docs: DataFrame, lexicon: Lexicon, into: str = "ids", text: str = "text") -> DataFrame:
     """`docs` plus the class of every word of its text, one byte each, and the sum of their log shares; later passes need no text."""
     python_tasks(docs.sparkSession)
-    # Broadcast: at most `MOST_WORDS` words of 12 bytes.
+    if lexicon.table is not None:
+        sums = fresh(docs, "_shares")
+        done = docs.withColumn(sums, F.lit(0.0))
+        for part in lexicon.parts():  # stored, so that no task holds two slices
+            done = stored(_encoded(done, part, into, text).withColumn(sums, F.col(sums) + F.col(into)["shares"]), "lm-slices")
+        whole = F.when(F.col(into).isNotNull(), F.struct(F.col(into)["classes"].alias("classes"), F.col(sums).alias("shares")))
+        return done.withColumn(into, whole).drop(sums)
+    return _encoded(docs, lexicon, into, text)
+
+
+def _encoded(docs: DataFrame, lexicon: Lexicon, into: str, text: str) -> DataFrame:
+    # Broadcast: about `MOST_WORDS` words of 12 bytes.
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     @F.arrow_udf(from_arrow_type(_CODED))

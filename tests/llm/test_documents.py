@@ -407,6 +407,23 @@ def test_likelihood_lexicon(spark):
     assert math.isclose(first[1][1], shares[3] + shares[302], rel_tol=1e-5) and first[1][0][0] == lexicon.words.index(b"the1x")
 
 
+def test_likelihood_lexicon_in_slices(spark):
+    """A lexicon that is too large to hold at once gives every word the share it has in a whole one; the least count stays."""
+    rng = random.Random(3)
+    words = [f"the{i}x" for i in range(pseudo_likelihood.FREQUENT)] * 40 + [f"w{i}ing" for i in range(300)] * 5 + [f"r{i}ing" for i in range(20)]
+    rng.shuffle(words)
+    texts = [" ".join(words[i:i + 61]) for i in range(0, len(words), 61)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "W7ING never r3ing"])], "doc_id long, text string").repartition(3)
+    whole, counts = pseudo_likelihood.vocabulary(docs)
+    cut, again = pseudo_likelihood.vocabulary(docs, together=70)
+    assert whole.table is None and cut.slices == 5 and (counts == again).all()
+    assert sorted(h for part in cut.parts() for h in part.hashes) == sorted(whole.hashes) and len(whole.hashes) == 300
+    one, many = ({r.doc_id: r.ids for r in pseudo_likelihood.encode(docs, x).collect()} for x in (whole, cut))
+    assert one.keys() == many.keys() and all(one[k].classes == many[k].classes for k in one)
+    assert all(math.isclose(one[k].shares, many[k].shares, rel_tol=1e-12) for k in one)
+    assert pseudo_likelihood.encode(docs, cut).columns == ["doc_id", "text", "ids"]
+
+
 def test_likelihood_of_rare_words(spark):
     """Words far below the frequent ones: a text in which kinds of words take turns scores above the same words shuffled."""
     rng = random.Random(9)
