@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from flowwarden.operators import vectors
+from flowwarden.plans import prompts
 from flowwarden.plans.prompts import prompt_table
 
 EVENT = """event_id long, seq long, signature string, threat string, fused_risk double, cat_risk double, anomaly_risk double,
@@ -56,3 +57,18 @@ def test_default_encoder_and_empty_sides(spark):
     bare = prompt_table(frame, records, ledger.limit(0), memory.drop("m").limit(0), 0.5).collect()
     assert len(bare) == len(got) and not any("LEARNED RULES" in r.system_prompt or "Seen" in r.user_prompt for r in bare)
     assert prompt_table(frame.limit(0), records.limit(0), ledger, memory.drop("m"), 0.5).collect() == []
+
+
+def test_lines_found_once_serve_every_table(spark, monkeypatch):
+    """Tables of two thresholds share one search, and equal those that search for themselves."""
+    frame, records, ledger = rows(spark)
+    text = "threat=DoS fused_risk=0.9 cat_risk=0.5 anomaly_risk=0.1 proto=tcp service=? state=FIN spkts=5 dpkts=1"
+    memory = vectors.embed(spark.createDataFrame(
+        [(vectors.RULES, "r", text), (vectors.CORRECTIONS, "c", text)], "collection string, doc_id string, document string"), "document")
+    alone = [sorted(prompt_table(frame, records, ledger, memory, t).collect()) for t in (0.5, 0.7889)]
+    asked = prompts.asked_texts(frame, records)
+    lines = prompts.memory_lines(asked, memory)
+    frame, records = (f.withColumn(prompts.KEY, prompts.text_key()) for f in (frame, records))
+    monkeypatch.setattr(vectors, "nearest", None)
+    shared = [sorted(prompt_table(frame, records, ledger, memory, t, 0, asked, lines).collect()) for t in (0.5, 0.7889)]
+    assert shared == alone and "SIMILAR PAST CORRECTIONS" in str(shared) and "LEARNED RULES" in str(shared)
