@@ -15,10 +15,11 @@ from flowwarden.streaming import live
 ARRIVALS = 3
 
 
-def arriving(spark, df):
-    """Write `df` as ARRIVALS batches of files in arrival order and stream them one by one.
+def arrive(spark, df, start):
+    """Write `df` as ARRIVALS batches of files in arrival order; after each one the stream goes on from its checkpoint until all
+    files are read, which is one micro-batch for all files of an arrival, however many tasks wrote them.
 
-    Some rows come twice in one batch and again in the next ones.
+    Some rows come twice in one batch and again in the next ones. `start` makes a started query of the stream.
     """
     path = scratch_path(spark, "arrivals")
     top = df.agg(F.max("seq").alias("m")).first().m + 1
@@ -26,19 +27,14 @@ def arriving(spark, df):
         low, high = i * top // ARRIVALS, (i + 1) * top // ARRIVALS
         part = df.filter((F.col("seq") >= low) & (F.col("seq") < high))
         again = df.filter((F.col("seq") < high) & (F.col("seq") % 10 == 0))
-        part.unionByName(again).repartition(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def _finish(started):
-    started.awaitTermination()
+        part.unionByName(again).write.mode("append").parquet(path)
+        start(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
 @query(sql("SELECT event_id, signature, playbook, score AS trust_score FROM loop WHERE rn > 0", "routed", extra=REPLAY))
 def live_decisions(spark, sf_dir):
     root = scratch_path(spark, "live")
-    _finish(live.live_decisions(arriving(spark, inputs.contexts(spark, sf_dir)), root, inputs.LOW, inputs.POLICY,
-                                once=True))
+    arrive(spark, inputs.contexts(spark, sf_dir), lambda s: live.live_decisions(s, root, inputs.LOW, inputs.POLICY, once=True))
     return spark.read.parquet(f"{root}/decisions").filter("branch <> 'gate'").select(
         "event_id", "signature", "playbook", "trust_score")
 
@@ -47,8 +43,7 @@ def live_decisions(spark, sf_dir):
               ('NETWORK_ISOLATION', 5), ('RATE_LIMIT_DOS', 3)) AS s(name, n) ON s.name = l.playbook WHERE rn > 0 GROUP BY 1, 2""", "routed", extra=REPLAY))
 def playbook_sink(spark, sf_dir):
     root = scratch_path(spark, "sink")
-    _finish(live.live_decisions(arriving(spark, inputs.contexts(spark, sf_dir)), root, inputs.LOW, inputs.POLICY,
-                                once=True))
+    arrive(spark, inputs.contexts(spark, sf_dir), lambda s: live.live_decisions(s, root, inputs.LOW, inputs.POLICY, once=True))
     per_event = spark.read.parquet(f"{root}/actions").groupBy("event_id", "playbook").agg(F.count(F.lit(1)).cast("int").alias("steps"))
     return per_event.groupBy("playbook", "steps").agg(F.count(F.lit(1)).alias("events"))
 
@@ -58,14 +53,14 @@ def playbook_sink(spark, sf_dir):
 def live_scores(spark, sf_dir):
     root = scratch_path(spark, "scores")
     rows = inputs.contexts(spark, sf_dir).select("event_id", "seq", "ts", "service", "anomaly_risk")
-    _finish(live.live_scores(arriving(spark, rows), root, "anomaly_risk", keys=["service"], once=True))
+    arrive(spark, rows, lambda s: live.live_scores(s, root, "anomaly_risk", keys=["service"], once=True))
     return spark.read.parquet(f"{root}/scores").select("event_id", F.round("smoothed", 6).alias("smoothed"))
 
 
 @query(sql("SELECT event_id, signature, playbook, score AS trust_score FROM mended WHERE rn > 0 AND thr < 0.6", "routed", extra=MENDED))
 def live_corrected(spark, sf_dir):
     root = scratch_path(spark, "mended")
-    _finish(live.live_decisions(arriving(spark, inputs.contexts(spark, sf_dir)), root, inputs.LOW, inputs.POLICY, once=True, label="label"))
+    arrive(spark, inputs.contexts(spark, sf_dir), lambda s: live.live_decisions(s, root, inputs.LOW, inputs.POLICY, once=True, label="label"))
     return spark.read.parquet(f"{root}/decisions").filter("branch <> 'gate'").select(
         "event_id", "signature", "playbook", "trust_score")
 
@@ -76,6 +71,6 @@ def live_forest_scores(spark, sf_dir):
     from flowwarden.catalog.learning import points
     p = points(spark, sf_dir)
     grown, root = forests.fit_forest(p.filter("label = 1")), scratch_path(spark, "forest")
-    _finish(live.live_scores(arriving(spark, p.select("event_id", "seq", "x")), root, "anomaly_risk", once=True, forest=grown))
+    arrive(spark, p.select("event_id", "seq", "x"), lambda s: live.live_scores(s, root, "anomaly_risk", once=True, forest=grown))
     return spark.read.parquet(f"{root}/scores").select(
         "event_id", F.round("anomaly_risk", 6).alias("anomaly_risk"), F.round("smoothed", 6).alias("smoothed"))

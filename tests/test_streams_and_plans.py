@@ -210,3 +210,20 @@ def test_live_forest_scores_are_the_batch_scores(spark, tiny):
     for i, r in enumerate(got):
         last = values[max(0, i - 19):i + 1]
         assert abs(r.smoothed - sum(last) / len(last)) < 3e-6
+
+
+def test_an_arrival_of_many_files_is_one_batch(spark, tmp_path, monkeypatch):
+    """No single task writes an arrival; each is a micro-batch of its own, however many files it has."""
+    from flowwarden.catalog import streams
+    rows = spark.range(0, 900, 1, 6).selectExpr("id AS seq")
+    seen = []
+
+    def start(stream):
+        def handle(batch, batch_id):
+            seen.append((batch_id, batch.agg({"seq": "max"}).first()[0], batch.count()))
+        return stream.writeStream.foreachBatch(handle).option("checkpointLocation", str(tmp_path / "place")).trigger(availableNow=True).start()
+
+    monkeypatch.setattr(streams, "scratch_path", lambda spark, name: str(tmp_path / name))
+    streams.arrive(spark, rows, start)
+    assert seen == [(0, 299, 330), (1, 599, 360), (2, 899, 390)]
+    assert len(list((tmp_path / "arrivals").glob("part-*.parquet"))) > streams.ARRIVALS
