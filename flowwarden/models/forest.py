@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,32 +98,53 @@ def _mix(state: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _edges(tree: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A tree's two edges for each node, with the child and the sibling-to-own size ratio of each.
+
+    Behind the last node stands an empty one, where both edges of a leaf lead; `sizes` counts it too.
+    """
+    leaf, sizes = tree["left"] < 0, np.append(tree["n"], 0.0)
+    child = np.where(leaf, len(leaf), np.stack([tree["left"], tree["right"]])).T.astype(np.intp)
+    ratio = np.where(leaf[:, None], 0.0, sizes[child[:, ::-1]] / (sizes[child] + 1.0))
+    return {"sizes": sizes, "axis": np.where(leaf, 0, tree["dim"]).astype(np.intp), "child": child.ravel(), "ratio": ratio.ravel()}
+
+
 def _displacement(x: np.ndarray, key: np.ndarray, tree: dict[str, np.ndarray], number: int) -> np.ndarray:
     """Collusive displacement each row would have if it were inserted, all rows one level at a time.
 
     A random cut through a node's box, stretched to the row, parts the row from the node with the share
     that the stretch has in the stretched size; the walk then ends beside that subtree. Otherwise the
     row follows the node's own cut. The result is the largest sibling-to-own size ratio on the way up.
+
+    No ratio below a node exceeds its size, so a walk also ends where its largest ratio has reached that.
     """
-    at = np.zeros(len(x), dtype=np.int64)
-    worst = np.zeros(len(x))
-    live, own = np.arange(len(x)), x
+    width, worst = x.shape[1], np.zeros(len(x))
+    live, at, most = np.arange(len(x)), np.zeros(len(x), np.intp), np.zeros(len(x))
+    begins = np.arange(len(x)) * width
     depth = 0
     while len(live):
-        node = at[live]
-        stretch = np.maximum(np.maximum(tree["low"][node] - own, own - tree["high"][node]), 0.0).sum(axis=1)
+        beyond, above = tree["low"].take(at, axis=0), tree["high"].take(at, axis=0)
+        beyond -= x
+        np.subtract(x, above, out=above)
+        np.maximum(np.maximum(beyond, above, out=beyond), 0.0, out=beyond)
+        # Few columns are added one by one, in the same order as a sum over rows would.
+        stretch = sum(beyond.T[1:], beyond[:, 0]) if 0 < width < 8 else beyond.sum(axis=1)
+        outside = np.flatnonzero(stretch > 0)  # a row inside the box is never parted
+        own, node = stretch.take(outside), at.take(outside)
         salt = _mix(np.array([(number * 1_000_003 + depth) & 0xFFFFFFFFFFFF], dtype=np.uint64))
-        draw = (_mix(key[live] ^ salt) >> np.uint64(11)) * 2.0 ** -53
-        parted = draw * (tree["span"][node] + stretch) < stretch
-        ends = live[parted]
-        worst[ends] = np.maximum(worst[ends], tree["n"][at[ends]])
-        keep = ~parted & (tree["left"][node] >= 0)
-        live, own, here = live[keep], own[keep], node[keep]
-        left = own[np.arange(len(own)), tree["dim"][here]] <= tree["cut"][here]
-        child = np.where(left, tree["left"][here], tree["right"][here])
-        other = np.where(left, tree["right"][here], tree["left"][here])
-        worst[live] = np.maximum(worst[live], tree["n"][other] / (tree["n"][child] + 1.0))
-        at[live] = child
+        draw = (_mix(key.take(outside) ^ salt) >> np.uint64(11)) * 2.0 ** -53
+        parted = np.flatnonzero(draw * (tree["span"].take(node) + own) < own)
+        ends = outside.take(parted)
+        most[ends] = np.maximum(most.take(ends), tree["sizes"].take(node.take(parted)))
+        value = x.ravel().take(begins[:len(at)] + tree["axis"].take(at)) if width else np.zeros(len(at))
+        edge = 2 * at + ~(value <= tree["cut"].take(at))
+        # No ratio below a parted row is as large as the size it has, so this leaves it alone.
+        most = np.maximum(most, tree["ratio"].take(edge))
+        at = tree["child"].take(edge)
+        worst[live] = most
+        keep = np.flatnonzero(most < tree["sizes"].take(at))
+        if len(keep) < len(live):
+            live, at, most, key, x = live.take(keep), at.take(keep), most.take(keep), key.take(keep), x.take(keep, axis=0)
         depth += 1
     return worst
 
@@ -147,6 +169,7 @@ class Forest:
                 "low": np.stack(part["low"].to_numpy()), "high": np.stack(part["high"].to_numpy()),
             })
             packed[-1]["span"] = (packed[-1]["high"] - packed[-1]["low"]).sum(axis=1)
+            packed[-1] |= _edges(packed[-1])
         return cls(tuple(packed), pdf, anchors)
 
     def raw_scores(self, df: DataFrame, row_id: str = "seq", x: str = "x", name: str = "codisp") -> DataFrame:
@@ -157,17 +180,20 @@ class Forest:
         ship_package(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast(self.trees)
 
-        @F.pandas_udf(T.DoubleType())
-        def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.arrow_udf(T.DoubleType())
+        def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             trees = shared.value
             for own, hashed in batches:
                 if not len(own):
-                    yield pd.Series(dtype=float)
+                    yield pa.array([], pa.float64())
                     continue
-                key, points = hashed.to_numpy().astype(np.int64).view(np.uint64), np.stack(own.to_numpy()).astype(float)
+                if own.null_count:
+                    raise ValueError("a row has no point")
+                key = hashed.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                points = own.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
                 with np.errstate(over="ignore"):
                     total = sum(_displacement(points, key, t, i) for i, t in enumerate(trees))
-                yield pd.Series(total / len(trees))
+                yield pa.array(total / len(trees))
 
         return df.withColumn(name, scan(F.col(x), F.xxhash64(row_id)))
 

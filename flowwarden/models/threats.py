@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,30 @@ from flowwarden.session import ship_package
 ROUNDS, DEPTH, STEP = 500, 6, 0.05
 #: Rows on either side of a split that counts in a threat model.
 MIN_ROWS = 20
+#: Combinations whose scores a task remembers.
+REMEMBERED = 100_000
+
+
+def _by_combination(batches: Iterator[pa.Array], encoding: Encoding, boosters: tuple[Booster, ...],
+                    curves: tuple | None) -> Iterator[pa.Array]:
+    """Probabilities of batches of category structs. Combinations are remembered, up to a bound, so that each is
+    scored once in a task and not in every batch."""
+    known: dict[bytes, int] = {}
+    table = np.zeros((0, len(boosters)))
+    for batch in batches:
+        distinct, place = np.unique(encoding.codes(batch.flatten()), axis=0, return_inverse=True)
+        if len(known) > REMEMBERED:
+            known, table = {}, table[:0]
+        rows = [row.tobytes() for row in distinct]
+        fresh = np.array([i for i, row in enumerate(rows) if row not in known], np.intp)
+        if len(fresh):
+            found = [b.probability(distinct[fresh]) for b in boosters]
+            if curves:
+                found = [np.interp(f, *c) for f, c in zip(found, curves, strict=True)]
+            known.update(zip([rows[i] for i in fresh], range(len(table), len(table) + len(fresh)), strict=True))
+            table = np.concatenate([table, np.stack(found, axis=1)])
+        flat = table[np.array([known[row] for row in rows], np.intp)[place.ravel()]]
+        yield pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(boosters)).astype(np.int32), flat.ravel())
 
 
 def _scores(encoding: Encoding, boosters: tuple[Booster, ...], curves: tuple | None = None):
@@ -26,17 +51,11 @@ def _scores(encoding: Encoding, boosters: tuple[Booster, ...], curves: tuple | N
     shared = SparkSession.active().sparkContext.broadcast((encoding, boosters, curves))
 
     @F.arrow_udf(from_arrow_type(pa.list_(pa.float64())))
-    def scores(*columns: pa.Array) -> pa.Array:
-        encoding, boosters, curves = shared.value
-        distinct, place = np.unique(encoding.codes(list(columns)), axis=0, return_inverse=True)
-        found = [b.probability(distinct) for b in boosters]
-        if curves:
-            found = [np.interp(f, *c) for f, c in zip(found, curves, strict=True)]
-        flat = np.stack(found, axis=1)[place.ravel()]
-        return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(boosters)).astype(np.int32), flat.ravel())
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _by_combination(batches, *shared.value)
 
     ship_package(SparkSession.active())
-    return scores(*encoding.columns())
+    return scores(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(encoding.columns())]))
 
 
 @dataclass(frozen=True)

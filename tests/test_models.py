@@ -1,6 +1,7 @@
 """Forest, fusion and classifiers."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,50 @@ def test_vector_walk_equals_single_walks():
     assert got == pytest.approx(want)
 
 
+class Counted(np.ndarray):
+    """Keys that count the rows they are taken for."""
+
+    taken = 0
+
+    def take(self, indices, *args, **kwargs):
+        Counted.taken += len(indices)
+        return np.asarray(self).take(indices, *args, **kwargs).view(Counted)
+
+
+def test_walk_ends_where_no_ratio_below_can_be_larger():
+    # 63 equal points and one far off: for a row at the far one, the first cut has a ratio above all sizes below it.
+    points = np.concatenate([np.zeros((63, 2)), [[9.0, 9.0]]])
+    tree = Forest.pack(forests._grow(points, np.random.default_rng(1)).assign(tree=0)).trees[0]
+    x, key = np.full((20, 2), 9.0), np.arange(20, dtype=np.uint64).view(Counted)
+    with np.errstate(over="ignore"):
+        assert forests._displacement(x, key, tree, 0).tolist() == [63 / 2] * 20
+        # A row inside the root's box needs no draw there, and none of these walks goes on to the leaf.
+        assert Counted.taken == 0
+        rng = np.random.default_rng(2)
+        many = Forest.pack(forests._grow(rng.integers(0, 9, (300, 9)).astype(float), rng).assign(tree=0)).trees[0]
+        x, key = rng.normal(4, 4, (200, 9)), rng.integers(0, 2**63, 200).astype(np.uint64)
+        assert forests._displacement(x, key, many, 5).tolist() == pytest.approx([one_by_one(x[i], key[i], many, 5) for i in range(200)])
+
+
+def test_a_combination_is_scored_once_in_a_task(monkeypatch):
+    scored = []
+
+    class Counting:
+        def probability(self, codes):
+            scored.extend(map(tuple, codes.tolist()))
+            return (codes[:, 0] + 10 * codes[:, 1]) / 100
+
+    encoding = threats.Encoding(("p", "s"), (("a", "b"), ("x", "y", "z")))
+    rows = [{"c0": "ab?"[i % 3], "c1": "zyx"[i % 2]} for i in range(60)]
+    batches = [pa.array(rows[i:i + 10]) for i in range(0, 60, 10)]
+    want = [["ab?".index(r["c0"]) / 100 + "xyz".index(r["c1"]) / 10] for r in rows]
+    for bound, times in ((100, 6), (0, 36)):
+        monkeypatch.setattr(threats, "REMEMBERED", bound)
+        scored.clear()
+        got = [v for out in threats._by_combination(iter(batches), encoding, (Counting(),), None) for v in out.to_pylist()]
+        assert got == [pytest.approx(w) for w in want] and len(scored) == times
+
+
 def test_outliers_score_high_and_partitions_do_not_matter(spark, cloud, tmp_path):
     grown = forests.fit_forest(cloud, trees=20, size=64)
     probe = spark.createDataFrame([(1, [0.1, 0.0, 0.1]), (2, [30.0, -30.0, 30.0])], "seq long, x array<double>")
