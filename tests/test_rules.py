@@ -186,3 +186,15 @@ def test_stored_health_is_the_health_of_the_whole_log(spark, tmp_path):
     store_corrections(spark.createDataFrame([], shape), root, 3)
     assert sorted(map(str, stored_health(spark, root, known).collect())) == last
     assert spark.read.parquet(f"{root}/corrections").count() == 12 + 12 + 18
+
+
+def test_documents_of_corrections_are_made_once(spark, tmp_path):
+    """Counting the stored documents joins and parses nothing again."""
+    from flowwarden.catalog import rulebook
+
+    rows = [(i, "2024-01-%02d 05:00:00" % (1 + i % 20), i % 40, ("click", "purchase", "view")[i % 3], 1.0, '{"k": %d}' % (i % 100)) for i in range(400)]
+    made = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    made.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    counted = rulebook.vec_stats(spark, str(tmp_path))
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.collection for r in counted.collect()} == {"correction_analyses", "incident_summaries", "synthesized_rules"}
