@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import held, python_tasks, slices
+from flowwarden.llm.common import held, python_tasks, slices, spans
 from flowwarden.session import scratch_path
 
 END = 2
@@ -124,12 +124,8 @@ class Encoder:
         if new := list({m[2] for m in matches if m}.difference(self.marks)):
             self.marks.update(zip(new, self._alone(new), strict=True))
         known, cores, marks = self.known, self.cores, self.marks
-        other = []
-        for w, m, core in zip(words, matches, lowered, strict=True):
-            if m is None:
-                other.append(w)
-            else:
-                known[w] = cores[core] + marks[m[2]]
+        known.update((w, cores[core] + marks[m[2]]) for w, m, core in zip(words, matches, lowered, strict=True) if m)
+        other = [w for w, m in zip(words, matches, strict=True) if m is None]
         known.update(zip(other, self._alone(other), strict=True))
 
     def ids_of(self, words: list[str]) -> list[bytes]:
@@ -138,12 +134,14 @@ class Encoder:
             self.old, self.known, self.cores, self.marks = self.known, {"": b""}, {}, {"": b""}
         known, old = self.known, self.old
         out = list(map(known.get, words))
-        places = [i for i, ids in enumerate(out) if ids is None]
-        met = {words[i]: old.get(words[i]) for i in places}
-        self._learn([w for w, ids in met.items() if ids is None])
-        known.update((w, ids) for w, ids in met.items() if ids is not None)
-        for i in places:
-            out[i] = known[words[i]]
+        if None in out:
+            places = [i for i, ids in enumerate(out) if ids is None]
+            missed = [words[i] for i in places]
+            met = list(map(old.get, missed))
+            known.update((w, ids) for w, ids in zip(missed, met, strict=True) if ids is not None)
+            self._learn([w for w, ids in zip(missed, met, strict=True) if ids is None])
+            for i, ids in zip(places, map(known.__getitem__, missed), strict=True):
+                out[i] = ids
         return out
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +156,10 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         n_words = pc.list_value_length(split).to_numpy()
         codes = np.insert(words.indices.to_numpy(), np.cumsum(n_words), len(found) - 1)
-        lengths = np.add.reduceat(sizes[codes], np.cumsum(n_words + 1) - n_words - 1) if len(n_words) else n_words
-        return np.frombuffer(b"".join(map(found.__getitem__, codes.tolist())), "<u4"), lengths
+        each = sizes[codes]
+        lengths = np.add.reduceat(each, np.cumsum(n_words + 1) - n_words - 1) if len(n_words) else n_words
+        at, _ = spans(each, (np.cumsum(sizes) - sizes)[codes])
+        return np.frombuffer(b"".join(found), "<u4").take(at), lengths
 
 
 def encoder(content: str) -> Encoder:
