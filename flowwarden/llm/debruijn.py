@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +68,12 @@ class Words:
 
     def __init__(self, raw: bytes, known: dict[bytes, int]):
         self.words = raw.split()
-        digest = xxhash.xxh64_intdigest
-        ids = []
-        for w in self.words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w, 7) | 1
-            ids.append(h)
-        self.ids = np.array(ids, np.uint64)
+        ids = list(map(known.get, self.words))
+        if None in ids:
+            new = {w: xxhash.xxh64_intdigest(w, 7) | 1 for w, h in zip(self.words, ids, strict=True) if h is None}
+            known.update(new)
+            ids = list(map(known.__getitem__, self.words))
+        self.ids = np.fromiter(ids, np.uint64, len(ids))
         self.sums: dict[int, np.ndarray] = {}
 
     def __len__(self) -> int:
@@ -90,15 +89,24 @@ class Words:
         return _mixed((sums[starts + lengths] - sums[starts]) * downs[starts])
 
 
-def edges_of(words: Words, window: int = WINDOW, k: int = EDGE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the k-mers that are the smallest of some window, in order."""
+def _owners(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The position of every window's smallest k-mer, which never falls from one window to the next, and the hashes of all k-mers."""
     n = len(words)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = words.spans(np.arange(n - k + 1), k, _BASES[0])
-    wide = window - k + 1
-    views = np.lib.stride_tricks.sliding_window_view(hashes, wide)
-    chosen = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    views = np.lib.stride_tricks.sliding_window_view(hashes, window - k + 1)
+    return views.argmin(axis=1) + np.arange(len(views)), hashes
+
+
+def _distinct(owners: np.ndarray) -> np.ndarray:
+    return owners[np.concatenate([[True], owners[1:] != owners[:-1]])] if len(owners) else owners
+
+
+def edges_of(words: Words, window: int = WINDOW, k: int = EDGE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the k-mers that are the smallest of some window, in order."""
+    owners, hashes = _owners(words, window, k)
+    chosen = _distinct(owners)
     return chosen, hashes[chosen]
 
 
@@ -148,8 +156,9 @@ def candidates(words: Words, at: np.ndarray, agree: np.ndarray, window: int, k:
     `at` are the positions of the repeated edges; `agree` tells whether all occurrences of an edge have the same words
     around them. It is a property of the edge, so a path has the same extent at each of its occurrences.
     """
-    n, wide = len(words), window - k + 1
-    every, hashes = edges_of(words, window, k)
+    n = len(words)
+    owner, _ = _owners(words, window, k)
+    every = _distinct(owner)
     repeated = np.isin(every, at)
     agreeing = np.zeros(len(every), bool)
     agreeing[np.searchsorted(every, at)] = agree
@@ -159,8 +168,6 @@ def candidates(words: Words, at: np.ndarray, agree: np.ndarray, window: int, k:
     path_start, path_end = every[begins], every[ends - 1] + k
     long = repeated[begins] & (path_end - path_start >= window)
     # Each window belongs to its smallest edge; it is open if that edge repeats and no long path holds the window.
-    all_hashes = words.spans(np.arange(n - k + 1), k, _BASES[0])
-    owner = np.lib.stride_tricks.sliding_window_view(all_hashes, wide).argmin(axis=1) + np.arange(n - window + 1)
     index = np.searchsorted(every, owner)
     path = np.searchsorted(begins, index, side="right") - 1
     starts = np.arange(n - window + 1)
@@ -207,11 +214,9 @@ def repeated_spans(docs: DataFrame, key: str, text: str, window: int = WINDOW, k
         F.collect_list(F.struct("start", "length")).alias("spans"))
 
 
-def covered(n: int, spans: list[dict]) -> np.ndarray:
+def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Which of n words lie in one of the spans."""
-    edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, [s["start"] for s in spans], 1)
-    np.add.at(edges, [s["start"] + s["length"] for s in spans], -1)
+    edges = np.bincount(starts, minlength=n + 1) - np.bincount(starts + lengths, minlength=n + 1)
     return np.cumsum(edges[:n]) > 0
 
 
@@ -221,14 +226,16 @@ _KEPT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept",
 @F.arrow_udf(from_arrow_type(_KEPT))
 def _kept_words(texts: pa.Array, found: pa.Array) -> pa.Array:
     out = []
-    for raw, spans in zip(raw_texts(texts), found.to_pylist(), strict=True):
-        words = raw.split()
-        kept = words
-        if spans:
-            gone = covered(len(words), spans)
-            kept = [w for w, g in zip(words, gone, strict=True) if not g]
+    counts = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+    ends, rows = np.cumsum(counts), found.flatten()
+    start, length = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "length"))
+    for raw, n, end in zip(raw_texts(texts), counts.tolist(), ends.tolist(), strict=True):
+        words = kept = raw.split()
+        if n:
+            own = slice(end - n, end)
+            kept = list(compress(words, (~covered(len(words), start[own], length[own])).tolist()))
         whole = b" ".join(kept)
-        out.append((len(words), len(words) - len(kept), whole.decode() if spans else None, hashlib.sha256(whole).hexdigest()))
+        out.append((len(words), len(words) - len(kept), whole.decode() if n else None, hashlib.sha256(whole).hexdigest()))
     return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _KEPT, strict=True)] if out
                                       else [pa.array([], f.type) for f in _KEPT], fields=list(_KEPT))
 

@@ -461,3 +461,16 @@ def test_likelihood_gradient():
         assert math.isclose((down - up) / 0.1, gradient[at], rel_tol=0.05, abs_tol=2e-5)
     pseudo_likelihood.Steps(net, 0.1).take(ids, sides)
     assert net.log_probabilities(ids, sides).mean() > before.mean()
+
+
+def test_candidates_hash_the_words_once(monkeypatch):
+    """Windows' owners and edges come from one pass over the k-mers, and edges stay in order and distinct."""
+    rng = np.random.default_rng(4)
+    words = debruijn.Words(b" ".join(b"w%d" % i for i in rng.integers(0, 30, 400)), {})
+    at, hashes = debruijn.edges_of(words)
+    views = np.lib.stride_tricks.sliding_window_view(words.spans(np.arange(385), 16, debruijn._BASES[0]), 20)
+    assert at.tolist() == np.unique(views.argmin(axis=1) + np.arange(len(views))).tolist() and len(hashes) == len(at)
+    passes, spans = [], debruijn.Words.spans
+    monkeypatch.setattr(debruijn.Words, "spans", lambda self, *a: passes.append(1) or spans(self, *a))
+    starts, _ = debruijn.candidates(words, at, np.zeros(len(at), bool), 35, 16)
+    assert starts.tolist() == list(range(366)) and len(passes) == 1
