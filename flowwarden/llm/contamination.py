@@ -12,7 +12,6 @@ empty benchmark hits nothing; columns of `docs` other than the text are passed t
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -165,7 +164,6 @@ def benchmark_parts(benchmark: DataFrame, window: int, item: str, text: str,
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _MATCH = pa.struct([("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string()))])
-_SUMMARY = pa.struct([("n_hit", pa.int64()), ("longest", pa.int64()), ("items_sha256", pa.string())])
 
 
 def _matcher(automaton) -> object:
@@ -187,17 +185,21 @@ def _matcher(automaton) -> object:
     return matched
 
 
-@F.arrow_udf(from_arrow_type(_SUMMARY))
-def _summary(spans: pa.Array, items: pa.Array) -> pa.Array:
-    """Union of the spans of all parts: hit words, longest span, digest of the items."""
-    out = []
-    for found, names in zip(spans.to_pylist(), items.to_pylist(), strict=True):
-        hit = longest = 0
-        for a, b in _merged(found):
-            hit, longest = hit + b - a, max(longest, b - a)
-        digest = hashlib.sha256(",".join(sorted(set(names))).encode()).hexdigest()
-        out.append({"n_hit": hit, "longest": longest, "items_sha256": digest})
-    return pa.array(out, _SUMMARY)
+def _summary(spans: Column) -> Column:
+    """Hit words and longest span of the union of all parts' spans, in one pass over them by start.
+
+    Without Python: a second Python step in a task is a second worker beside the matcher's, and both stay for later stages.
+    """
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("n_hit", "longest", "begin", "end")])
+
+    def more(so_far: Column, span: Column) -> Column:
+        begin = F.when(span["start"] <= so_far["end"], so_far["begin"]).otherwise(span["start"])
+        end = F.greatest(so_far["end"], span["end"])
+        added = F.greatest(F.lit(0).cast("long"), span["end"] - F.greatest(span["start"], so_far["end"]))
+        return F.struct((so_far["n_hit"] + added).alias("n_hit"), F.greatest(so_far["longest"], end - begin).alias("longest"),
+                        begin.alias("begin"), end.alias("end"))
+
+    return F.aggregate(F.array_sort(spans), zero, more)
 
 
 def _merged(found: list[dict]) -> list[tuple[int, int]]:
@@ -221,17 +223,17 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, into: str = "matches", t
     for automaton in benchmark_parts(benchmark, window, item, item_text, part_words):
         parts.append(fresh(out, f"_part{len(parts)}"))
         out = out.withColumn(parts[-1], _matcher(spark.sparkContext.broadcast(automaton))(F.col(text)))
-    name, whole = fresh(out, "_whole"), fresh(out, "_digest")
+    name, whole = fresh(out, "_whole"), fresh(out, "_summary")
     both = [F.flatten(F.array(*[F.col(p)[f] for p in parts])) if len(parts) > 1 else F.col(parts[0])[f]
             for f in ("spans", "items")]
     out = out.withColumn(name, F.struct(F.col(parts[0])["n_words"].alias("n_words"), both[0].alias("spans"),
                                         F.array_distinct(both[1]).alias("items")))
-    out = out.withColumn(whole, _summary(F.col(name)["spans"], F.col(name)["items"]))
+    out = out.withColumn(whole, _summary(F.col(name)["spans"]))
     n_words, n_hit = F.col(name)["n_words"], F.col(whole)["n_hit"]
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
         n_words.alias("n_words"), n_hit.alias("n_hit"), F.col(whole)["longest"].alias("longest"),
         F.size(F.col(name)["items"]).cast("long").alias("n_items"), F.col(name)["items"].alias("items"),
-        F.col(whole)["items_sha256"].alias("items_sha256"), F.col(name)["spans"].alias("spans"),
+        F.sha2(F.array_join(F.array_sort(F.col(name)["items"]), ","), 256).alias("items_sha256"), F.col(name)["spans"].alias("spans"),
         ((n_hit > 0) & (COVERAGE * n_hit >= n_words)).alias("contaminated")).alias(into))
 
 

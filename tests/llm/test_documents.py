@@ -187,6 +187,19 @@ def test_contamination(docs, rows, benchmark, items, odd, empty, spark):
     assert contamination.with_matches(odd, benchmark, "m").columns == [*odd.columns, "m"]
 
 
+def test_contamination_takes_one_python_step(docs, benchmark):
+    # A second one in the same task is a second worker, which stays in memory beside the tasks of later stages.
+    for df in (contamination.with_matches(docs, benchmark), contamination.decontaminate(docs, benchmark)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_contamination_adds_up_the_spans_of_all_parts(spark):
+    found = [[(5, 9), (0, 3), (3, 4)], [(2, 4), (2, 3), (1, 9), (9, 9)], [(7, 8)], []]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(found)], "id int, spans array<struct<start: bigint, end: bigint>>")
+    got = {r.id: (r.s.n_hit, r.s.longest) for r in df.select("id", contamination._summary(F.col("spans")).alias("s")).collect()}
+    assert got == {0: (8, 4), 1: (8, 8), 2: (1, 1), 3: (0, 0)}
+
+
 def test_automaton_against_windows():
     rng = random.Random(2)
     for _ in range(60):
