@@ -87,3 +87,24 @@ def test_far_clusters_are_not_visited(spark, cloud, monkeypatch):
     corpus = spark.createDataFrame(rows, "id string, embedding array<double>")
     pairs = vectors._indexed(corpus, corpus, 1, 20)
     assert pairs.count() < len(rows) * 8
+
+
+@pytest.fixture(scope="module")
+def few_vectors(tmp_path_factory):
+    """Items 1 to 40, none divisible by 100, documents of the odd ones, and the folder of these tables."""
+    import pandas as pd
+
+    rng, folder = np.random.default_rng(5), tmp_path_factory.mktemp("few")
+    ids = list(range(1, 41))
+    pd.DataFrame({"vec_id": ids, "label": [i % 3 for i in ids], "embedding": rng.random((40, 4)).tolist()}).to_parquet(folder / "embeddings.parquet")
+    pd.DataFrame({"doc_id": ids[::2], "text": [f"text {i}" for i in ids[::2]]}).to_parquet(folder / "documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["knn_blocked"])
+def test_every_vector_asks(spark, few_vectors, name):
+    """No row is left out of the search because of its id."""
+    from flowwarden.catalog import load
+
+    asked = {r.query_id for r in load()[0][name](spark, few_vectors).collect()}
+    assert asked == {str(i) for i in range(1, 41)}
