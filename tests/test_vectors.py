@@ -101,7 +101,7 @@ def few_vectors(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["knn_blocked", "knn"])
+@pytest.mark.parametrize("name", ["knn_blocked", "knn", "context_block", "context_block_documents"])
 def test_every_vector_asks(spark, few_vectors, name):
     """No row is left out of the search because of its id."""
     from flowwarden.catalog import load
