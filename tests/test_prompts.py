@@ -1,5 +1,6 @@
 """The prompt table: near rules and corrections, evidence block, assigned ids."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowwarden.operators import vectors
@@ -72,3 +73,29 @@ def test_lines_found_once_serve_every_table(spark, monkeypatch):
     monkeypatch.setattr(vectors, "nearest", None)
     shared = [sorted(prompt_table(frame, records, ledger, memory, t, 0, asked, lines).collect()) for t in (0.5, 0.7889)]
     assert shared == alone and "SIMILAR PAST CORRECTIONS" in str(shared) and "LEARNED RULES" in str(shared)
+
+
+@pytest.fixture(scope="module")
+def small_tables(tmp_path_factory):
+    """600 events, and vectors of which one only has an id divisible by 100; vectors of equal parity are alike."""
+    import pandas as pd
+
+    folder = tmp_path_factory.mktemp("events")
+    ids = range(600)
+    pd.DataFrame({"event_id": ids, "ts": pd.to_datetime("2024-01-09") + pd.to_timedelta([97 * i for i in ids], unit="s"),
+                  "user_id": [(i * 37) % 1500 for i in ids], "event_type": [("click", "purchase", "signup", "view")[i % 4] for i in ids],
+                  "value": 1.0, "props": ['{"k": %d}' % (i * 7 % 100) for i in ids]}).astype({"ts": "datetime64[us]"}).to_parquet(folder / "events.parquet")
+    pd.DataFrame({"vec_id": range(50), "label": 0, "embedding": [[1.0, 0.1 * (i % 2), 0.01 * i] for i in range(50)]}).to_parquet(folder / "embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["enriched_prompts"])
+def test_every_text_searches_the_memory(spark, small_tables, name):
+    """The memory lies near every event, so prompts of all events have its lines, whatever their ids."""
+    from flowwarden.catalog import load
+    from flowwarden.operators.corrections import NEAR_HEAD, PRIOR_HEAD
+
+    rows = load()[0][name](spark, small_tables).collect()
+    response, audit = ([r for r in rows if r.kind == k and r.event_id % 50] for k in ("response", "audit"))
+    assert response and all(NEAR_HEAD in r.system_prompt for r in response)
+    assert audit and all(PRIOR_HEAD in r.user_prompt for r in audit)
