@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import held, python_tasks, slices, spans, stored
+from flowwarden.llm.common import held, python_tasks, release, slices, spans, stored
 
 #: Parts a worker remembers before it begins anew, bytes of text whose parts are learnt at a time, bytes of text in a block.
-REMEMBERED, SLICE_BYTES, BLOCK_BYTES = 250_000, 1 << 20, 12 << 20
+REMEMBERED, SLICE_BYTES, BLOCK_BYTES = 250_000, 1 << 20, 4 << 20
+#: Writers and readers hold a row group, so each block is one: by default its size is first looked at after a hundred rows.
+ONE_BLOCK = {"parquet.block.row.count.limit": "1"}
 ODD, SIGNS = -1, ";|,"
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 _LISTS = {"doc_ids": pa.int64(), **{f: pa.int64() for f in FIGURES}, "digests": pa.string(), "pairs": pa.int64(), "holders": pa.int64(),
@@ -213,21 +215,21 @@ def _blocks(files):
     return blocks
 
 
-def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {n: batch.column(k)[i].values for k, n in enumerate(batch.schema.names)}
-            kinds, places, times = (row[n].to_numpy() for n in ("kinds", "places", "times"))
-            doc = np.repeat(np.arange(len(kinds)), kinds)
-            answers = row["answers"]
-            counts = answers.field("n").to_numpy() if answers is not None else np.zeros(0, np.int64)
-            best = answers.field("best").to_numpy(zero_copy_only=False) if answers is not None else np.zeros(0, bool)
-            count_sum, n_best = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
-            np.add.at(count_sum, doc, times * counts[places])
-            np.add.at(n_best, doc, times * best[places])
-            yield pa.RecordBatch.from_arrays(
-                [row["doc_ids"], *[row[f] for f in FIGURES], pa.array(n_best), pa.array(count_sum), row["digests"]],
-                ["doc_id", *FIGURES, "n_best", "count_sum", "groups_sha256"])
+def _figures(block: pa.Table, answers: pa.Table) -> pa.Table:
+    """The figures of a block's documents, from the answers to its pairs in any order."""
+    release()  # what the worker remembered of the blocks
+    row = {n: block.column(n)[0].values for n in block.column_names if n != "block"}
+    kinds, places, times = (row[n].to_numpy() for n in ("kinds", "places", "times"))
+    doc = np.repeat(np.arange(len(kinds)), kinds)
+    counts, best = np.zeros(answers.num_rows, np.int64), np.zeros(answers.num_rows, bool)
+    at = answers.column("place").to_numpy()
+    counts[at], best[at] = answers.column("n").to_numpy(), answers.column("best").to_numpy()
+    count_sum, n_best = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+    np.add.at(count_sum, doc, times * counts[places])
+    np.add.at(n_best, doc, times * best[places])
+    return pa.Table.from_arrays(
+        [row["doc_ids"], *[row[f] for f in FIGURES], pa.array(n_best), pa.array(count_sum), row["digests"]],
+        ["doc_id", *FIGURES, "n_best", "count_sum", "groups_sha256"])
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -248,13 +250,13 @@ def align(docs: DataFrame, a_file: str, b_file: str, doc_id: str = "doc_id", tex
     with open(a_file, encoding="utf-8") as f, open(b_file, "rb") as g:
         files = spark.sparkContext.broadcast((f.read(), g.read()))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = stored(rows.mapInArrow(_blocks(files), BLOCKS), "aligned")
+    blocks = stored(rows.mapInArrow(_blocks(files), BLOCKS), "aligned", **ONE_BLOCK)
     counts = stored(pair_counts(blocks), "pair-counts")
-    asked = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
-    answers = asked.join(counts, "pair").groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("place", "n", "best"))).alias("answers"))  # one block's pairs, at most
-    wanted = blocks.drop("pairs", "holders").join(answers, "block", "left").drop("block")
-    return wanted.mapInArrow(_figures, "doc_id bigint, " + ", ".join(f"{f} bigint" for f in FIGURES) + ", n_best bigint, count_sum bigint, groups_sha256 string")
+    asked = blocks.select(F.col("block").alias("of"), F.posexplode("pairs").alias("place", "pair"))
+    answers = asked.join(counts, "pair").select("of", "place", "n", "best")
+    # Both sides are sorted by block, which spills; a block at a time goes to Python.
+    return blocks.drop("pairs", "holders").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(
+        _figures, "doc_id bigint, " + ", ".join(f"{f} bigint" for f in FIGURES) + ", n_best bigint, count_sum bigint, groups_sha256 string")
 
 
 def aligned_groups(text: str, a_file: str, b_file: str) -> list[tuple[list[int], list[int]]]:

@@ -48,3 +48,23 @@ def test_alignment_on_odd_tables(odd, empty):
     assert sorted(tuple(r)[1:] for r in found) == sorted(want)
     assert sum(r.doc_id is None for r in found) == 2
     assert alignment.align(empty, queries.BYTE_LEVEL, queries.PIECES).count() == 0
+
+
+def test_answers_are_not_gathered_in_the_jvm(spark, monkeypatch):
+    """Several blocks of one task: each is a row group of its own, and answers of all blocks meet theirs in a cogroup."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from flowwarden.llm import common
+
+    kept = {}
+    monkeypatch.setattr(alignment, "stored", lambda df, name, **o: kept.setdefault(name, common.stored(df, name, **o)))
+    docs = spark.range(26, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("here there again "), 60_000).alias("text"))
+    got = alignment.align(docs, queries.BYTE_LEVEL, queries.PIECES)
+    found = got.collect()
+    assert sorted(r.doc_id for r in found) == list(range(26)) and len({r[1:] for r in found}) == 1
+    assert found[0].n_links > 0 and found[0].count_sum == 26 * found[0].n_links
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in kept["aligned"].inputFiles()]
+    assert sum(g.num_rows for g in groups) > 2 and all(g.num_row_groups == g.num_rows for g in groups)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan
