@@ -99,3 +99,16 @@ def test_every_text_searches_the_memory(spark, small_tables, name):
     response, audit = ([r for r in rows if r.kind == k and r.event_id % 50] for k in ("response", "audit"))
     assert response and all(NEAR_HEAD in r.system_prompt for r in response)
     assert audit and all(PRIOR_HEAD in r.user_prompt for r in audit)
+
+
+def test_every_event_asks(spark, small_tables, monkeypatch):
+    """The query searches for the text of every escalated event and record; what is stored for that are texts, not vectors."""
+    from flowwarden.catalog import load, rulebook
+
+    given, kept = [], []
+    monkeypatch.setattr(rulebook, "memory_lines", lambda asked, held: given.append(asked) or prompts.memory_lines(asked, held))
+    monkeypatch.setattr(prompts, "materialise", lambda df: kept.append(df.columns) or df)
+    rows = load()[0]["prompts"](spark, small_tables).filter("kind = 'response'").count()
+    events = rulebook.inputs.contexts(spark, small_tables).filter("fused_risk > 0.5")
+    texts = {r[0] for r in events.select(prompts.text_key()).collect()}
+    assert rows and texts <= {r.id for r in given[0].select("id").collect()} and kept == [[prompts.KEY, "_text"]]
